@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HASH = "_key_hash"
 # Entries of one list or text cell. A key with more is spread over several pages.
@@ -20,12 +21,20 @@ def join_grouped(rows: DataFrame, grouped: DataFrame, on: list[str] | str, how:
     run time, Spark broadcasts it instead.
     """
     on = [on] if isinstance(on, str) else list(on)
-    key_hash = F.xxhash64(*on)
-    return (
-        rows.withColumn(_HASH, key_hash)
-        .join(grouped.withColumn(_HASH, key_hash), [*on, _HASH], how)
-        .drop(_HASH)
-    )
+    return _with_hash(rows, on).join(_with_hash(grouped, on), [*on, _HASH], how).drop(_HASH)
+
+
+def _with_hash(df: DataFrame, on: list[str]) -> DataFrame:
+    """Add the hash of the key. Equal numbers of different integer types must hash alike."""
+    parts = []
+    for c in on:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StringType) and kind != T.StringType():
+            raise TypeError(f"{c}: texts under a collation can be equal and hash differently")
+        if not isinstance(kind, (T.IntegralType, T.StringType)):
+            raise TypeError(f"{c}: {kind.simpleString()} is no key type")
+        parts.append(F.col(c).cast("long") if isinstance(kind, T.IntegralType) else F.col(c))
+    return df.withColumn(_HASH, F.xxhash64(*parts))
 
 
 def only_keys(rows: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:

@@ -9,6 +9,8 @@ from marketloom.functions.keyed import join_grouped, only_keys
 
 Tables = dict[str, DataFrame]
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def product_catalogue(t: Tables) -> DataFrame:
     """Products with the names of type and subtype, NULL where unknown."""
@@ -31,12 +33,26 @@ def latest_products(t: Tables, n: int = 10) -> DataFrame:
 
 
 def product_lookup(t: Tables, keys: DataFrame) -> DataFrame:
-    """One row per raw text ``key``: whether it is a number, whether it is found, the product."""
-    asked = keys.select("key").distinct().withColumn("Pid", F.expr("try_cast(trim(key) AS bigint)"))
+    """One row per raw text ``key``: whether it is a number, whether it is found, the product.
+
+    A number need not be written as an integer to name a product: '1e1' is 10.
+    """
+    text = F.trim("key")
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    whole = F.when(number == F.floor(number), number.try_cast("long"))
+    asked = (
+        keys.select("key")
+        .distinct()
+        .select(
+            "key",
+            number.isNotNull().alias("valid"),
+            F.coalesce(text.try_cast("long"), whole).alias("Pid"),
+        )
+    )
     products = t["products"].withColumn("found", F.lit(True))
     return asked.join(products, "Pid", "left").select(
         "key",
-        F.col("Pid").isNotNull().alias("valid"),
+        "valid",
         F.coalesce("found", F.lit(False)).alias("found"),
         *t["products"].columns,
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import as_date, as_timestamp
-from marketloom.functions.keyed import latest, next_key, overwrite
+from marketloom.functions.keyed import join_grouped, latest, next_key, overwrite
 from marketloom.functions.text import binary_equal, blank, same_text, zero
 
 Tables = dict[str, DataFrame]
@@ -225,12 +225,15 @@ def summarise_log(log: DataFrame, by: list[str]) -> DataFrame:
     return log.groupBy(*by).agg(*parts)
 
 
-def _settled(summary: DataFrame, orders: DataFrame, how: str) -> DataFrame:
-    """Summaries next to their order, with the case picked that holds for it."""
-    guards = orders.select(
+def _guards(orders: DataFrame) -> DataFrame:
+    return orders.select(
         "Oid", binary_equal("Opayment", "cod").alias("cod"), F.col("Ostatus").alias("base")
     )
-    joined = summary.join(guards, "Oid", how)
+
+
+def _settled(summary: DataFrame, orders: DataFrame) -> DataFrame:
+    """Summaries of known orders, with the case picked that holds for the order."""
+    joined = summary.join(_guards(orders), "Oid")
     picked = [
         F.when(F.col("cod"), F.col(f"{c}_cod")).otherwise(F.col(f"{c}_other")).alias(f"{c}_")
         for c in ("set_seq", "set", "url")
@@ -241,7 +244,7 @@ def _settled(summary: DataFrame, orders: DataFrame, how: str) -> DataFrame:
 
 def resolve_orders(orders: DataFrame, summary: DataFrame) -> DataFrame:
     """Orders after a log that ``summarise_log(log, ["Oid"])`` has reduced."""
-    last = _settled(summary, orders, "inner")
+    last = _settled(summary, orders)
     before = F.coalesce("set_", F.struct(F.col("base").alias("status")))["status"]
     confirmed = F.col("confirm_seq").isNotNull() & (
         F.col("set_seq_").isNull() | (F.col("confirm_seq") > F.col("set_seq_"))
@@ -262,28 +265,42 @@ def resolve_orders(orders: DataFrame, summary: DataFrame) -> DataFrame:
 def decide_log(orders: DataFrame, log: DataFrame, span: int = LOG_SPAN) -> DataFrame:
     """Log rows with ``accepted``: whether the order took the event.
 
-    An order's log is cut into stretches of ``span`` sequence numbers. Each is reduced to a summary,
-    the few summaries of an order are run through in sequence, and every stretch then starts from
-    the status it is entered with. So no task sorts more than ``span`` rows of an order, however
-    long its log is.
+    Orders with up to ``span`` events are run through as they are. The log of a longer one is cut
+    into stretches of ``span`` sequence numbers. Each is reduced to a summary, the few summaries of
+    an order are run through in sequence, and every stretch then starts from the status it is
+    entered with. So no task sorts more than ``span`` rows of an order, however long its log is.
     """
-    cut = log.withColumn("stretch", F.expr(f"seq div {int(span)}"))
-    earlier = (
-        Window.partitionBy("Oid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    entry = _settled(summarise_log(cut, ["Oid", "stretch"]), orders, "inner").select(
-        "Oid",
-        "stretch",
-        "cod",
-        F.coalesce(
-            F.last("set_", ignorenulls=True).over(earlier),
-            F.struct(F.col("base").alias("status")),
-        ).alias("entry"),
-        F.max("set_seq_").over(earlier).alias("entry_set"),
-        F.max("confirm_seq").over(earlier).alias("entry_confirm"),
-    )
+    long = log.groupBy("Oid").agg(F.count("*").alias("n")).where(F.col("n") > span).select("Oid")
+    if long.isEmpty():
+        by, cut = ["Oid"], log
+        entry = _guards(orders).select(
+            "Oid",
+            "cod",
+            F.struct(F.col("base").alias("status")).alias("entry"),
+            F.lit(None).cast("long").alias("entry_set"),
+            F.lit(None).cast("long").alias("entry_confirm"),
+        )
+    else:
+        by = ["Oid", "stretch"]
+        stretch = F.when(F.col("long"), F.expr(f"seq div {int(span)}")).otherwise(F.lit(0))
+        cut = join_grouped(log, long.withColumn("long", F.lit(True)), "Oid", "left").withColumn(
+            "stretch", stretch.cast("long")
+        )
+        earlier = (
+            Window.partitionBy("Oid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        entry = _settled(summarise_log(cut, by), orders).select(
+            *by,
+            "cod",
+            F.coalesce(
+                F.last("set_", ignorenulls=True).over(earlier),
+                F.struct(F.col("base").alias("status")),
+            ).alias("entry"),
+            F.max("set_seq_").over(earlier).alias("entry_set"),
+            F.max("confirm_seq").over(earlier).alias("entry_confirm"),
+        )
     upto = (
-        Window.partitionBy("Oid", "stretch")
+        Window.partitionBy(*by)
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -305,7 +322,7 @@ def decide_log(orders: DataFrame, log: DataFrame, span: int = LOG_SPAN) -> DataF
         .otherwise(F.lit(True))
     )
     return (
-        cut.join(entry, ["Oid", "stretch"], "left")
+        cut.join(entry, by, "left")
         .withColumn("accepted", accepted)
         .select(*log.columns, "accepted")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import as_date, in_same
-from marketloom.functions.keyed import PAGE_SIZE, only_keys, with_pages
+from marketloom.functions.keyed import PAGE_SIZE, join_grouped, only_keys, with_pages
 from marketloom.functions.text import same_text
 
 Tables = dict[str, DataFrame]
@@ -35,7 +35,7 @@ def _items_with_products(t: Tables, how: str, columns: list[str], page_size: int
     """Items in pages next to their products; ``of`` limits them to some orders."""
     items = t["order_items"]
     if of is not None:
-        items = items.join(of.select("Oid"), "Oid", "left_semi")
+        items = join_grouped(items, of.select("Oid"), "Oid", "left_semi")
     paged = with_pages(items, "Oid", _ITEM, page_size)
     return paged.join(t["products"].select("Pid", *columns), "Pid", how)
 

@@ -229,13 +229,16 @@ def _classes(new: DataFrame, customers: DataFrame, col: str, name: str) -> DataF
     """Rows with the class of ``col``: ``name`` is the first ``seq`` with an equal text.
 
     ``{name}_taken`` tells whether a customer has that text already. Texts are compared under the
-    collation here only; all later steps work on the numbers.
+    collation here only; all later steps work on the numbers. The classes are stored so that the
+    join below shuffles both of its sides anew, which lets Spark split a text that is very common.
     """
     key = folded(col).alias("_text")
     groups = new.groupBy(key).agg(F.min("seq").alias(name))
     taken = customers.groupBy(key).agg(F.lit(True).alias(f"{name}_taken"))
-    marked = groups.join(taken, "_text", "left").withColumn(
-        f"{name}_taken", F.coalesce(f"{name}_taken", F.lit(False))
+    marked = durable(
+        groups.join(taken, "_text", "left").withColumn(
+            f"{name}_taken", F.coalesce(f"{name}_taken", F.lit(False))
+        )
     )
     return new.withColumn("_text", folded(col)).join(marked, "_text").drop("_text")
 

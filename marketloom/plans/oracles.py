@@ -138,6 +138,26 @@ _PAYS = """
             WHEN o.Oid IS NULL THEN 'unknown order' END AS reason
         FROM new_payments n LEFT JOIN s_orders o ON n.Oid = o.Oid)"""
 
+# Registrations served round by round: a row wins that is the first open one for both its names.
+_SERVED = """
+    asked AS (
+        SELECT *, lower(Cusername) AS u, lower(Cname) AS n FROM registrations WHERE Czipcode <> ''),
+    flagged AS (
+        SELECT a.*,
+               EXISTS (SELECT 1 FROM s_customers c WHERE lower(c.Cusername) = a.u) AS u_taken,
+               EXISTS (SELECT 1 FROM s_customers c WHERE lower(c.Cname) = a.n) AS n_taken
+        FROM asked a),
+    rounds AS (
+        SELECT seq, u, n, FALSE AS won FROM flagged WHERE NOT u_taken AND NOT n_taken
+        UNION ALL
+        SELECT seq, u, n, first FROM (
+            SELECT *, max(first) OVER (PARTITION BY u) AS u_gone, max(first) OVER (PARTITION BY n) AS n_gone
+            FROM (SELECT seq, u, n, seq = min(seq) OVER (PARTITION BY u)
+                         AND seq = min(seq) OVER (PARTITION BY n) AS first
+                  FROM rounds WHERE NOT won) x) y
+        WHERE first OR NOT (u_gone OR n_gone)),
+    served AS (SELECT seq, u FROM rounds WHERE won)"""
+
 _PRODUCT = "Pid, Pname, Pprice, Pnumproduct, Prenume, Pstatus, Ppicture, Pdetail, Typeid, Subtypeid"
 _CATALOGUE = """
     SELECT p.*, t.typenproduct, s.subname FROM s_products p
@@ -358,6 +378,18 @@ _SQL: dict[str, str] = {
     "m16_add_transfer_accounts_rejects": """
         SELECT seq, Tname, Tnum, Taccount, Tbranch, qrcode, 'incomplete' AS reason
         FROM new_accounts WHERE Tnum = 0 OR Taccount = '' OR qrcode IS NULL""",
+    "m17_register_customers": f"""{_SERVED}
+        SELECT * FROM s_customers
+        UNION ALL
+        SELECT (SELECT max(Cid) FROM s_customers) + a.seq, Cname, Caddress, Cusername, Cpassword, Cphone,
+               'user', DATE '{ORDERED}', Cbirth, Csubdistrict, Cdistrict, Cprovince, Czipcode, Cprofile
+        FROM asked a JOIN served s ON a.seq = s.seq""",
+    "m17_register_customers_rejects": f"""{_SERVED}
+        SELECT r.*, CASE
+            WHEN r.Czipcode = '' THEN 'incomplete'
+            WHEN f.u_taken OR s.seq < r.seq THEN 'user name taken' ELSE 'name taken' END AS reason
+        FROM registrations r LEFT JOIN flagged f ON r.seq = f.seq LEFT JOIN served s ON f.u = s.u
+        WHERE r.seq NOT IN (SELECT seq FROM served)""",
     "m18_set_profile_picture": f"""{_last('picture_changes', 'Cid')}
         {_customers_with(Cprofile='CASE WHEN l.Cid IS NOT NULL THEN l.file ELSE c.Cprofile END')}
         FROM s_customers c LEFT JOIN last l ON c.Cid = l.Cid""",
@@ -390,6 +422,8 @@ def _with_views(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     body = sql.strip()
     views = sql_views(used)
+    if "FROM rounds" in body:
+        views = views.replace("WITH ", "WITH RECURSIVE ", 1)
     if body.upper().startswith("SELECT"):
         return views + body
     return (views.rstrip() + ",\n" if views else "WITH ") + body
