@@ -65,7 +65,7 @@ FOREIGN_KEYS = [
     ("replies", "Askid", "questions", "Askid"),
 ]
 
-GAZETTEER_JSON = T.StructType.fromDDL(
+GAZETTEER_JSON = (
     "name_th STRING, amphure STRUCT<name_th: STRING, province: STRUCT<name_th: STRING>>, "
     "zip_code STRING"
 )
