@@ -81,13 +81,15 @@ def next_key(table: DataFrame, key: str, step: Column) -> Column:
     return top + step
 
 
-def with_pages(rows: DataFrame, key: str, spread: list[str], page_size: int) -> DataFrame:
-    """Add ``page``: 0 for a key of at most ``page_size`` rows, else a hash slice of the key.
+def with_pages(
+    rows: DataFrame, key: str, spread: list[str], page_size: int
+) -> tuple[DataFrame, list[str]]:
+    """Rows and the columns to group them by so that no group is much larger than ``page_size``.
 
     A row must hold its whole list, and a task the rows that make it, so a list has to have a
-    bound. Keys beyond it are cut into as many pages as needed, each in its own group. Finding them
-    reads the key column only and combines before the shuffle; mostly there are none, and then the
-    plan has no join at all.
+    bound. Keys beyond it are cut by hash into as many pages as needed, and ``page`` becomes part
+    of the group. Finding them reads the key column only and combines before the shuffle; mostly
+    there are none, and then the rows stay as they are and the group is the key.
     """
     sizes = (
         rows.groupBy(key)
@@ -96,10 +98,21 @@ def with_pages(rows: DataFrame, key: str, spread: list[str], page_size: int) ->
         .select(key, F.ceil(F.col("_n") / page_size).cast("long").alias("_pages"))
     )
     if sizes.isEmpty():
-        return rows.withColumn("page", F.lit(0))
+        return rows, [key]
     slice_ = F.pmod(F.xxhash64(*spread), F.col("_pages")).cast("int")
-    return (
-        join_grouped(rows, sizes, key, "left")
-        .withColumn("page", F.coalesce(slice_, F.lit(0)))
-        .drop("_pages")
+    paged = join_grouped(rows, sizes, key, "left").withColumn(
+        "page", F.coalesce(slice_, F.lit(0))
     )
+    return paged.drop("_pages"), [key, "page"]
+
+
+def gather(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """``value`` per group of ``by`` (from ``with_pages``), with ``page`` 0 for unpaged groups.
+
+    Lists and texts do not shrink when combined early, so the rows are shuffled first and combined
+    once, and a join on the key that follows finds them in place.
+    """
+    lists = rows.repartition(*by).groupBy(*by).agg(value.alias(name))
+    if "page" in by:
+        return lists
+    return lists.select(*by, F.lit(0).alias("page"), name)

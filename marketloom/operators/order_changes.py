@@ -65,15 +65,13 @@ def place_orders(
     lines = complete.select("seq", F.posexplode("items").alias("pos", "item")).select(
         "seq", "pos", "item.*"
     )
-    gaps = lines.where(
-        F.col("Pid").isNull() | F.col("quantity").isNull() | F.col("price").isNull()
-    ).select("seq")
-    unknown = (
-        lines.where(F.col("Pid").isNotNull())
-        .join(t["products"].select("Pid"), "Pid", "left_anti")
+    known = t["products"].select("Pid", F.lit(True).alias("known"))
+    bad = (
+        lines.join(known, "Pid", "left")
+        .where(F.col("known").isNull() | F.col("quantity").isNull() | F.col("price").isNull())
         .select("seq")
+        .distinct()
     )
-    bad = gaps.unionByName(unknown).distinct()
     accepted = complete.join(bad, "seq", "left_anti")
     new_id = next_key(t["orders"], "Oid", F.col("seq"))
     orders = accepted.select(

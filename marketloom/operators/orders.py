@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import as_date, in_same
-from marketloom.functions.keyed import PAGE_SIZE, join_grouped, only_keys, with_pages
+from marketloom.functions.keyed import PAGE_SIZE, gather, join_grouped, only_keys, with_pages
 from marketloom.functions.text import same_text
 
 Tables = dict[str, DataFrame]
@@ -31,23 +31,22 @@ def orders_with_customer(t: Tables) -> DataFrame:
     )
 
 
-def _items_with_products(t: Tables, how: str, columns: list[str], page_size: int, of=None):
-    """Items in pages next to their products; ``of`` limits them to some orders."""
+def _item_values(
+    t: Tables, how: str, columns: list[str], value: Column, name: str, page_size: int, of
+) -> DataFrame:
+    """``Oid, page`` and ``value`` over the items and their products; ``of`` limits the orders."""
     items = t["order_items"]
     if of is not None:
         items = join_grouped(items, of.select("Oid"), "Oid", "left_semi")
-    paged = with_pages(items, "Oid", _ITEM, page_size)
-    return paged.join(t["products"].select("Pid", *columns), "Pid", how)
+    items, group = with_pages(items, "Oid", _ITEM, page_size)
+    return gather(items.join(t["products"].select("Pid", *columns), "Pid", how), group, value, name)
 
 
 def _item_lists(t: Tables, page_size: int, of: DataFrame | None = None) -> DataFrame:
     """``Oid, page, items``; items without a product are dropped, the rest ordered by item key."""
-    entry = F.struct(*_ITEM, "Pname", "Ppicture")
-    return (
-        _items_with_products(t, "inner", ["Pname", "Ppicture"], page_size, of)
-        .groupBy("Oid", "page")
-        .agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    )
+    columns = ["Pname", "Ppicture"]
+    entries = F.sort_array(F.collect_list(F.struct(*_ITEM, *columns)))
+    return _item_values(t, "inner", columns, entries, "items", page_size, of)
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -81,12 +80,8 @@ def order_detail(t: Tables, keys: DataFrame, page_size: int = PAGE_SIZE) -> Data
 
 def _product_names(t: Tables, how: str, page_size: int, of: DataFrame | None) -> DataFrame:
     """``Oid, page, products``: names joined by ', '; NULL names are skipped, all NULL gives NULL."""
-    order = ", ".join(_ITEM)
-    return (
-        _items_with_products(t, how, ["Pname"], page_size, of)
-        .groupBy("Oid", "page")
-        .agg(F.expr(f"listagg(Pname, ', ') WITHIN GROUP (ORDER BY {order})").alias("products"))
-    )
+    names = F.expr(f"listagg(Pname, ', ') WITHIN GROUP (ORDER BY {', '.join(_ITEM)})")
+    return _item_values(t, how, ["Pname"], names, "products", page_size, of)
 
 
 def customer_order_summary(

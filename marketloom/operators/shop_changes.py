@@ -243,7 +243,7 @@ def _classes(new: DataFrame, customers: DataFrame, col: str, name: str) -> DataF
     return new.withColumn("_text", folded(col)).join(marked, "_text").drop("_text")
 
 
-def _first_come(pairs: DataFrame) -> DataFrame:
+def _first_come(waiting: DataFrame) -> DataFrame:
     """Rows of ``seq, user, full`` that get both their values when served in order of ``seq``.
 
     A row that is the first open one for both its values is served whatever the others are, and
@@ -252,7 +252,6 @@ def _first_come(pairs: DataFrame) -> DataFrame:
     fast. Every round is cut off by a reliable checkpoint.
     """
     served = []
-    waiting = durable(pairs)
     while not waiting.isEmpty():
         by_user = waiting.groupBy("user").agg(F.min("seq").alias("seq"))
         by_full = waiting.groupBy("full").agg(F.min("seq").alias("seq"))

@@ -7,6 +7,7 @@ so the Spark queries and their SQL counterparts start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 _NO_TEXT = "CAST(NULL AS STRING)"
@@ -279,9 +280,6 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
 }
 
-SHOP_TABLES = [v for v in VIEWS if v.startswith("s_")]
-
-
 def shape(df: DataFrame, view: str) -> DataFrame:
     """Apply a view's condition and expressions to a batch or streaming frame of its table."""
     _, where, columns = VIEWS[view]
@@ -298,8 +296,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shape(df, name)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -310,9 +315,9 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shape(spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{table}.parquet}}"), name)
 
 
-def shop(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All shop tables by their own names."""
-    return {name[2:]: view(spark, sf_dir, name) for name in SHOP_TABLES}
+def shop(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named shop tables."""
+    return {name: view(spark, sf_dir, f"s_{name}") for name in names}
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:

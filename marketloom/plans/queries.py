@@ -12,7 +12,7 @@ from marketloom.operators import order_changes as oc
 from marketloom.operators import shop_changes as sc
 from marketloom.plans.driver_views import gazetteer, shop, stream_view, view
 from marketloom.schemas import declared
-from marketloom.session import scratch_path
+from marketloom.session import durable, scratch_path
 from marketloom.sources.gazetteer import load_gazetteer
 from marketloom.sources.tables import load_tables, write_json, write_snapshot, write_tables
 from marketloom.streaming import changes as streams
@@ -21,6 +21,9 @@ from marketloom.streaming.sinks import run_available
 AS_OF = "2001-07-31"
 ORDERED = "2024-06-01"
 
+_ORDER_TABLES = ["orders", "order_items", "products"]
+_CATALOGUE = ["products", "product_types", "subtypes"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -45,17 +48,17 @@ def _entries_text(df: DataFrame) -> DataFrame:
 
 @_query
 def q01_orders_with_customer(spark, sf):
-    return orders.orders_with_customer(shop(spark, sf))
+    return orders.orders_with_customer(shop(spark, sf, "orders", "customers"))
 
 
 @_query
 def q02_customer_orders_nested(spark, sf):
-    return _entries_text(orders.customer_orders_nested(shop(spark, sf)))
+    return _entries_text(orders.customer_orders_nested(shop(spark, sf, *_ORDER_TABLES)))
 
 
 @_query
 def q03_order_detail(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, *_ORDER_TABLES, "customers", "reviews")
     asked = t["orders"].select("Oid").unionByName(
         t["reviews"].where("order_id IS NOT NULL").select(F.col("order_id").alias("Oid"))
     )
@@ -64,103 +67,103 @@ def q03_order_detail(spark, sf):
 
 @_query
 def q04_customer_order_summary(spark, sf):
-    return orders.customer_order_summary(shop(spark, sf))
+    return orders.customer_order_summary(shop(spark, sf, *_ORDER_TABLES))
 
 
 @_query
 def q05_customer_order_summary_strict(spark, sf):
-    return orders.customer_order_summary_strict(shop(spark, sf))
+    return orders.customer_order_summary_strict(shop(spark, sf, *_ORDER_TABLES))
 
 
 @_query
 def q06_sales_stats(spark, sf):
-    return orders.sales_stats(shop(spark, sf), as_of=AS_OF)
+    return orders.sales_stats(shop(spark, sf, "orders"), as_of=AS_OF)
 
 
 @_query
 def q07_customers_with_order_count(spark, sf):
-    return customers.customers_with_order_count(shop(spark, sf))
+    return customers.customers_with_order_count(shop(spark, sf, "orders", "customers"))
 
 
 @_query
 def q08_product_catalogue(spark, sf):
-    return catalogue.product_catalogue(shop(spark, sf))
+    return catalogue.product_catalogue(shop(spark, sf, *_CATALOGUE))
 
 
 @_query
 def q09_products_by_type(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, *_CATALOGUE)
     return catalogue.products_by_type(t, t["product_types"])
 
 
 @_query
 def q10_latest_products(spark, sf):
-    return catalogue.latest_products(shop(spark, sf))
+    return catalogue.latest_products(shop(spark, sf, "products"))
 
 
 @_query
 def q11_product_lookup(spark, sf):
-    return catalogue.product_lookup(shop(spark, sf), view(spark, sf, "raw_keys"))
+    return catalogue.product_lookup(shop(spark, sf, "products"), view(spark, sf, "raw_keys"))
 
 
 @_query
 def q12_product_types(spark, sf):
-    return catalogue.product_types(shop(spark, sf))
+    return catalogue.product_types(shop(spark, sf, "product_types"))
 
 
 @_query
 def q13_subtypes_of(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "product_types", "subtypes")
     return catalogue.subtypes_of(t, t["product_types"])
 
 
 @_query
 def q14_favorite_products(spark, sf):
-    return catalogue.favorite_products(shop(spark, sf))
+    return catalogue.favorite_products(shop(spark, sf, "favorites", "products"))
 
 
 @_query
 def q15_recent_reviews(spark, sf):
-    return feedback.recent_reviews(shop(spark, sf))
+    return feedback.recent_reviews(shop(spark, sf, "reviews"))
 
 
 @_query
 def q16_reviews_with_order(spark, sf):
-    return feedback.reviews_with_order(shop(spark, sf))
+    return feedback.reviews_with_order(shop(spark, sf, "reviews", "orders"))
 
 
 @_query
 def q17_review_of_order(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "reviews", "orders")
     return feedback.review_of_order(t, t["orders"].select(F.col("Oid").alias("order_id")))
 
 
 @_query
 def q18_payments_with_account(spark, sf):
-    return feedback.payments_with_account(shop(spark, sf))
+    return feedback.payments_with_account(shop(spark, sf, "payments", "transfer"))
 
 
 @_query
 def q19_payment_of_order(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "payments", "transfer", "orders")
     return feedback.payment_of_order(t, t["orders"])
 
 
 @_query
 def q20_transfer_accounts(spark, sf):
-    return feedback.transfer_accounts(shop(spark, sf))
+    return feedback.transfer_accounts(shop(spark, sf, "transfer"))
 
 
 @_query
 def q21_customer_profiles(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "customers", "orders")
     return customers.customer_profiles(t, t["orders"].where("Cid IS NOT NULL"))
 
 
 @_query
 def q21_profiles_by_user_name(spark, sf):
     asked = view(spark, sf, "user_names").unionByName(view(spark, sf, "supplier_names"))
-    return customers.customer_profiles(shop(spark, sf), asked, by="Cusername")
+    return customers.customer_profiles(shop(spark, sf, "customers"), asked, by="Cusername")
 
 
 def _places(spark, sf):
@@ -174,7 +177,7 @@ def _places(spark, sf):
 @_query
 def q22_enrich_addresses(spark, sf):
     located = catalogue.enrich_addresses(
-        shop(spark, sf)["customers"], _places(spark, sf), "Czipcode"
+        shop(spark, sf, "customers")["customers"], _places(spark, sf), "Czipcode"
     )
     return located.select("Cid", "Czipcode", "zip_found", "subdistrict", "district", "province")
 
@@ -184,7 +187,7 @@ def q22_enrich_addresses(spark, sf):
 
 @_query
 def s1_load_tables(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "products")
     # The stored table has the declared type; the test data's totals need two more digits.
     folder = write_tables({"products": t["products"]}, scratch_path(spark, "tables"))
     return load_tables(spark, folder, ["products"])["products"]
@@ -205,7 +208,7 @@ def s3_snapshot_roundtrip(spark, sf):
 @_query
 def s4_json_roundtrip(spark, sf):
     path = scratch_path(spark, "json")
-    nested = orders.customer_orders_nested(shop(spark, sf))
+    nested = orders.customer_orders_nested(shop(spark, sf, *_ORDER_TABLES))
     write_json(nested, path)
     return _entries_text(spark.read.schema(nested.schema).json(path))
 
@@ -249,13 +252,16 @@ def m02_soft_delete_customers(spark, sf):
 
 
 def _place(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, *_ORDER_TABLES)
     lists = orders.customer_orders_nested(
         {**t, "orders": t["orders"].withColumn("Cid", F.coalesce("Cid", F.lit(0).cast("long")))}
     )
     items = "transform(items, x -> named_struct('Pid', x.Pid, 'quantity', x.Oquantity, 'price', x.Oprice))"
-    requests = lists.selectExpr(
-        "Oid + 1 AS seq", "Cid", "Opayment AS payment", "Oprice AS totalPrice", f"{items} AS items"
+    # Requests are an input of the operator, so they are stored before it reads them.
+    requests = durable(
+        lists.selectExpr(
+            "Oid + 1 AS seq", "Cid", "Opayment AS payment", "Oprice AS totalPrice", f"{items} AS items"
+        )
     )
     kept = t["products"].where("Pstatus <> 'ECONOMY'")
     return oc.place_orders({**t, "products": kept}, requests, ORDERED)
@@ -392,7 +398,7 @@ def m12_update_products_rejects(spark, sf):
 
 
 def _delete_products(spark, sf):
-    return sc.delete_products(shop(spark, sf), view(spark, sf, "dropped_products"))
+    return sc.delete_products(shop(spark, sf, "products", "order_items"), view(spark, sf, "dropped_products"))
 
 
 @_query
@@ -421,7 +427,7 @@ def m14_toggle_favorites_rejects(spark, sf):
 
 def _pay(spark, sf):
     return oc.record_payments(
-        shop(spark, sf), view(spark, sf, "new_payments"), F.lit(ORDERED).cast("timestamp_ntz")
+        shop(spark, sf, "payments", "orders"), view(spark, sf, "new_payments"), F.lit(ORDERED).cast("timestamp_ntz")
     )
 
 
@@ -492,7 +498,7 @@ def c2_missing_values(spark, sf):
 
 @_query
 def c3_foreign_keys(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "reviews", "orders")
     return quality.check_foreign_key(t["reviews"], t["orders"], "order_id", "Oid")
 
 
@@ -514,7 +520,7 @@ def c6_product_payload(spark, sf):
 
 @_query
 def c7_cascade_delete(spark, sf):
-    t = shop(spark, sf)
+    t = shop(spark, sf, "orders", "payments")
     cancelled = t["orders"].where("Ostatus = 'cancelled'")
     return quality.cascade_delete(cancelled, t["payments"], "Oid")
 

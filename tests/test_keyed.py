@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from marketloom.functions.keyed import join_grouped, only_keys, with_pages, without_keys
+from marketloom.functions.keyed import gather, join_grouped, only_keys, with_pages, without_keys
 from marketloom.operators import catalogue, orders
 from marketloom.session import checkpoint_root, durable, scratch_path
 
@@ -110,8 +110,9 @@ def test_hot_product_in_favorites_is_split(shuffled, skewed):
 
 
 def test_pages_of_a_hot_key(spark, skewed):
-    paged = with_pages(skewed, "k", ["id"], 5_000)
-    sizes = {(r["k"], r["page"]): r["count"] for r in rows(paged.groupBy("k", "page").count())}
+    paged, group = with_pages(skewed, "k", ["id"], 5_000)
+    assert group == ["k", "page"]
+    sizes = {(r["k"], r["page"]): r["count"] for r in rows(paged.groupBy(*group).count())}
     hot = [n for (k, _), n in sizes.items() if k == 7]
     assert len(hot) > 10 and max(hot) < 10_000
     assert {p for (k, p) in sizes if k != 7} == {0}
@@ -119,8 +120,15 @@ def test_pages_of_a_hot_key(spark, skewed):
 
 
 def test_no_join_without_large_keys(spark, skewed):
-    plan = with_pages(skewed, "k", ["id"], 1_000_000)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
+    same, group = with_pages(skewed, "k", ["id"], 1_000_000)
+    assert same is skewed and group == ["k"]
+
+
+def test_lists_are_shuffled_once_for_grouping_and_join(shuffled, skewed):
+    lists = gather(skewed, ["k"], F.collect_list("id"), "ids")
+    keys = shuffled.range(0, 2000).withColumnRenamed("id", "k")
+    plan = keys.join(lists, "k", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "partial_collect_list" not in plan.split("Exchange ")[0]
 
 
 def test_filters_and_columns_reach_the_scan(spark, skewed):
