@@ -50,6 +50,8 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            # Small test data: let a partition of a few kilobytes still have its own thread.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

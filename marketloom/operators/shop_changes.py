@@ -226,21 +226,20 @@ def set_profile_picture(customers: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _classes(new: DataFrame, customers: DataFrame, col: str, name: str) -> DataFrame:
-    """Rows with the class of ``col``: ``name`` is the first ``seq`` with an equal text.
+    """Class of every text in ``col``: ``name`` is the first ``seq`` with an equal text.
 
-    ``{name}_taken`` tells whether a customer has that text already. Texts are compared under the
-    collation here only; all later steps work on the numbers. The classes are stored so that the
-    join below shuffles both of its sides anew, which lets Spark split a text that is very common.
+    ``{name}_taken`` tells whether a customer has that text already. Comparing under the collation
+    is slow, so that is done once per distinct text; rows find their class by the plain text, and
+    all later steps work on the numbers.
     """
     key = folded(col).alias("_text")
-    groups = new.groupBy(key).agg(F.min("seq").alias(name))
-    taken = customers.groupBy(key).agg(F.lit(True).alias(f"{name}_taken"))
-    marked = durable(
-        groups.join(taken, "_text", "left").withColumn(
-            f"{name}_taken", F.coalesce(f"{name}_taken", F.lit(False))
-        )
+    texts = new.groupBy(col).agg(F.min("seq").alias("_first"))
+    classes = texts.groupBy(key).agg(F.min("_first").alias(name))
+    taken = customers.select(col).distinct().groupBy(key).agg(F.lit(True).alias(f"{name}_taken"))
+    marked = classes.join(taken, "_text", "left").withColumn(
+        f"{name}_taken", F.coalesce(f"{name}_taken", F.lit(False))
     )
-    return new.withColumn("_text", folded(col)).join(marked, "_text").drop("_text")
+    return texts.select(col, key).join(marked, "_text").drop("_text")
 
 
 def _first_come(waiting: DataFrame) -> DataFrame:
@@ -249,7 +248,7 @@ def _first_come(waiting: DataFrame) -> DataFrame:
     A row that is the first open one for both its values is served whatever the others are, and
     then the open rows that share a value with it are refused. This repeats until no row is open.
     The first open row is always served, so it ends; in random data the number of open rows drops
-    fast. Every round is cut off by a reliable checkpoint.
+    fast. Every round is stored, which keeps the lineage short.
     """
     served = []
     while not waiting.isEmpty():
@@ -280,7 +279,8 @@ def register_customers(
     )
     complete = new.where(~incomplete)
     texts = complete.select("seq", "Cusername", "Cname")
-    classed = _classes(_classes(texts, customers, "Cusername", "user"), customers, "Cname", "full")
+    classed = join_grouped(texts, _classes(texts, customers, "Cusername", "user"), "Cusername", "inner")
+    classed = join_grouped(classed, _classes(texts, customers, "Cname", "full"), "Cname", "inner")
     pairs = durable(classed.drop("Cusername", "Cname"))
     free = pairs.where(~F.col("user_taken") & ~F.col("full_taken"))
     served = _first_come(free.select("seq", "user", "full"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -51,7 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/marketloom/{name}-{uuid4().hex}"
 
 
-def durable(df):
-    """Reliable checkpoint: the rows survive lost executors and the lineage ends here."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame) -> DataFrame:
+    """The rows as a table written once to the shared folder.
+
+    It survives lost executors and ends the lineage. Unlike ``checkpoint()``, which runs the last
+    stage a second time to write it, the rows are computed once, and readers get their columns only.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
