@@ -98,6 +98,13 @@ _FOLDED = f"""{_FOLD}
                   "coalesce(u.url, o.Oslip)")}
     LEFT JOIN states s ON o.Oid = s.Oid AND s.back = 1 LEFT JOIN urls u ON o.Oid = u.Oid"""
 
+_DECIDED = f"""{_FOLD}
+    SELECT seq, Oid, kind, status, url,
+           CASE WHEN NOT known THEN FALSE
+                WHEN kind = 'confirm' THEN coalesce(held = 'shipped', FALSE) AND confirms = 1
+                WHEN kind = 'slip' THEN NOT cod ELSE TRUE END AS accepted
+    FROM states"""
+
 _VALID_REVIEW = "text IS NOT NULL AND stars BETWEEN 1 AND 5"
 _REVIEWED = f"""
     added AS (
@@ -307,12 +314,7 @@ _SQL: dict[str, str] = {
         LEFT JOIN s_orders o ON l.Oid = o.Oid
         WHERE NOT coalesce(o.Ostatus = 'shipped' AND l.rn = 1, FALSE)""",
     "m07_fold_order_log": _FOLDED,
-    "m07_fold_order_log_decisions": f"""{_FOLD}
-        SELECT seq, Oid, kind, status, url,
-               CASE WHEN NOT known THEN FALSE
-                    WHEN kind = 'confirm' THEN coalesce(held = 'shipped', FALSE) AND confirms = 1
-                    WHEN kind = 'slip' THEN NOT cod ELSE TRUE END AS accepted
-        FROM states""",
+    "m07_fold_order_log_decisions": _DECIDED,
     "m08_add_order_reviews": f"""{_REVIEWED}
         SELECT id, text, stars, created_at, order_id FROM s_reviews
         UNION ALL
@@ -411,6 +413,7 @@ _SQL: dict[str, str] = {
         SELECT * FROM s_payments p WHERE NOT EXISTS (
             SELECT 1 FROM s_orders o WHERE o.Oid = p.Oid AND o.Ostatus = 'cancelled')""",
     "x1_stream_order_status": _FOLDED,
+    "x1_stream_order_decisions": _DECIDED,
     "x2_stream_favorites": _TOGGLED,
     "x3_stream_sales": " UNION ALL ".join(_bucket(g) for g in ("day", "week", "month")),
     "x4_stream_first_review": f"{_REVIEWED} SELECT order_id, seq, text, stars FROM added",

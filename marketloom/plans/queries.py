@@ -16,7 +16,7 @@ from marketloom.session import durable, scratch_path
 from marketloom.sources.gazetteer import load_gazetteer
 from marketloom.sources.tables import load_tables, write_json, write_snapshot, write_tables
 from marketloom.streaming import changes as streams
-from marketloom.streaming.sinks import run_available
+from marketloom.streaming.sinks import fold_stream, run_available
 
 AS_OF = "2001-07-31"
 ORDERED = "2024-06-01"
@@ -538,6 +538,14 @@ def x1_stream_order_status(spark, sf):
     return streams.order_status(_orders(spark, sf), _run(spark, reduced, "order_status"))
 
 
+@_query
+def x1_stream_order_decisions(spark, sf):
+    path = scratch_path(spark, "decisions")
+    log = stream_view(spark, sf, "order_log")
+    fold_stream(log, _orders(spark, sf), path, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{path}/decisions").drop("batch")
+
+
 @_query
 def x2_stream_favorites(spark, sf):
     counts = streams.stream_favorites(stream_view(spark, sf, "favorite_log"))

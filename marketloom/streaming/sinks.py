@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marketloom.functions.keyed import only_keys
+from marketloom.operators.order_changes import fold_order_log
+
 
 def write_changelog(reduced: DataFrame, path: str, available_now: bool = False) -> StreamingQuery:
     """Start a query that writes the keys changed by each micro-batch below ``path``.
@@ -28,12 +31,16 @@ def write_changelog(reduced: DataFrame, path: str, available_now: bool = False)
     return writer.start()
 
 
-def read_changelog(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
-    """Newest row per key of a changelog written by ``write_changelog``."""
+def read_changelog(
+    spark: SparkSession, path: str, keys: list[str], schema, before: int | None = None
+) -> DataFrame:
+    """Newest row per key of a changelog; ``before`` leaves out that batch and later ones."""
     try:
         rows = spark.read.schema(schema).parquet(f"{path}/log")
     except AnalysisException:  # no batch was written yet
         return spark.createDataFrame([], schema)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
     rest = [c for c in schema.names if c not in keys]
     return (
         rows.groupBy(*keys)
@@ -42,6 +49,35 @@ def read_changelog(spark: SparkSession, path: str, keys: list[str], schema) -> D
     )
 
 
+def fold_stream(
+    log: DataFrame, orders: DataFrame, path: str, available_now: bool = False
+) -> StreamingQuery:
+    """Start a query that applies an order log batch by batch and decides every event.
+
+    Each micro-batch is folded by the batch operator, from the orders as earlier batches left them:
+    changed orders go to the changelog ``path/log``, events with ``accepted`` to
+    ``path/decisions``. Rows of one batch are taken by ``seq``, batches as they arrive. Only the
+    orders that a batch names are read further, but the changelog is searched for them every time,
+    so use few large batches.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        named = only_keys(orders, batch, "Oid")
+        earlier = only_keys(
+            read_changelog(spark, path, ["Oid"], orders.schema, before=batch_id), batch, "Oid"
+        )
+        untouched = named.join(earlier.select("Oid"), "Oid", "left_anti").select(*named.columns)
+        state, decisions = fold_order_log(untouched.unionByName(earlier), batch)
+        decisions.write.mode("overwrite").parquet(f"{path}/decisions/batch={batch_id}")
+        state.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+
+    writer = log.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def run_available(reduced: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Run a reduced stream over all that its source holds and return the newest row per key."""
     spark = reduced.sparkSession

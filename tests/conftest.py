@@ -82,7 +82,7 @@ def seed(spark):
         for i in range(1, 13)
     ]
     products = [
-        {"Pid": i, "Pname": f"Plant {i}", "Pprice": money(10 * i), "Prenume": 0}
+        {"Pid": i, "Pname": f"Item {i}", "Pprice": money(10 * i), "Prenume": 0}
         for i in range(1, 11)
     ]
     return {

@@ -11,7 +11,12 @@ from marketloom.functions.dates import start_of
 from marketloom.operators import order_changes as oc
 from marketloom.operators import shop_changes as sc
 from marketloom.streaming import changes as streams
-from marketloom.streaming.sinks import read_changelog, run_available, write_changelog
+from marketloom.streaming.sinks import (
+    fold_stream,
+    read_changelog,
+    run_available,
+    write_changelog,
+)
 
 
 def arriving(spark, df, folder, files, order="seq"):
@@ -42,6 +47,27 @@ def test_order_status(spark, tmp_path, files):
     assert as_set(streams.order_status(table, reduced)) == as_set(want)
 
 
+def test_order_decisions(spark, tmp_path):
+    """Four batches, the last one run twice: every event is decided as in one batch."""
+    rng = random.Random(11)
+    table = orders_frame(spark, *[("shipped", rng.choice(["cod", None])) for _ in range(20)])
+    log = spark.createDataFrame(random_log(rng, 200, range(1, 23), hot=1), LOG)
+    stream = arriving(spark, log, str(tmp_path / "in"), 4)
+    out = str(tmp_path / "out")
+    fold_stream(stream, table, out, available_now=True).awaitTermination()
+    commits = tmp_path / "out" / "checkpoint" / "commits"
+    for name in ("3", ".3.crc"):  # as if the query had failed before it noted the last batch
+        (commits / name).unlink(missing_ok=True)
+    fold_stream(stream, table, out, available_now=True).awaitTermination()
+    want_state, want = oc.fold_order_log(table, log)
+    got = spark.read.parquet(f"{out}/decisions")
+    assert got.select("batch").distinct().count() == 4
+    assert as_set(got.drop("batch")) == as_set(want)
+    state = read_changelog(spark, out, ["Oid"], table.schema)
+    named = want_state.join(log.select("Oid").distinct(), "Oid", "left_semi")
+    assert as_set(state) == as_set(named)
+
+
 def test_favorites(spark, tmp_path, edge):
     rng = random.Random(5)
     log = spark.createDataFrame(
