@@ -116,3 +116,17 @@ def gather(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFram
     if "page" in by:
         return lists
     return lists.select(*by, F.lit(0).alias("page"), name)
+
+
+def join_pages(rows: DataFrame, lists: DataFrame, key: str, paged: bool) -> DataFrame:
+    """Left join of ``rows``, one per key, with the lists of ``gather``.
+
+    A key in very many pages is hot on the side of the lists, where a left join cannot be split.
+    So with pages it is an inner join, which can, and the rows without a list are added.
+    """
+    if paged:
+        bare = rows.join(lists.select(key).distinct(), key, "left_anti")
+        joined = lists.join(rows, key).unionByName(bare, allowMissingColumns=True)
+    else:
+        joined = rows.join(lists, key, "left")
+    return joined.withColumn("page", F.coalesce("page", F.lit(0)))

@@ -13,7 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import as_date, in_same
-from marketloom.functions.keyed import PAGE_SIZE, gather, join_grouped, only_keys, with_pages
+from marketloom.functions.keyed import (
+    PAGE_SIZE,
+    gather,
+    join_grouped,
+    join_pages,
+    only_keys,
+    with_pages,
+)
 from marketloom.functions.text import same_text
 
 Tables = dict[str, DataFrame]
@@ -33,28 +40,28 @@ def orders_with_customer(t: Tables) -> DataFrame:
 
 def _item_values(
     t: Tables, how: str, columns: list[str], value: Column, name: str, page_size: int, of
-) -> DataFrame:
-    """``Oid, page`` and ``value`` over the items and their products; ``of`` limits the orders."""
+) -> tuple[DataFrame, bool]:
+    """``Oid, page`` and ``value`` over the items and their products, and whether there are pages.
+
+    ``of`` limits the orders.
+    """
     items = t["order_items"]
     if of is not None:
         items = join_grouped(items, of.select("Oid"), "Oid", "left_semi")
     items, group = with_pages(items, "Oid", _ITEM, page_size)
-    return gather(items.join(t["products"].select("Pid", *columns), "Pid", how), group, value, name)
+    named = items.join(t["products"].select("Pid", *columns), "Pid", how)
+    return gather(named, group, value, name), "page" in group
 
 
-def _item_lists(t: Tables, page_size: int, of: DataFrame | None = None) -> DataFrame:
-    """``Oid, page, items``; items without a product are dropped, the rest ordered by item key."""
+def _with_items(
+    rows: DataFrame, t: Tables, page_size: int, of: DataFrame | None = None
+) -> DataFrame:
+    """Rows with their ``items``: those without a product are dropped, the rest ordered by key."""
     columns = ["Pname", "Ppicture"]
     entries = F.sort_array(F.collect_list(F.struct(*_ITEM, *columns)))
-    return _item_values(t, "inner", columns, entries, "items", page_size, of)
-
-
-def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    lists, paged = _item_values(t, "inner", columns, entries, "items", page_size, of)
     empty = F.array().cast(lists.schema["items"].dataType)
-    out = rows.join(lists, "Oid", "left")
-    return out.withColumn("page", F.coalesce("page", F.lit(0))).withColumn(
-        "items", F.coalesce("items", empty)
-    )
+    return join_pages(rows, lists, "Oid", paged).withColumn("items", F.coalesce("items", empty))
 
 
 def customer_orders_nested(
@@ -62,8 +69,10 @@ def customer_orders_nested(
 ) -> DataFrame:
     """Orders per customer with their ``items`` array; newest first. ``keys`` holds ``Cid``."""
     orders = only_keys(t["orders"], keys, "Cid")
-    lists = _item_lists(t, page_size, of=None if keys is None else orders)
-    return _with_lists(orders, lists).orderBy("Cid", F.desc("Odate"), F.desc("Oid"), "page")
+    nested = _with_items(orders, t, page_size, of=None if keys is None else orders)
+    return nested.select(*t["orders"].columns, "page", "items").orderBy(
+        "Cid", F.desc("Odate"), F.desc("Oid"), "page"
+    )
 
 
 def order_detail(t: Tables, keys: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -73,13 +82,15 @@ def order_detail(t: Tables, keys: DataFrame, page_size: int = PAGE_SIZE) -> Data
     """
     keys = keys.select("Oid").distinct()
     named = t["orders"].join(t["customers"].select("Cid", "Cname"), "Cid")
-    lists = _item_lists(t, page_size, of=keys)
     columns = ["Oid", *[c for c in t["orders"].columns if c != "Oid"], "Cname", "page", "items"]
-    return _with_lists(keys.join(named, "Oid", "left"), lists).select(*columns)
+    return _with_items(keys.join(named, "Oid", "left"), t, page_size, of=keys).select(*columns)
 
 
-def _product_names(t: Tables, how: str, page_size: int, of: DataFrame | None) -> DataFrame:
-    """``Oid, page, products``: names joined by ', '; NULL names are skipped, all NULL gives NULL."""
+def _product_names(t: Tables, how: str, page_size: int, of: DataFrame | None):
+    """``Oid, page, products``: names joined by ', '; NULL names are skipped, all NULL gives NULL.
+
+    Second, whether there are pages.
+    """
     names = F.expr(f"listagg(Pname, ', ') WITHIN GROUP (ORDER BY {', '.join(_ITEM)})")
     return _item_values(t, how, ["Pname"], names, "products", page_size, of)
 
@@ -89,10 +100,10 @@ def customer_order_summary(
 ) -> DataFrame:
     """Orders with the names of their products as one text; orders without items stay."""
     orders = only_keys(t["orders"], keys, "Cid")
-    names = _product_names(t, "left", page_size, None if keys is None else orders)
+    names, paged = _product_names(t, "left", page_size, None if keys is None else orders)
     return (
-        orders.join(names, "Oid", "left")
-        .select("Oid", "Odate", "Ostatus", "Oprice", F.coalesce("page", F.lit(0)).alias("page"), "products")
+        join_pages(orders, names, "Oid", paged)
+        .select("Oid", "Odate", "Ostatus", "Oprice", "page", "products")
         .orderBy(F.desc("Oid"), "page")
     )
 
@@ -102,7 +113,7 @@ def customer_order_summary_strict(
 ) -> DataFrame:
     """As ``customer_order_summary``, but only orders that have a known product; newest first."""
     orders = only_keys(t["orders"], keys, "Cid")
-    names = _product_names(t, "inner", page_size, None if keys is None else orders)
+    names, _ = _product_names(t, "inner", page_size, None if keys is None else orders)
     return (
         orders.join(names, "Oid")
         .select("Oid", "Odate", "Ostatus", F.col("Oprice").alias("Ototal"), "page", "products")
