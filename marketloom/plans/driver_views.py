@@ -57,22 +57,18 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "Pstatus": "p_type",
             "Ppicture": "p_brand",
             "Pdetail": _NO_TEXT,
-            "Typeid": "CAST(p_size % 6 AS BIGINT)",
-            "Subtypeid": "p_partkey % 27",
+            "Typeid": "CAST(p_size AS BIGINT) * 3",
+            "Subtypeid": "p_partkey",
         },
     ),
-    "s_product_types": (
-        "region",
-        None,
-        {"Typeid": "CAST(r_regionkey AS BIGINT)", "typenproduct": "r_name"},
-    ),
+    "s_product_types": ("supplier", None, {"Typeid": "s_suppkey", "typenproduct": "s_name"}),
     "s_subtypes": (
-        "nation",
+        "customer",
         None,
         {
-            "Subtypeid": "CAST(n_nationkey AS BIGINT)",
-            "subname": "n_name",
-            "Typeid": "CAST(n_regionkey AS BIGINT)",
+            "Subtypeid": "c_custkey",
+            "subname": "c_name",
+            "Typeid": "CAST(c_nationkey AS BIGINT)",
         },
     ),
     "s_customers": (
@@ -321,15 +317,22 @@ def shop(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as gazetteer entries in the nested form of the JSON file, with ``pos``."""
-    nation = read_table(spark, sf_dir, "nation")
-    region = read_table(spark, sf_dir, "region")
-    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).selectExpr(
-        "n_name AS name_th",
-        "named_struct('name_th', concat('D', CAST(n_nationkey AS STRING)), "
-        "'province', named_struct('name_th', r_name)) AS amphure",
-        "CAST(10000 + n_nationkey % 20 AS STRING) AS zip_code",
-        "n_nationkey AS pos",
+    """Suppliers with nation and region as gazetteer entries in the nested form of the JSON file.
+
+    ``pos`` is the place of the entry in the file.
+    """
+    supplier, nation, region = (
+        read_table(spark, sf_dir, name) for name in ("supplier", "nation", "region")
+    )
+    return (
+        supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
+        .join(region, nation["n_regionkey"] == region["r_regionkey"])
+        .selectExpr(
+            "s_name AS name_th",
+            "named_struct('name_th', n_name, 'province', named_struct('name_th', r_name)) AS amphure",
+            "CAST(10000 + s_nationkey % 20 AS STRING) AS zip_code",
+            "s_suppkey AS pos",
+        )
     )
 
 

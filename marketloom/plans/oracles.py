@@ -26,10 +26,9 @@ _PROFILE = (
     "Cphone, Cdate, Cbirth, Cprofile"
 )
 _PLACES = """places AS (
-    SELECT CAST(10000 + n_nationkey % 20 AS STRING) AS zip_code, n_name AS subdistrict,
-           concat('D', CAST(n_nationkey AS STRING)) AS district, r_name AS province,
-           row_number() OVER (ORDER BY n_nationkey) - 1 AS pos
-    FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+    SELECT CAST(10000 + s_nationkey % 20 AS STRING) AS zip_code, s_name AS subdistrict,
+           n_name AS district, r_name AS province, s_suppkey AS pos
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def _last(changes: str, key: str, where: str = "TRUE") -> str:
@@ -268,7 +267,7 @@ _SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY pos) AS rn FROM places
         ) g ON g.zip_code = c.Czipcode AND g.rn = 1""",
     "s1_load_tables": "SELECT * FROM s_products",
-    "s2_gazetteer": f"{_PLACES} SELECT * FROM places",
+    "s2_gazetteer": f"{_PLACES} SELECT zip_code, subdistrict, district, province FROM places",
     "s3_snapshot_roundtrip": "SELECT * FROM s_orders",
     "s4_json_roundtrip": f"{_LISTS} {_NESTED}",
     "m01_set_status": _set_status("kind = 'set'"),

@@ -167,9 +167,9 @@ def q21_profiles_by_user_name(spark, sf):
 
 
 def _places(spark, sf):
-    """The gazetteer, written as a JSON file in its own order and read back."""
+    """The gazetteer, written as JSON in its own order and read back."""
     path = scratch_path(spark, "gazetteer")
-    places = gazetteer(spark, sf).repartitionByRange(1, "pos").sortWithinPartitions("pos")
+    places = gazetteer(spark, sf).repartitionByRange("pos").sortWithinPartitions("pos")
     write_json(places.drop("pos"), path)
     return load_gazetteer(spark, path, multi_line=False)
 
@@ -195,7 +195,7 @@ def s1_load_tables(spark, sf):
 
 @_query
 def s2_gazetteer(spark, sf):
-    return _places(spark, sf).withColumn("pos", F.col("pos").cast("long"))
+    return _places(spark, sf).drop("pos")
 
 
 @_query

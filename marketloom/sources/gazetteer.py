@@ -9,10 +9,11 @@ from marketloom.schemas import GAZETTEER_JSON
 
 
 def load_gazetteer(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """``zip_code, subdistrict, district, province, pos`` of one JSON file.
+    """``zip_code, subdistrict, district, province, pos`` of a JSON file or a folder of them.
 
-    ``multi_line`` reads one JSON array, otherwise one entry per line. ``pos`` follows the order in
-    the file, which Spark reads from front to back: ids rise within a split and from split to split.
+    ``multi_line`` reads one JSON array per file, otherwise one entry per line. ``pos`` orders the
+    entries as they stand: by file name, by place of the split in its file, and by row, since ids
+    rise while a split is read.
     """
     entries = spark.read.schema(GAZETTEER_JSON).json(path, multiLine=multi_line)
     return entries.select(
@@ -20,5 +21,9 @@ def load_gazetteer(spark: SparkSession, path: str, multi_line: bool = True) -> D
         F.col("name_th").alias("subdistrict"),
         F.col("amphure.name_th").alias("district"),
         F.col("amphure.province.name_th").alias("province"),
-        F.monotonically_increasing_id().alias("pos"),
+        F.struct(
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("pos"),
     )

@@ -5,6 +5,7 @@ from conftest import frame, rows
 
 from marketloom import schemas
 from marketloom.operators import orders
+from marketloom.sources.gazetteer import load_gazetteer
 from marketloom.sources.tables import load_tables, write_json, write_snapshot, write_tables
 
 
@@ -44,3 +45,21 @@ def test_json_keeps_nesting_and_nulls(spark, edge, tmp_path):
     assert sorted(map(str, rows(back))) == sorted(map(str, rows(nested)))
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         write_json(nested, path)
+
+
+def test_gazetteer_keeps_its_order_over_many_files(spark, tmp_path):
+    path = str(tmp_path / "places")
+    entry = "named_struct('name_th', 'd', 'province', named_struct('name_th', 'p')) AS amphure"
+    places = spark.range(5000).selectExpr(
+        "concat('s', id) AS name_th", entry, "CAST(id % 7 AS STRING) AS zip_code", "id"
+    )
+    write_json(places.repartitionByRange(6, "id").sortWithinPartitions("id").drop("id"), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits per file
+    try:
+        back = load_gazetteer(spark, path, multi_line=False)
+        assert back.rdd.getNumPartitions() > 6
+        names = [r["subdistrict"] for r in rows(back.orderBy("pos"))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert names == [f"s{i}" for i in range(5000)]
