@@ -280,7 +280,9 @@ def decide_log(orders: DataFrame, log: DataFrame, span: int = LOG_SPAN) -> DataF
         )
     else:
         by = ["Oid", "stretch"]
-        stretch = F.when(F.col("long"), F.expr(f"seq div {int(span)}")).otherwise(F.lit(0))
+        # Events without an order are many rows of one group as well.
+        cuttable = F.col("long") | F.col("Oid").isNull()
+        stretch = F.when(cuttable, F.expr(f"seq div {int(span)}")).otherwise(F.lit(0))
         cut = join_grouped(log, long.withColumn("long", F.lit(True)), "Oid", "left").withColumn(
             "stretch", stretch.cast("long")
         )

@@ -3,6 +3,8 @@
 ``t`` maps table names to frames; ``keys`` is a frame of the keys asked for, or None for all.
 Lists are paged: an order of up to ``page_size`` items is one row with ``page`` 0, a larger one is
 one row per page.
+
+Sorted results cost a shuffle of the whole result; ``ordered=False`` leaves it out.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ Tables = dict[str, DataFrame]
 _ITEM = ["Oiid", "Pid", "Oquantity", "Oprice"]
 
 
-def orders_with_customer(t: Tables) -> DataFrame:
+def _sorted(df: DataFrame, ordered: bool, *by) -> DataFrame:
+    return df.orderBy(*by) if ordered else df
+
+
+def orders_with_customer(t: Tables, ordered: bool = True) -> DataFrame:
     """Orders of known customers with the customer's name, newest key first."""
-    return (
-        t["orders"]
-        .join(t["customers"].select("Cid", "Cname"), "Cid")
-        .select("Oid", "Oprice", "Ostatus", "Odate", "Cname")
-        .orderBy(F.desc("Oid"))
-    )
+    named = t["orders"].join(t["customers"].select("Cid", "Cname"), "Cid")
+    columns = ["Oid", "Oprice", "Ostatus", "Odate", "Cname"]
+    return _sorted(named.select(*columns), ordered, F.desc("Oid"))
 
 
 def _item_values(
@@ -45,7 +48,7 @@ def _item_values(
 
     ``of`` limits the orders.
     """
-    items = t["order_items"]
+    items = t["order_items"].where(F.col("Oid").isNotNull())
     if of is not None:
         items = join_grouped(items, of.select("Oid"), "Oid", "left_semi")
     items, group = with_pages(items, "Oid", _ITEM, page_size)
@@ -65,14 +68,13 @@ def _with_items(
 
 
 def customer_orders_nested(
-    t: Tables, keys: DataFrame | None = None, page_size: int = PAGE_SIZE
+    t: Tables, keys: DataFrame | None = None, page_size: int = PAGE_SIZE, ordered: bool = True
 ) -> DataFrame:
     """Orders per customer with their ``items`` array; newest first. ``keys`` holds ``Cid``."""
     orders = only_keys(t["orders"], keys, "Cid")
     nested = _with_items(orders, t, page_size, of=None if keys is None else orders)
-    return nested.select(*t["orders"].columns, "page", "items").orderBy(
-        "Cid", F.desc("Odate"), F.desc("Oid"), "page"
-    )
+    nested = nested.select(*t["orders"].columns, "page", "items")
+    return _sorted(nested, ordered, "Cid", F.desc("Odate"), F.desc("Oid"), "page")
 
 
 def order_detail(t: Tables, keys: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -96,29 +98,27 @@ def _product_names(t: Tables, how: str, page_size: int, of: DataFrame | None):
 
 
 def customer_order_summary(
-    t: Tables, keys: DataFrame | None = None, page_size: int = PAGE_SIZE
+    t: Tables, keys: DataFrame | None = None, page_size: int = PAGE_SIZE, ordered: bool = True
 ) -> DataFrame:
     """Orders with the names of their products as one text; orders without items stay."""
     orders = only_keys(t["orders"], keys, "Cid")
     names, paged = _product_names(t, "left", page_size, None if keys is None else orders)
-    return (
-        join_pages(orders, names, "Oid", paged)
-        .select("Oid", "Odate", "Ostatus", "Oprice", "page", "products")
-        .orderBy(F.desc("Oid"), "page")
+    summary = join_pages(orders, names, "Oid", paged).select(
+        "Oid", "Odate", "Ostatus", "Oprice", "page", "products"
     )
+    return _sorted(summary, ordered, F.desc("Oid"), "page")
 
 
 def customer_order_summary_strict(
-    t: Tables, keys: DataFrame | None = None, page_size: int = PAGE_SIZE
+    t: Tables, keys: DataFrame | None = None, page_size: int = PAGE_SIZE, ordered: bool = True
 ) -> DataFrame:
     """As ``customer_order_summary``, but only orders that have a known product; newest first."""
     orders = only_keys(t["orders"], keys, "Cid")
     names, _ = _product_names(t, "inner", page_size, None if keys is None else orders)
-    return (
-        orders.join(names, "Oid")
-        .select("Oid", "Odate", "Ostatus", F.col("Oprice").alias("Ototal"), "page", "products")
-        .orderBy(F.desc("Odate"), F.desc("Oid"), "page")
+    summary = orders.join(names, "Oid").select(
+        "Oid", "Odate", "Ostatus", F.col("Oprice").alias("Ototal"), "page", "products"
     )
+    return _sorted(summary, ordered, F.desc("Odate"), F.desc("Oid"), "page")
 
 
 def sales_stats(t: Tables, as_of: dt.date | str | Column | None = None) -> DataFrame:

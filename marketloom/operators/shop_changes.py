@@ -273,14 +273,13 @@ def register_customers(
     Requests are served in order, so one that is refused takes no name. The user name is tested
     first, which shows in the reason.
     """
-    incomplete = reduce(
-        lambda a, b: a | b,
-        [F.col(c).isNull() if new.schema[c].dataType.typeName() == "date" else blank(c) for c in REGISTRATION],
-    )
+    texts = [c for c in REGISTRATION if c != "Cbirth"]
+    incomplete = reduce(lambda a, b: a | b, [blank(c) for c in texts], F.col("Cbirth").isNull())
     complete = new.where(~incomplete)
-    texts = complete.select("seq", "Cusername", "Cname")
-    classed = join_grouped(texts, _classes(texts, customers, "Cusername", "user"), "Cusername", "inner")
-    classed = join_grouped(classed, _classes(texts, customers, "Cname", "full"), "Cname", "inner")
+    names = complete.select("seq", "Cusername", "Cname")
+    user = _classes(names, customers, "Cusername", "user")
+    full = _classes(names, customers, "Cname", "full")
+    classed = join_grouped(join_grouped(names, user, "Cusername", "inner"), full, "Cname", "inner")
     pairs = durable(classed.drop("Cusername", "Cname"))
     free = pairs.where(~F.col("user_taken") & ~F.col("full_taken"))
     served = _first_come(free.select("seq", "user", "full"))

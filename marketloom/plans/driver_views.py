@@ -272,7 +272,12 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "doc_products": (
         "documents",
         None,
-        {"Pid": "doc_id", "Pname": "text", "Pstatus": "lang", "Pprice": "CAST(n_chars AS DECIMAL(20,2)) * 10000"},
+        {
+            "Pid": "doc_id",
+            "Pname": "text",
+            "Pstatus": "lang",
+            "Pprice": "CAST(n_chars AS DECIMAL(20,2)) * 10000",
+        },
     ),
 }
 

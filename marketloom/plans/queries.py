@@ -254,13 +254,21 @@ def m02_soft_delete_customers(spark, sf):
 def _place(spark, sf):
     t = shop(spark, sf, *_ORDER_TABLES)
     lists = orders.customer_orders_nested(
-        {**t, "orders": t["orders"].withColumn("Cid", F.coalesce("Cid", F.lit(0).cast("long")))}
+        {**t, "orders": t["orders"].withColumn("Cid", F.coalesce("Cid", F.lit(0).cast("long")))},
+        ordered=False,
+    )
+    items = (
+        "transform(items, x -> "
+        "named_struct('Pid', x.Pid, 'quantity', x.Oquantity, 'price', x.Oprice))"
     )
-    items = "transform(items, x -> named_struct('Pid', x.Pid, 'quantity', x.Oquantity, 'price', x.Oprice))"
     # Requests are an input of the operator, so they are stored before it reads them.
     requests = durable(
         lists.selectExpr(
-            "Oid + 1 AS seq", "Cid", "Opayment AS payment", "Oprice AS totalPrice", f"{items} AS items"
+            "Oid + 1 AS seq",
+            "Cid",
+            "Opayment AS payment",
+            "Oprice AS totalPrice",
+            f"{items} AS items",
         )
     )
     kept = t["products"].where("Pstatus <> 'ECONOMY'")

@@ -20,15 +20,29 @@ _SETTINGS = {
 }
 
 
-def build_session(app: str = "marketloom", master: str | None = None, **settings) -> SparkSession:
+# Shuffled bytes that one task is given at first; adaptive execution merges what turns out smaller.
+_PARTITION_BYTES = 256 << 20
+
+
+def build_session(
+    app: str = "marketloom",
+    master: str | None = None,
+    shuffle_bytes: int | None = None,
+    **settings,
+) -> SparkSession:
     """Session with adaptive execution and ANSI errors on.
 
-    Partition counts and memory are left to the cluster; pass ``settings`` for local runs, e.g.
-    ``build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8"})``.
+    Adaptive execution merges small shuffle partitions but never cuts evenly large ones, so it has
+    to start with enough of them: give the size of the largest shuffle as ``shuffle_bytes``.
+    Streams keep ``spark.sql.shuffle.partitions``, which fixes the layout of their state. Memory is
+    left to the cluster.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shuffle_bytes:
+        parts = min(max(200, -(-shuffle_bytes // _PARTITION_BYTES)), 500_000)
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     for name, value in {**_SETTINGS, **settings}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()

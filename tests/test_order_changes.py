@@ -194,7 +194,7 @@ def test_log_equals_one_event_after_the_other(spark, seed, span):
         oid: (rng.choice(["shipped", "pending", None]), rng.choice(["cod", "transfer", None]))
         for oid in range(1, 41)
     }
-    log = random_log(rng, 700, [*states, 98, 99], hot=1)
+    log = random_log(rng, 700, [*states, 98, 99, None], hot=1)
     want_state, want_taken = fold(states, log)
     table = orders_frame(spark, *[states[i] for i in range(1, 41)])
     state, decisions = oc.fold_order_log(table, spark.createDataFrame(log, LOG), span)

@@ -134,7 +134,9 @@ def test_iso_week_at_new_year(edge, as_of, week, month):
 
 
 def test_sales_ignores_case_of_status(spark):
-    t = {"orders": frame(spark, "orders", [{"Oid": i, "Ostatus": s} for i, s in enumerate(("Cancelled", "CANCELLED", "cancelled ", None))])}
+    states = ("Cancelled", "CANCELLED", "cancelled ", None)
+    table = [{"Oid": i, "Ostatus": s} for i, s in enumerate(states)]
+    t = {"orders": frame(spark, "orders", table)}
     assert rows(orders.sales_stats(t, "2025-01-01"))[0]["cancelledOrders"] == 2
 
 
@@ -166,7 +168,8 @@ def test_profile_by_user_name_ignores_case_and_accents(spark, edge):
 
 
 def test_lowest_key_wins_among_equal_user_names(spark):
-    t = {"customers": frame(spark, "customers", [{"Cid": 9, "Cusername": "A"}, {"Cid": 4, "Cusername": "á"}])}
+    table = [{"Cid": 9, "Cusername": "A"}, {"Cid": 4, "Cusername": "á"}]
+    t = {"customers": frame(spark, "customers", table)}
     got = rows(customers.customer_profiles(t, keys(spark, "Cusername", "a", kind="string"), "Cusername"))
     assert [r["Cid"] for r in got] == [4]
 
