@@ -15,7 +15,11 @@ _LISTS = (
     f"lists AS (SELECT i.Oid, {_ITEM_TEXT} AS items FROM s_order_items i "
     "JOIN s_products p ON i.Pid = p.Pid GROUP BY i.Oid)"
 )
-_NAMES = "string_agg(p.Pname, ', ' ORDER BY i.Oiid, i.Pid, i.Oquantity, i.Oprice)"
+_NAMES = (
+    "names AS (SELECT i.Oid, "
+    "string_agg(p.Pname, ', ' ORDER BY i.Oiid, i.Pid, i.Oquantity, i.Oprice) AS products "
+    "FROM s_order_items i JOIN s_products p ON i.Pid = p.Pid GROUP BY i.Oid)"
+)
 _PAGE = "CAST(0 AS INTEGER) AS page"
 _ORDER = "o.Oid, o.Oprice, o.Odate, o.Ostatus, o.Cid, o.Opayment, o.Oslip"
 _NESTED = f"""
@@ -166,13 +170,14 @@ _SERVED = """
 
 _PRODUCT = "Pid, Pname, Pprice, Pnumproduct, Prenume, Pstatus, Ppicture, Pdetail, Typeid, Subtypeid"
 _CATALOGUE = """
-    SELECT p.*, t.typenproduct, s.subname FROM s_products p
-    LEFT JOIN s_product_types t ON p.Typeid = t.Typeid
-    LEFT JOIN s_subtypes s ON p.Subtypeid = s.Subtypeid"""
+    SELECT p.*,
+           (SELECT t.typenproduct FROM s_product_types t WHERE t.Typeid = p.Typeid) AS typenproduct,
+           (SELECT s.subname FROM s_subtypes s WHERE s.Subtypeid = p.Subtypeid) AS subname
+    FROM s_products p"""
 
 
-def _week(d: str) -> str:
-    return f"isoyear({d}) * 100 + weekofyear({d})"
+def _sales_in(when: str) -> str:
+    return f"CAST(coalesce(sum(Oprice) FILTER (WHERE {when}), 0) AS DECIMAL(22,2))"
 
 
 def _bucket(grain: str) -> str:
@@ -183,9 +188,7 @@ def _bucket(grain: str) -> str:
 
 
 _SQL: dict[str, str] = {
-    "q01_orders_with_customer": """
-        SELECT o.Oid, o.Oprice, o.Ostatus, o.Odate, c.Cname
-        FROM s_orders o JOIN s_customers c ON o.Cid = c.Cid""",
+    "q01_orders_with_customer": "SELECT Oid, Oprice, Ostatus, Odate, Cname FROM s_orders JOIN s_customers USING (Cid)",
     "q02_customer_orders_nested": f"{_LISTS} {_NESTED}",
     "q03_order_detail": f"""{_LISTS},
         asked AS (SELECT Oid FROM s_orders UNION SELECT order_id FROM s_reviews WHERE order_id IS NOT NULL),
@@ -193,24 +196,20 @@ _SQL: dict[str, str] = {
         SELECT a.Oid, o.Oprice, o.Odate, o.Ostatus, o.Cid, o.Opayment, o.Oslip, o.Cname, {_PAGE},
                coalesce(l.items, '') AS items
         FROM asked a LEFT JOIN named o ON a.Oid = o.Oid LEFT JOIN lists l ON a.Oid = l.Oid""",
-    "q04_customer_order_summary": f"""
-        SELECT o.Oid, o.Odate, o.Ostatus, o.Oprice, {_PAGE}, {_NAMES} AS products
-        FROM s_orders o LEFT JOIN s_order_items i ON o.Oid = i.Oid
-        LEFT JOIN s_products p ON i.Pid = p.Pid
-        WHERE o.Cid IS NOT NULL GROUP BY o.Oid, o.Odate, o.Ostatus, o.Oprice""",
-    "q05_customer_order_summary_strict": f"""
-        SELECT o.Oid, o.Odate, o.Ostatus, o.Oprice AS Ototal, {_PAGE}, {_NAMES} AS products
-        FROM s_orders o JOIN s_order_items i ON o.Oid = i.Oid JOIN s_products p ON i.Pid = p.Pid
-        WHERE o.Cid IS NOT NULL GROUP BY o.Oid, o.Odate, o.Ostatus, o.Oprice""",
+    "q04_customer_order_summary": f"""{_NAMES}
+        SELECT Oid, Odate, Ostatus, Oprice, {_PAGE}, products
+        FROM s_orders LEFT JOIN names USING (Oid) WHERE Cid IS NOT NULL""",
+    "q05_customer_order_summary_strict": f"""{_NAMES}
+        SELECT Oid, Odate, Ostatus, Oprice AS Ototal, {_PAGE}, products
+        FROM s_orders JOIN names USING (Oid) WHERE Cid IS NOT NULL""",
     "q06_sales_stats": f"""
-        SELECT CAST(count(*) AS BIGINT) AS totalOrders,
-               CAST(sum(Oprice) AS DECIMAL(22,2)) AS totalSales,
-               CAST(sum(CASE WHEN Ostatus = 'cancelled' THEN 1 ELSE 0 END) AS BIGINT) AS cancelledOrders,
-               CAST(sum(CASE WHEN Ostatus = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failedOrders,
-               CAST(sum(CASE WHEN Odate = d THEN Oprice ELSE 0 END) AS DECIMAL(22,2)) AS salesToday,
-               CAST(sum(CASE WHEN {_week('Odate')} = {_week('d')} THEN Oprice ELSE 0 END) AS DECIMAL(22,2)) AS salesThisWeek,
-               CAST(sum(CASE WHEN month(Odate) = month(d) AND year(Odate) = year(d) THEN Oprice ELSE 0 END) AS DECIMAL(22,2)) AS salesThisMonth
-        FROM (SELECT *, DATE '{AS_OF}' AS d FROM s_orders) x""",
+        SELECT count(*) AS totalOrders, CAST(sum(Oprice) AS DECIMAL(22,2)) AS totalSales,
+               count(*) FILTER (WHERE Ostatus = 'cancelled') AS cancelledOrders,
+               count(*) FILTER (WHERE Ostatus = 'failed') AS failedOrders,
+               {_sales_in('Odate = d')} AS salesToday,
+               {_sales_in("strftime(Odate, '%G-%V') = strftime(d, '%G-%V')")} AS salesThisWeek,
+               {_sales_in("strftime(Odate, '%Y-%m') = strftime(d, '%Y-%m')")} AS salesThisMonth
+        FROM s_orders, (SELECT DATE '{AS_OF}' AS d) today""",
     "q07_customers_with_order_count": """
         SELECT c.Cid, c.Cname, c.Caddress, c.Cusername, c.Cphone, c.Cstatus, c.Cdate, c.Cbirth,
                c.Csubdistrict, c.Cdistrict, c.Cprovince, c.Czipcode, c.Cprofile,
@@ -230,20 +229,18 @@ _SQL: dict[str, str] = {
         SELECT Subtypeid, subname FROM s_subtypes
         WHERE Typeid IN (SELECT Typeid FROM s_product_types)""",
     "q14_favorite_products": """
-        SELECT f.customer_id, p.Pid, p.Pname, p.Pprice, p.Ppicture
-        FROM s_favorites f JOIN s_products p ON f.product_id = p.Pid""",
+        SELECT customer_id, Pid, Pname, Pprice, Ppicture
+        FROM s_products JOIN s_favorites ON product_id = Pid""",
     "q15_recent_reviews": "SELECT id, text, stars FROM s_reviews",
-    "q16_reviews_with_order": """
-        SELECT r.id, r.text, r.stars, r.created_at, o.Oid AS order_id
-        FROM s_reviews r JOIN s_orders o ON r.order_id = o.Oid""",
+    "q16_reviews_with_order": "SELECT * FROM s_reviews WHERE order_id IN (SELECT Oid FROM s_orders)",
     "q17_review_of_order": """
         SELECT o.Oid AS order_id, r.id IS NOT NULL AS found, r.id, r.text, r.stars, r.created_at
         FROM s_orders o LEFT JOIN (
             SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY id) AS rn FROM s_reviews
         ) r ON r.order_id = o.Oid AND r.rn = 1""",
     "q18_payments_with_account": """
-        SELECT p.*, t.Tname, t.Tnum, t.Taccount, t.Tbranch, t.Tqr
-        FROM s_payments p JOIN s_transfer t ON p.Tid = t.Tid""",
+        SELECT Payid, Oid, Payprice, Paydate, Paystatus, SlipUrl, Tid, Tname, Tnum, Taccount, Tbranch, Tqr
+        FROM s_payments JOIN s_transfer USING (Tid)""",
     "q19_payment_of_order": """
         SELECT o.Oid, p.Payid IS NOT NULL AS found, p.Payid, p.Payprice, p.Paydate, p.Paystatus,
                p.SlipUrl, p.Tid, p.Tname, p.Tnum, p.Taccount, p.Tbranch, p.Tqr
