@@ -56,19 +56,23 @@ def fold_stream(
 
     Each micro-batch is folded by the batch operator, from the orders as earlier batches left them:
     changed orders go to the changelog ``path/log``, events with ``accepted`` to
-    ``path/decisions``. Rows of one batch are taken by ``seq``, batches as they arrive. Only the
-    orders that a batch names are read further, but the changelog is searched for them every time,
-    so use few large batches.
+    ``path/decisions``, the events as they came to ``path/events``. Rows of one batch are taken by
+    ``seq``, batches as they arrive. Only the orders that a batch names are read further, but the
+    changelog is searched for them every time, so use few large batches.
     """
+    spark = orders.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        named = only_keys(orders, batch, "Oid")
-        earlier = only_keys(
-            read_changelog(spark, path, ["Oid"], orders.schema, before=batch_id), batch, "Oid"
-        )
+        # A stream's own session has adaptive execution turned off, so the batch is stored and then
+        # folded in the session of the orders, where hot keys can be split.
+        stored = f"{path}/events/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(stored)
+        events = spark.read.schema(batch.schema).parquet(stored)
+        named = only_keys(orders, events, "Oid")
+        changed = read_changelog(spark, path, ["Oid"], orders.schema, before=batch_id)
+        earlier = only_keys(changed, events, "Oid")
         untouched = named.join(earlier.select("Oid"), "Oid", "left_anti").select(*named.columns)
-        state, decisions = fold_order_log(untouched.unionByName(earlier), batch)
+        state, decisions = fold_order_log(untouched.unionByName(earlier), events)
         decisions.write.mode("overwrite").parquet(f"{path}/decisions/batch={batch_id}")
         state.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
 
