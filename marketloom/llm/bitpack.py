@@ -10,6 +10,7 @@ unpacked by numpy without touching other blocks.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,50 +24,120 @@ from marketloom.llm.common import slices
 
 BLOCK = 4096
 CHUNK_IDS = 1 << 18
-# Known pieces of text kept per Python worker; only speed depends on it.
-CACHE = 300_000
+# Known pieces of text in each of two generations per Python worker; only speed depends on it.
+CACHE = 400_000
 END_ID = 0
 
+_GAPS = ("  ", " \n", "\n\n", "\t", "\r")
+_ODD_ASCII = re.compile(r"[\x0b\x0c\x1c-\x1f]|<\|")
+# A mark after a word is a piece of its own to the pattern.
+_MARKS = frozenset(",.;:!?")
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Characters on which regular expression libraries disagree whether they are white space, and
 # the opening of special strings: such texts go to the tokenizer whole.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]|<\|")
 
 
+def _is_word(piece: str) -> bool:
+    """One run of letters, perhaps after a space, in scripts whose letters are beyond dispute."""
+    body = piece[1:] if piece[:1] == " " else piece
+    return body.isalpha() and max(body) < "\u0180"
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
     The byte-level pattern never joins characters across a change from non-space to space, so a
-    text is cut there, and the ids of the pieces, joined, are those of the text.
+    text is cut there, and the ids of the pieces, joined, are those of the text. The pieces of a
+    text with single spaces and single line feeds are its words; other texts are cut by pattern.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
         top = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
         self.width = max(1, int(top).bit_length())
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # The same model without the pattern, for pieces that the pattern would not cut.
+        self._letters = Tokenizer(
+            models.BPE(model["vocab"], [tuple(m) for m in model["merges"]], cache_capacity=0)
+        )
+        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Ids of pieces as they stand, and of words after a space (kept without it).
+        self._bare = _Known("", self)
+        self._spaced = _Known(" ", self)
+        self._marks: dict[str, bytes] = {}
+        self._line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def mark(self, text: str) -> bytes:
+        if text not in self._marks:
+            self._marks[text] = self.whole(text)
+        return self._marks[text]
+
+    def batch(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        words = [p for p in pieces if _is_word(p)]
+        others = [p for p in pieces if not _is_word(p)]
+        for some, by in ((words, self._letters), (others, self._tokenizer)):
+            for p, e in zip(some, by.encode_batch_fast(some, add_special_tokens=False)):
+                yield p, array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if _ODD.search(text):
+        if not text.isascii() and _ODD.search(text) or _ODD_ASCII.search(text):
             return self.whole(text)
-        pieces, known = _PIECE.findall(text), self._known
+        if any(s in text for s in _GAPS):
+            return self._bare.joined(_PIECE.findall(text))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            head = self._bare.joined(words[:1]) if words[0] else b""
+            lines.append(head + self._spaced.joined(words[1:]))
+        return self._line_feed.join(lines)
+
+
+class _Known:
+    """Ids by piece; pieces that were not seen for long make room for new ones."""
+
+    def __init__(self, before: str, encoder: Encoder):
+        self._before, self._encoder = before, encoder
+        self._now: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def joined(self, pieces: list[str]) -> bytes:
         try:
-            return b"".join([known[p] for p in pieces])
+            return b"".join(map(self._now.__getitem__, pieces))
         except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+            self._learn(pieces)
+            return b"".join(map(self._now.__getitem__, pieces))
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self._now) > CACHE:
+            self._older, self._now = self._now, {}
+        now, older, before = self._now, self._older, self._before
+        new, tails = [], []
+        for p in pieces:
+            if p in now:
+                continue
+            if p in older:
+                now[p] = older[p]
+            elif p[-1:] in _MARKS and _is_word(p[:-1]):
+                tails.append(p)
+                if p[:-1] not in now:
+                    new.append(before + p[:-1])
+            else:
+                new.append(before + p)
+        cut = len(before)
+        for p, ids in self._encoder.batch(list(dict.fromkeys(new))):
+            now[p[cut:]] = ids
+        for p in tails:
+            now[p] = now[p[:-1]] + self._encoder.mark(p[-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -86,6 +157,8 @@ def pack(ids: np.ndarray, width: int) -> tuple[bytes, list[int]]:
     """The ids at ``width`` bits each, lowest bit first, and the byte offset of each block."""
     if width > 32:
         raise ValueError("ids have 32 bits at most")
+    if width in (8, 16, 32):
+        return ids.astype(f"<u{width // 8}").tobytes(), list(range(0, len(ids) * width // 8, BLOCK * width // 8))
     parts, offsets, at = [], [], 0
     for i in range(0, len(ids), BLOCK):
         block = ids[i : i + BLOCK].astype("<u4")
@@ -100,6 +173,8 @@ def unpack(payload: bytes, offsets: list[int], width: int, begin: int, end: int)
     """Ids ``begin`` to ``end`` (without) of a chunk; reads only the blocks that hold them."""
     if end <= begin:
         return np.zeros(0, "<u4")
+    if width in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{width // 8}", end - begin, begin * width // 8).astype("<u4")
     first, last = begin // BLOCK, (end - 1) // BLOCK
     raw = np.frombuffer(payload, np.uint8)
     stop = offsets[last + 1] if last + 1 < len(offsets) else len(raw)
