@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bitpack, simhash_gray
+from marketloom.llm import bitpack, crf_quality, prefix_tokens, simhash_gray
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -19,6 +19,18 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_ids(spark, path, digest=True)
 
 
+def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counts = prefix_tokens.prefix_counts(table(spark, sf_dir, "documents"), path)
+    return prefix_tokens.over_limit(counts, 2048).drop("changes")
+
+
+def op6_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = crf_quality.fit_on_labels(docs, table(spark, sf_dir, "labels"))
+    return crf_quality.judge(docs, field)
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select(
@@ -30,6 +42,8 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {
     "op2_packed_ids": op2_packed_ids,
+    "op4_prefix_token_counts": op4_prefix_token_counts,
+    "op6_quality_lines": op6_quality_lines,
     "op7_simhash_components": op7_simhash_components,
 }
 
