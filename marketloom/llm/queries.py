@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bitpack, crf_quality, prefix_tokens, simhash_gray
+from marketloom.llm import bitpack, crf_quality, feistel, pfair, prefix_tokens, simhash_gray
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
+# For the test tables; a deployment passes its own secret to the operator.
+PII_KEY = "key of the test tables"
+
 
 def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "packed")
@@ -19,12 +22,22 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_ids(spark, path, digest=True)
 
 
+def op3_mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"))
+    return pfair.mix(slim, size="n_bytes")
+
+
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     counts = prefix_tokens.prefix_counts(table(spark, sf_dir, "documents"), path)
     return prefix_tokens.over_limit(counts, 2048).drop("changes")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op6_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = crf_quality.fit_on_labels(docs, table(spark, sf_dir, "labels"))
@@ -42,7 +55,9 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {
     "op2_packed_ids": op2_packed_ids,
+    "op3_mixed_order": op3_mixed_order,
     "op4_prefix_token_counts": op4_prefix_token_counts,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_quality_lines": op6_quality_lines,
     "op7_simhash_components": op7_simhash_components,
 }

@@ -1,0 +1,97 @@
+"""Pseudonyms: valid again, one to one, equal for equal values, nothing else touched."""
+
+import datetime as dt
+import random
+import re
+
+from marketloom.llm import feistel as E
+from tests.llm.conftest import clashing, docs
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def card(rnd):
+    d = "".join(rnd.choice("0123456789") for _ in range(15))
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def values(rnd):
+    out = []
+    for _ in range(150):
+        day = dt.date(1900, 1, 1) + dt.timedelta(rnd.randrange(73049))
+        out += [
+            ("card", card(rnd)),
+            ("phone", f"+1 ({rnd.randrange(1000):03}) 555-{rnd.randrange(10000):04}"),
+            ("ipv4", ".".join(str(rnd.randrange(256)) for _ in range(4))),
+            ("iso_day", day.isoformat()),
+            ("ssn", f"{rnd.randrange(1, 666):03}-{rnd.randrange(1, 100):02}-{rnd.randrange(1, 10000):04}"),
+            ("email", f"ab.{rnd.randrange(10**6)}@mail{rnd.randrange(3)}.example.com"),
+        ]
+    return sorted(set(out))
+
+
+def test_permutation_per_kind(spark):
+    vals = values(random.Random(8))
+    rows = [(i, f"x {v} y, again {v}.") for i, (_, v) in enumerate(vals)]
+    df = clashing(docs(spark, rows), ["n_found", "pseudonyms", "_found", "_new", "kind", "value"])
+    got = {r.doc_id: r for r in E.pseudonymise(df, "secret").collect()}
+    seen = {}
+    for i, (kind, v) in enumerate(vals):
+        r = got[i]
+        assert [p.kind for p in r.pseudonyms] == [kind] * 2 and r.n_found == 2, (v, r)
+        new = r.pseudonyms[0].value
+        assert r.text == f"x {new} y, again {new}."
+        assert seen.setdefault((kind, new), v) == v
+        if kind not in ("email", "ipv4"):
+            assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", v)
+        if kind == "card":
+            assert luhn(new)
+        if kind == "iso_day":
+            assert 1900 <= dt.date.fromisoformat(new).year <= 2099
+        if kind == "ipv4":
+            assert all(0 <= int(x) <= 255 for x in new.split("."))
+        if kind == "ssn":
+            a, b, c = map(int, new.split("-"))
+            assert 0 < a < 900 and a != 666 and b and c
+    assert sum(new == v for (_, new), v in seen.items()) < 5
+
+
+def test_days_are_permuted_whole(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.range(0, 73049, 1, 4).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    new = days.select(E._moved_day("k", F.col("d")).alias("n"))
+    assert new.agg(F.count_distinct("n")).first()[0] == 73049
+
+
+def test_formats_ties_and_what_stays(spark):
+    text = (
+        "31.12.1999 12/31/1999 31/12/1999 4111 1111-1111 1111 GB82WEST12345698765432 DE89 3704 0044 0532 0130 00"
+    )
+    stays = "999.1.1.1 1.2.3 4111111111111112 2023-02-30 1850-01-01 000-12-1234 GB83WEST12345698765432 12345 0000000000000000 @x"
+    rows = [(1, text), (2, stays), (3, None), (4, ""), (None, "4111111111111111"), (1, text), (6, "a " * 60_000 + "10.0.0.1")]
+    got = E.pseudonymise(docs(spark, rows), "k").collect()
+    one, again = [r for r in got if r.doc_id == 1]
+    assert one == again and one.n_found == 6
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    assert shape(one.text) == shape(text) and one.text != text
+    by = {r.doc_id: r for r in got}
+    assert (by[2].text, by[2].n_found) == (stays, 0)
+    assert (by[3].text, by[3].n_found, by[4].text) == (None, 0, "")
+    assert by[None].text == re.sub("[ -]", "", one.pseudonyms[3].value)
+    assert by[6].text.startswith("a " * 60_000) and by[6].n_found == 1
+    new = [p.value for p in one.pseudonyms]
+    assert new[0] == "{1}.{0}.{2}".format(*new[1].split("/")) == new[2].replace("/", ".")
+    for iban in new[4:]:
+        v = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    assert E.pseudonymise(docs(spark, rows).where("doc_id > 99"), "k").count() == 0
+    other = E.pseudonymise(docs(spark, rows[:1]), "another").first()
+    assert other.text != one.text
+
+
+def test_no_python_in_the_plan(spark):
+    plan = E.pseudonymise(docs(spark, [(1, "x")]), "k")._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
