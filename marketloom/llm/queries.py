@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bitpack, crf_quality, feistel, pfair, prefix_tokens, simhash_gray
+from marketloom.llm import bitpack, crf_quality, feistel, pfair, prefix_tokens, simhash_gray, toxic_knn
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -53,6 +53,14 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = toxic_knn.training_rows(table(spark, sf_dir, "labels"), "toxic")
+    scored = toxic_knn.score_documents(docs, toxic_knn.build(docs, train))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 _QUERIES = {
     "op2_packed_ids": op2_packed_ids,
     "op3_mixed_order": op3_mixed_order,
@@ -60,6 +68,7 @@ _QUERIES = {
     "op5_pseudonyms": op5_pseudonyms,
     "op6_quality_lines": op6_quality_lines,
     "op7_simhash_components": op7_simhash_components,
+    "op8_toxicity": op8_toxicity,
 }
 
 
