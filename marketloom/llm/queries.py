@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bitpack, crf_quality, feistel, pfair, prefix_tokens, simhash_gray, toxic_knn
+from marketloom.llm import bitpack, crf_quality, feistel, latent_decontam, pfair, prefix_tokens, simhash_gray, toxic_knn
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -16,6 +16,10 @@ from marketloom.session import scratch_path
 PII_KEY = "key of the test tables"
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "packed")
     bitpack.write_packed(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -62,6 +66,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_packed_ids": op2_packed_ids,
     "op3_mixed_order": op3_mixed_order,
     "op4_prefix_token_counts": op4_prefix_token_counts,

@@ -184,7 +184,7 @@ def build(
         w = (1 + np.log(np.array(r["counts"], float))) * idf[r["terms"]]
         weights[i // BLOCK, r["terms"], i % BLOCK] = w / np.sqrt((w * w).sum())
         votes[i], labels[i], ids[i] = stands[r["label"]], r["label"], r["doc_id"]
-    return Index(known, idf, weights, weights.max(axis=2).T.copy(), votes / max(votes.max(initial=0.0), 1e-9), labels, ids, float(base))
+    return Index(known, idf, weights, weights.max(axis=2).T.copy(), votes / max(min((v for v in stands.values() if v), default=1.0), 1e-9), labels, ids, float(base))
 
 
 def score_documents(
