@@ -33,6 +33,9 @@ PASSAGE = 64  # longer items are cut into passages of so many words
 MIN_WORDS = 5  # shorter items are in every text and are not looked for
 MIN_COSINE = 0.35
 COPY_SHARE, PARA_SHARE = 0.8, 0.6
+# Weights of a word that is in all documents and in none; words outside the benchmark's vocabulary
+# are not counted and weigh as words of this rarity do.
+LEAST_WEIGHT, MOST_WEIGHT, OTHER_RARITY = 0.5, 2.0, 0.7
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.?!\n]+")
 
@@ -116,6 +119,13 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, extra: int = 10, seed
     return basis @ turns[:, order[values[order] > 1e-9 * max(values.max(), 1e-30)]]
 
 
+def _weight(df: int, n: int) -> float:
+    """Inverse document frequency on a bounded scale: a benchmark passage that has leaked into a
+    third of all documents must not lose its weight against the words around it."""
+    rarity = np.log((n + 1) / (df + 1)) / np.log(n + 1) if n else 1.0
+    return float(LEAST_WEIGHT + (MOST_WEIGHT - LEAST_WEIGHT) * rarity)
+
+
 class Searcher:
     """A block of benchmark passages, ready to be looked for in texts."""
 
@@ -231,8 +241,8 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: in
         counted = texts.select("text").mapInArrow(frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
         df = {r["i"]: r["n"] for r in counted.collect()}
         n = df.get(len(vocabulary), 0)
-        idf = np.array([np.log((n + 1) / (df.get(i, 0) + 1)) + 0.1 for i in range(len(vocabulary))])
-        rare = float(np.log(n + 1) + 0.1)
+        idf = np.array([_weight(df.get(i, 0), n) for i in range(len(vocabulary))])
+        rare = LEAST_WEIGHT + OTHER_RARITY * (MOST_WEIGHT - LEAST_WEIGHT)
         matrix = []
         for _, words, _ in passages:
             t, c = np.unique([vocabulary[w] for w in words], return_counts=True)
