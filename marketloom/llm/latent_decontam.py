@@ -3,8 +3,8 @@
 The benchmark's passages are the indexed collection: their TF-IDF matrix (document frequencies from
 all documents of the corpus) is factored by a distributed randomised SVD. Every window of every
 document is folded into the latent space and compared by cosine with all benchmark passages, a
-stated query set, in blocks of ``BLOCK`` passages. A window whose words outside the benchmark's
-vocabulary already keep the cosine below the threshold is dropped before it is folded. Candidates
+stated query set, in blocks of ``BLOCK`` passages. A window whose words, each at the most it can add
+to any passage, stay below the threshold is dropped before it is folded. Candidates
 are judged by the longest common subsequence of words: a copy has ``copy_share`` of the passage, a
 paraphrase ``para_share`` of it and also the passage's answer (its last sentence).
 
@@ -35,7 +35,7 @@ MIN_COSINE = 0.35
 COPY_SHARE, PARA_SHARE = 0.8, 0.6
 # Weights of a word that is in all documents and in none; words outside the benchmark's vocabulary
 # are not counted and weigh as words of this rarity do.
-LEAST_WEIGHT, MOST_WEIGHT, OTHER_RARITY = 0.5, 2.0, 0.7
+LEAST_WEIGHT, MOST_WEIGHT, OTHER_RARITY = 0.1, 2.0, 0.7
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.?!\n]+")
 
@@ -140,6 +140,9 @@ class Searcher:
             latent[i] = n @ self.fold[t]
             norms[i] = np.sqrt(((n * idf[t]) ** 2).sum())
         self.latent = latent / np.maximum(norms, 1e-30)[:, None].astype(np.float32)
+        # The most that one occurrence of a word can add to the product with any passage.
+        most = np.maximum(self.fold @ self.latent.T, 0.0).max(axis=1, initial=0.0)
+        self.most = np.r_[most, 0.0, 0.0].astype(float)
 
     def candidates(self, docs: list[list[str]], min_cosine: float):
         """(document, first word, last word, passage, cosine) of the windows at ``min_cosine``.
@@ -158,14 +161,14 @@ class Searcher:
             return
         ids, first, sizes = np.array(ids), np.array(first), np.array(sizes)
         square = self.square[ids].reshape(-1, STRIDE)
-        known = np.where(ids.reshape(-1, STRIDE) < n, square, 0.0).sum(1)
-        run_all, run_known = np.r_[0.0, np.cumsum(square.sum(1))], np.r_[0.0, np.cumsum(known)]
+        most = self.most[ids].reshape(-1, STRIDE).sum(1)
+        run_all, run_most = np.r_[0.0, np.cumsum(square.sum(1))], np.r_[0.0, np.cumsum(most)]
         count = np.where(sizes > 0, np.maximum(1, sizes - SPAN + 1), 0)
         doc = np.repeat(np.arange(len(docs)), count)
         begin = first[doc] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         end = np.minimum(begin + SPAN, first[doc] + sizes[doc])
         mass = run_all[end] - run_all[begin]
-        open_ = run_known[end] - run_known[begin] >= (min_cosine**2) * mass - 1e-9
+        open_ = run_most[end] - run_most[begin] >= min_cosine * np.sqrt(mass) - 1e-6
         open_ &= mass > 0
         doc, begin, end, mass = doc[open_], begin[open_], end[open_], mass[open_]
         for at in range(0, len(doc), 4096):
