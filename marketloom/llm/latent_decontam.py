@@ -31,11 +31,11 @@ RANK = 256
 STRIDE, SPAN = 8, 4  # a window is SPAN strides of STRIDE words
 PASSAGE = 64  # longer items are cut into passages of so many words
 MIN_WORDS = 5  # shorter items are in every text and are not looked for
-MIN_COSINE = 0.35
+MIN_COSINE = 0.3
 COPY_SHARE, PARA_SHARE = 0.8, 0.6
 # Weights of a word that is in all documents and in none; words outside the benchmark's vocabulary
 # are not counted and weigh as words of this rarity do.
-LEAST_WEIGHT, MOST_WEIGHT, OTHER_RARITY = 0.1, 2.0, 0.7
+LEAST_WEIGHT, MOST_WEIGHT, OTHER_RARITY = 0.25, 2.0, 0.7
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.?!\n]+")
 
