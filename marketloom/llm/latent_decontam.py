@@ -132,6 +132,7 @@ class Searcher:
     def __init__(self, passages, vocabulary: dict[str, int], idf: np.ndarray, rare: float, basis: np.ndarray):
         self.passages, self.vocabulary = passages, vocabulary
         self.fold = (idf[:, None] * basis).astype(np.float32)  # a word's share of a latent vector
+        self.padded = np.vstack([self.fold, np.zeros((1, self.fold.shape[1]), np.float32)])
         self.square = np.r_[idf**2, rare**2, 0.0]  # known words, other words, padding
         latent = np.zeros((len(passages), basis.shape[1]), np.float32)
         norms = np.zeros(len(passages))
@@ -175,20 +176,20 @@ class Searcher:
             some = slice(at, at + 4096)
             b, e = begin[some], end[some]
             need = np.unique(np.concatenate([np.minimum(b + k, e - 1) for k in range(SPAN)]))
-            grid = ids.reshape(-1, STRIDE)[need]
-            where, col = np.nonzero(grid < n)
-            block = np.zeros((len(need) + 1, self.fold.shape[1]), np.float32)
-            if len(where):
-                starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-                block[where[starts]] = np.add.reduceat(self.fold[grid[where, col]], starts, axis=0)
-            vector = np.zeros((len(b), self.fold.shape[1]), np.float32)
+            grid = np.minimum(ids.reshape(-1, STRIDE)[need], n)
+            block = np.zeros((len(need) + 1, self.padded.shape[1]), np.float32)
+            one = np.empty((len(need), self.padded.shape[1]), np.float32)
+            for k in range(STRIDE):
+                block[:-1] += np.take(self.padded, grid[:, k], axis=0, out=one, mode="clip")
+            vector = np.zeros((len(b), self.padded.shape[1]), np.float32)
             for k in range(SPAN):
                 inside = b + k < e
                 vector += block[np.where(inside, np.searchsorted(need, np.minimum(b + k, e - 1)), len(need))]
             cosine = (vector @ self.latent.T) / np.sqrt(mass[some])[:, None].astype(np.float32)
-            for w, p in zip(*np.nonzero(cosine >= min_cosine)):
-                d = int(doc[at + w])
-                yield d, int(b[w] - first[d]) * STRIDE, int(e[w] - first[d]) * STRIDE, int(p), float(cosine[w, p])
+            w, p = np.nonzero(cosine >= min_cosine)
+            d = doc[at + w]
+            a, z = (b[w] - first[d]) * STRIDE, (e[w] - first[d]) * STRIDE
+            yield from zip(d.tolist(), a.tolist(), z.tolist(), p.tolist(), cosine[w, p].tolist())
 
     def matches(self, texts: list[str], min_cosine: float = MIN_COSINE, copy: float = COPY_SHARE, para: float = PARA_SHARE):
         """Per text the passages found: {item: (share, common, cosine, answer found, first word)}."""
@@ -208,8 +209,8 @@ class Searcher:
             for a, b, cosine in found:
                 # The whole passage may reach beyond the windows that showed it.
                 region = docs[d][max(0, a - len(words)) : b + len(words)]
-                have = Counter(w for w in region if w in need)
-                if sum((have & need).values()) < para * len(words):
+                inside = need.keys() & region
+                if sum(map(need.__getitem__, inside)) < para * len(words):
                     continue
                 common = common_subsequence(words, region)
                 share = common / len(words)
