@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, pfair, prefix_tokens, simhash_gray, toxic_knn
+from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, pfair, prefix_tokens, simhash_gray, suffix_dedup, toxic_knn
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -65,6 +65,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100))
+
+
 def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ _QUERIES = {
     "op6_quality_lines": op6_quality_lines,
     "op7_simhash_components": op7_simhash_components,
     "op8_toxicity": op8_toxicity,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_backoff_scores": op10_backoff_scores,
 }
 
