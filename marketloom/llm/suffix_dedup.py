@@ -34,7 +34,7 @@ from marketloom.session import durable
 
 LENGTH = 100
 PREFIX = 32
-_SLICE = 4 << 20
+_SLICE = 3 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,13 +67,15 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, prefix: i
     m = -(-n // w) * w
     grid = np.full(m, np.uint64(2**64 - 1))
     grid[:n] = h
+    del h, place
     grid = grid.reshape(-1, w)
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     count = n - length + 1
     least = np.minimum(right[:count], left[w - 1 : w - 1 + count])
+    del grid, left, right
     anchor = (least & np.uint64((1 << 34) - 1)).astype(np.int64)
-    text = np.searchsorted(bounds, np.arange(count), side="right") - 1
+    text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))[:count]
     whole = np.arange(count) + length <= bounds[text + 1]
     p = np.flatnonzero(whole)
     if not len(p):
