@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from marketloom.llm import backoff_lm as B
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs
 
 
 def plain(texts, order, backoff):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import bitpack as B
 from marketloom.session import scratch_path
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs, vocabulary  # noqa: F401
 
 tokenizers = pytest.importorskip("tokenizers")
 

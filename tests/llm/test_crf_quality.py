@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from marketloom.llm import crf_quality as C
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 

@@ -5,7 +5,7 @@ import random
 import re
 
 from marketloom.llm import feistel as E
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs
 
 
 def luhn(d):

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 
 from marketloom.llm import pfair as P
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs
 
 
 @pytest.mark.parametrize("seed", range(12))

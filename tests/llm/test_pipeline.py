@@ -7,10 +7,10 @@ import pytest
 import corpus_pipeline as P
 from marketloom.llm import latent_decontam, pfair
 from marketloom.session import durable
-from tests.llm.conftest import docs
-from tests.llm.test_bitpack import whole
-from tests.llm.test_pfair import plain_order
-from tests.llm.test_simhash_gray import plain_components, plain_fp
+from llm_rows import docs, vocabulary  # noqa: F401
+from test_bitpack import whole
+from test_pfair import plain_order
+from test_simhash_gray import plain_components, plain_fp
 
 ITEM = "Every seventh lantern in Marrow Street burns blue until the harbour bell rings twice. The keeper is Odo Finch."
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from marketloom.llm import prefix_tokens as P
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs, vocabulary  # noqa: F401
 
 tokenizers = pytest.importorskip("tokenizers")
 

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from marketloom.llm import simhash_gray as S
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs
 
 
 def plain_fp(text):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from marketloom.llm import suffix_dedup as S
-from tests.llm.conftest import clashing, docs
+from llm_rows import clashing, docs
 
 
 def plain(rows, length=100):
