@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _HASH = "_key_hash"
-# Entries of one list or text cell. A key with more is spread over several pages.
-PAGE_SIZE = 100_000
 
 
 def join_grouped(rows: DataFrame, grouped: DataFrame, on: list[str] | str, how: str) -> DataFrame:
@@ -81,52 +79,10 @@ def next_key(table: DataFrame, key: str, step: Column) -> Column:
     return top + step
 
 
-def with_pages(
-    rows: DataFrame, key: str, spread: list[str], page_size: int
-) -> tuple[DataFrame, list[str]]:
-    """Rows and the columns to group them by so that no group is much larger than ``page_size``.
-
-    A row must hold its whole list, and a task the rows that make it, so a list has to have a
-    bound. Keys beyond it are cut by hash into as many pages as needed, and ``page`` becomes part
-    of the group. Finding them reads the key column only and combines before the shuffle; mostly
-    there are none, and then the rows stay as they are and the group is the key.
-    """
-    sizes = (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > page_size)
-        .select(key, F.ceil(F.col("_n") / page_size).cast("long").alias("_pages"))
-    )
-    if sizes.isEmpty():
-        return rows, [key]
-    slice_ = F.pmod(F.xxhash64(*spread), F.col("_pages")).cast("int")
-    paged = join_grouped(rows, sizes, key, "left").withColumn(
-        "page", F.coalesce(slice_, F.lit(0))
-    )
-    return paged.drop("_pages"), [key, "page"]
-
-
-def gather(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """``value`` per group of ``by`` (from ``with_pages``), with ``page`` 0 for unpaged groups.
+def gather(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """``value`` per key.
 
     Lists and texts do not shrink when combined early, so the rows are shuffled first and combined
     once, and a join on the key that follows finds them in place.
     """
-    lists = rows.repartition(*by).groupBy(*by).agg(value.alias(name))
-    if "page" in by:
-        return lists
-    return lists.select(*by, F.lit(0).alias("page"), name)
-
-
-def join_pages(rows: DataFrame, lists: DataFrame, key: str, paged: bool) -> DataFrame:
-    """Left join of ``rows``, one per key, with the lists of ``gather``.
-
-    A key in very many pages is hot on the side of the lists, where a left join cannot be split.
-    So with pages it is an inner join, which can, and the rows without a list are added.
-    """
-    if paged:
-        bare = rows.join(lists.select(key).distinct(), key, "left_anti")
-        joined = lists.join(rows, key).unionByName(bare, allowMissingColumns=True)
-    else:
-        joined = rows.join(lists, key, "left")
-    return joined.withColumn("page", F.coalesce("page", F.lit(0)))
+    return rows.repartition(key).groupBy(key).agg(value.alias(name))

@@ -30,6 +30,12 @@ def zero(col: Column | str) -> Column:
     return col.isNull() | (col == 0)
 
 
+def missing(col: Column | str) -> Column:
+    """True for NULL and the empty text, in columns of any type; zero is a value."""
+    col = F.col(col) if isinstance(col, str) else col
+    return col.isNull() | (col.cast("string") == "")
+
+
 def binary_equal(col: Column | str, value: str) -> Column:
     """Case-sensitive, NULL-safe equality."""
     col = F.col(col) if isinstance(col, str) else col

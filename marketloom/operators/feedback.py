@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions.keyed import only_keys
+
 Tables = dict[str, DataFrame]
 
 
@@ -27,7 +29,8 @@ def reviews_with_order(t: Tables) -> DataFrame:
 
 
 def _first_per(rows: DataFrame, key: str, order: str, keys: DataFrame) -> DataFrame:
-    """One row per key: ``found`` and the columns of its first row by ``order``."""
+    """One row per key: ``found`` and the columns of its first row by ``order``. ``rows`` holds no
+    other keys."""
     rest = [c for c in rows.columns if c != key]
     first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("hit"))
     return keys.select(key).distinct().join(first, key, "left").select(
@@ -37,23 +40,23 @@ def _first_per(rows: DataFrame, key: str, order: str, keys: DataFrame) -> DataFr
 
 def review_of_order(t: Tables, keys: DataFrame) -> DataFrame:
     """First review of each order in ``keys.order_id``; NULL columns where there is none."""
-    return _first_per(t["reviews"], "order_id", "id", keys)
+    return _first_per(only_keys(t["reviews"], keys, "order_id"), "order_id", "id", keys)
 
 
-def _payments_with_account(t: Tables) -> DataFrame:
+def _with_account(payments: DataFrame, t: Tables) -> DataFrame:
     accounts = t["transfer"].select("Tid", "Tname", "Tnum", "Taccount", "Tbranch", "Tqr")
-    columns = [*t["payments"].columns, *accounts.columns[1:]]
-    return t["payments"].join(accounts, "Tid").select(*columns)
+    return payments.join(accounts, "Tid").select(*payments.columns, *accounts.columns[1:])
 
 
 def payments_with_account(t: Tables) -> DataFrame:
     """Payments with the account they went to, newest key first."""
-    return _payments_with_account(t).orderBy(F.desc("Payid"))
+    return _with_account(t["payments"], t).orderBy(F.desc("Payid"))
 
 
 def payment_of_order(t: Tables, keys: DataFrame) -> DataFrame:
     """First payment, with its account, of each order in ``keys.Oid``."""
-    return _first_per(_payments_with_account(t), "Oid", "Payid", keys)
+    asked = only_keys(t["payments"], keys, "Oid")
+    return _first_per(_with_account(asked, t), "Oid", "Payid", keys)
 
 
 def transfer_accounts(t: Tables) -> DataFrame:

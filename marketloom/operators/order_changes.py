@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.dates import as_date, as_timestamp
 from marketloom.functions.keyed import join_grouped, latest, next_key, overwrite
-from marketloom.functions.text import binary_equal, blank, same_text, zero
+from marketloom.functions.text import binary_equal, blank, missing, same_text, zero
 
 Tables = dict[str, DataFrame]
 
@@ -147,9 +147,9 @@ def record_payments(
     """Add payments and let their orders wait: ``(payments, orders, rejects)``.
 
     ``new``: ``seq, Oid, Payprice, Tid, slip`` with the slip's file name. Order, price, account and
-    slip are required; the order has to exist. Orders paid on delivery take payments too.
+    slip are required, zeros count as given; the order has to exist. Orders paid on delivery take payments too.
     """
-    incomplete = zero("Oid") | zero("Payprice") | zero("Tid") | F.col("slip").isNull()
+    incomplete = missing("Oid") | missing("Payprice") | missing("Tid") | F.col("slip").isNull()
     complete = new.where(~incomplete).withColumn("SlipUrl", F.concat(F.lit("/slips/"), "slip"))
     known = t["orders"].select("Oid")
     added = complete.join(known, "Oid", "left_semi").select(

@@ -19,7 +19,7 @@ from marketloom.functions.keyed import (
     overwrite,
     without_keys,
 )
-from marketloom.functions.text import blank, folded, zero
+from marketloom.functions.text import blank, folded, missing, zero
 from marketloom.operators.quality import (
     PRODUCT_NUMBERS,
     PRODUCT_TEXTS,
@@ -56,13 +56,20 @@ def first_reviews(new: DataFrame) -> DataFrame:
     rest = [c for c in new.columns if c != "order_id"]
     return (
         new.where(_storable())
+        .withColumn("stars", _stars())
         .groupBy("order_id", own_group)
         .agg(F.min_by(F.struct(*rest), "seq").alias("review"))
     )
 
 
+def _stars() -> Column:
+    """Stars as the whole number that is stored."""
+    return F.round("stars").cast("int")
+
+
 def _storable() -> Column:
-    return F.col("text").isNotNull() & F.coalesce(F.col("stars").between(1, 5), F.lit(False))
+    """The table tests the rounded stars."""
+    return F.col("text").isNotNull() & F.coalesce(F.round("stars").between(1, 5), F.lit(False))
 
 
 def unreviewed(reviews: DataFrame, first: DataFrame) -> DataFrame:
@@ -90,11 +97,12 @@ def add_order_reviews(
 def add_reviews(
     reviews: DataFrame, new: DataFrame, now: dt.datetime | Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Add reviews without an order. ``new``: ``seq, text, stars``; text filled, stars in 1..5."""
+    """Add reviews without an order. ``new``: ``seq, text, stars``; text filled, stars in 1..5
+    before they are rounded to be stored."""
     good = ~blank("text") & F.coalesce(F.col("stars").between(1, 5), F.lit(False))
     state = _append(
         reviews,
-        new.where(good).drop("order_id"),
+        new.where(good).drop("order_id").withColumn("stars", _stars()),
         id=next_key(reviews, "id", F.col("seq")),
         created_at=as_timestamp(now),
     )
@@ -198,9 +206,9 @@ def toggle_favorites(favorites: DataFrame, log: DataFrame) -> tuple[DataFrame, D
 def add_transfer_accounts(transfer: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add accounts. ``new``: ``seq, Tname, Tnum, Taccount, Tbranch, qrcode`` (a file name).
 
-    All but the branch are required.
+    All but the branch are required; an account number of zero counts as given.
     """
-    incomplete = blank("Tname") | zero("Tnum") | blank("Taccount") | F.col("qrcode").isNull()
+    incomplete = blank("Tname") | missing("Tnum") | blank("Taccount") | F.col("qrcode").isNull()
     state = _append(
         transfer,
         new.where(~incomplete),

@@ -160,7 +160,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "seq": "event_id + 1",
             "order_id": _REVIEWED,
             "text": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE props END",
-            "stars": "CAST(event_id % 7 AS INT)",
+            "stars": "CAST((event_id % 14) * 0.5 AS DOUBLE)",
         },
     ),
     "new_reviews": (
@@ -169,7 +169,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         {
             "seq": "conv_id * 1000000 + turn + 1",
             "text": "CASE WHEN role = 'system' THEN '' ELSE text END",
-            "stars": "CAST((conv_id + turn) % 7 AS INT)",
+            "stars": "CAST((conv_id + turn) % 14 * 0.5 AS DOUBLE)",
         },
     ),
     "new_payments": (

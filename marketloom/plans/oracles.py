@@ -8,7 +8,9 @@ from marketloom.plans.driver_views import VIEWS, sql_views
 from marketloom.plans.queries import AS_OF, ORDERED
 
 _ITEM_TEXT = (
-    "string_agg(concat_ws(':', i.Pid, i.Oquantity, i.Oprice, p.Pname, p.Ppicture), ',' "
+    "string_agg(concat_ws(':', i.Oiid, coalesce(CAST(i.Pid AS VARCHAR), '-'), "
+    "coalesce(CAST(i.Oquantity AS VARCHAR), '-'), coalesce(CAST(i.Oprice AS VARCHAR), '-'), "
+    "coalesce(p.Pname, '-'), coalesce(p.Ppicture, '-')), ',' "
     "ORDER BY i.Oiid, i.Pid, i.Oquantity, i.Oprice, p.Pname, p.Ppicture)"
 )
 _LISTS = (
@@ -20,10 +22,9 @@ _NAMES = (
     "string_agg(p.Pname, ', ' ORDER BY i.Oiid, i.Pid, i.Oquantity, i.Oprice) AS products "
     "FROM s_order_items i JOIN s_products p ON i.Pid = p.Pid GROUP BY i.Oid)"
 )
-_PAGE = "CAST(0 AS INTEGER) AS page"
 _ORDER = "o.Oid, o.Oprice, o.Odate, o.Ostatus, o.Cid, o.Opayment, o.Oslip"
 _NESTED = f"""
-    SELECT {_ORDER}, {_PAGE}, coalesce(l.items, '') AS items
+    SELECT {_ORDER}, coalesce(l.items, '') AS items
     FROM s_orders o LEFT JOIN lists l ON o.Oid = l.Oid WHERE o.Cid IS NOT NULL"""
 _PROFILE = (
     "Cid, Cusername, Cstatus, Cname, Caddress, Csubdistrict, Cdistrict, Cprovince, Czipcode, "
@@ -108,7 +109,7 @@ _DECIDED = f"""{_FOLD}
                 WHEN kind = 'slip' THEN NOT cod ELSE TRUE END AS accepted
     FROM states"""
 
-_VALID_REVIEW = "text IS NOT NULL AND stars BETWEEN 1 AND 5"
+_VALID_REVIEW = "text IS NOT NULL AND round(stars) BETWEEN 1 AND 5"
 _REVIEWED = f"""
     added AS (
         SELECT * FROM (
@@ -144,7 +145,7 @@ _TOGGLED = """
 _PAYS = """
     judged AS (
         SELECT n.*, CASE
-            WHEN n.Oid = 0 OR Payprice = 0 OR Tid = 0 OR slip IS NULL THEN 'incomplete'
+            WHEN n.Oid IS NULL OR Payprice IS NULL OR Tid IS NULL OR slip IS NULL THEN 'incomplete'
             WHEN o.Oid IS NULL THEN 'unknown order' END AS reason
         FROM new_payments n LEFT JOIN s_orders o ON n.Oid = o.Oid)"""
 
@@ -189,18 +190,23 @@ def _bucket(grain: str) -> str:
 
 _SQL: dict[str, str] = {
     "q01_orders_with_customer": "SELECT Oid, Oprice, Ostatus, Odate, Cname FROM s_orders JOIN s_customers USING (Cid)",
+    "q02_order_items_flat": """
+        SELECT o.Oid, o.Oprice AS Ototal, o.Odate, o.Ostatus, o.Cid, o.Opayment, o.Oslip,
+               i.Oiid, i.Pid, i.Oquantity, i.Oprice, p.Pname, p.Ppicture
+        FROM s_order_items i JOIN s_products p ON i.Pid = p.Pid JOIN s_orders o ON i.Oid = o.Oid
+        WHERE o.Cid IS NOT NULL""",
     "q02_customer_orders_nested": f"{_LISTS} {_NESTED}",
     "q03_order_detail": f"""{_LISTS},
         asked AS (SELECT Oid FROM s_orders UNION SELECT order_id FROM s_reviews WHERE order_id IS NOT NULL),
         named AS (SELECT o.*, c.Cname FROM s_orders o JOIN s_customers c ON o.Cid = c.Cid)
-        SELECT a.Oid, o.Oprice, o.Odate, o.Ostatus, o.Cid, o.Opayment, o.Oslip, o.Cname, {_PAGE},
+        SELECT a.Oid, o.Oprice, o.Odate, o.Ostatus, o.Cid, o.Opayment, o.Oslip, o.Cname,
                coalesce(l.items, '') AS items
         FROM asked a LEFT JOIN named o ON a.Oid = o.Oid LEFT JOIN lists l ON a.Oid = l.Oid""",
     "q04_customer_order_summary": f"""{_NAMES}
-        SELECT Oid, Odate, Ostatus, Oprice, {_PAGE}, products
+        SELECT Oid, Odate, Ostatus, Oprice, products
         FROM s_orders LEFT JOIN names USING (Oid) WHERE Cid IS NOT NULL""",
     "q05_customer_order_summary_strict": f"""{_NAMES}
-        SELECT Oid, Odate, Ostatus, Oprice AS Ototal, {_PAGE}, products
+        SELECT Oid, Odate, Ostatus, Oprice AS Ototal, products
         FROM s_orders JOIN names USING (Oid) WHERE Cid IS NOT NULL""",
     "q06_sales_stats": f"""
         SELECT count(*) AS totalOrders, CAST(sum(Oprice) AS DECIMAL(22,2)) AS totalSales,
@@ -314,7 +320,7 @@ _SQL: dict[str, str] = {
     "m08_add_order_reviews": f"""{_REVIEWED}
         SELECT id, text, stars, created_at, order_id FROM s_reviews
         UNION ALL
-        SELECT (SELECT max(id) FROM s_reviews) + seq, text, stars, TIMESTAMP '{ORDERED} 00:00:00', order_id
+        SELECT (SELECT max(id) FROM s_reviews) + seq, text, CAST(round(stars) AS INTEGER), TIMESTAMP '{ORDERED} 00:00:00', order_id
         FROM added""",
     "m08_add_order_reviews_rejects": f"""{_REVIEWED}
         SELECT seq, order_id, text, stars,
@@ -323,7 +329,7 @@ _SQL: dict[str, str] = {
     "m09_add_reviews": f"""
         SELECT id, text, stars, created_at, order_id FROM s_reviews
         UNION ALL
-        SELECT (SELECT max(id) FROM s_reviews) + seq, text, stars, TIMESTAMP '{ORDERED} 00:00:00', NULL
+        SELECT (SELECT max(id) FROM s_reviews) + seq, text, CAST(round(stars) AS INTEGER), TIMESTAMP '{ORDERED} 00:00:00', NULL
         FROM new_reviews WHERE text <> '' AND stars BETWEEN 1 AND 5""",
     "m09_add_reviews_rejects": """
         SELECT seq, text, stars, 'invalid' AS reason FROM new_reviews
@@ -372,10 +378,10 @@ _SQL: dict[str, str] = {
         SELECT Tid, Tname, Tnum, Taccount, Tbranch, Tqr FROM s_transfer
         UNION ALL
         SELECT (SELECT max(Tid) FROM s_transfer) + seq, Tname, Tnum, Taccount, Tbranch, concat('/qrs/', qrcode)
-        FROM new_accounts WHERE Tnum <> 0 AND Taccount <> '' AND qrcode IS NOT NULL""",
+        FROM new_accounts WHERE Taccount <> '' AND qrcode IS NOT NULL""",
     "m16_add_transfer_accounts_rejects": """
         SELECT seq, Tname, Tnum, Taccount, Tbranch, qrcode, 'incomplete' AS reason
-        FROM new_accounts WHERE Tnum = 0 OR Taccount = '' OR qrcode IS NULL""",
+        FROM new_accounts WHERE Taccount = '' OR qrcode IS NULL""",
     "m17_register_customers": f"""{_SERVED}
         SELECT * FROM s_customers
         UNION ALL
@@ -412,7 +418,7 @@ _SQL: dict[str, str] = {
     "x1_stream_order_decisions": _DECIDED,
     "x2_stream_favorites": _TOGGLED,
     "x3_stream_sales": " UNION ALL ".join(_bucket(g) for g in ("day", "week", "month")),
-    "x4_stream_first_review": f"{_REVIEWED} SELECT order_id, seq, text, stars FROM added",
+    "x4_stream_first_review": f"{_REVIEWED} SELECT order_id, seq, text, CAST(round(stars) AS INTEGER) AS stars FROM added",
 }
 
 

@@ -39,7 +39,8 @@ def queries() -> dict[str, Query]:
 
 def _entries_text(df: DataFrame) -> DataFrame:
     """Nested items as one text, for comparison by value."""
-    entry = "concat_ws(':', x.Pid, x.Oquantity, x.Oprice, x.Pname, x.Ppicture)"
+    fields = [f"coalesce(CAST(x.{c} AS STRING), '-')" for c in ("Pid", "Oquantity", "Oprice", "Pname", "Ppicture")]
+    entry = f"concat_ws(':', x.Oiid, {', '.join(fields)})"
     return df.withColumn("items", F.expr(f"array_join(transform(items, x -> {entry}), ',')"))
 
 
@@ -56,6 +57,11 @@ def q02_customer_orders_nested(spark, sf):
     return _entries_text(orders.customer_orders_nested(shop(spark, sf, *_ORDER_TABLES)))
 
 
+@_query
+def q02_order_items_flat(spark, sf):
+    return orders.order_items_flat(shop(spark, sf, *_ORDER_TABLES))
+
+
 @_query
 def q03_order_detail(spark, sf):
     t = shop(spark, sf, *_ORDER_TABLES, "customers", "reviews")

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from marketloom.functions.keyed import gather, join_grouped, only_keys, with_pages, without_keys
+from marketloom.functions.keyed import gather, join_grouped, only_keys, without_keys
 from marketloom.operators import catalogue, orders
 from marketloom.session import checkpoint_root, durable, scratch_path
 
@@ -109,32 +109,18 @@ def test_hot_product_in_favorites_is_split(shuffled, skewed):
     assert "skew=true" in final_plan(catalogue.favorite_products(t))
 
 
-def test_pages_of_a_hot_key(spark, skewed):
-    paged, group = with_pages(skewed, "k", ["id"], 5_000)
-    assert group == ["k", "page"]
-    sizes = {(r["k"], r["page"]): r["count"] for r in rows(paged.groupBy(*group).count())}
-    hot = [n for (k, _), n in sizes.items() if k == 7]
-    assert len(hot) > 10 and max(hot) < 10_000
-    assert {p for (k, p) in sizes if k != 7} == {0}
-    assert sum(sizes.values()) == 300_000
-
-
-def test_no_join_without_large_keys(spark, skewed):
-    same, group = with_pages(skewed, "k", ["id"], 1_000_000)
-    assert same is skewed and group == ["k"]
-
-
 def test_lists_are_shuffled_once_for_grouping_and_join(shuffled, skewed):
-    lists = gather(skewed, ["k"], F.collect_list("id"), "ids")
+    lists = gather(skewed, "k", F.collect_list("id"), "ids")
     keys = shuffled.range(0, 2000).withColumnRenamed("id", "k")
     plan = keys.join(lists, "k", "left")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 2
 
 
-def test_hot_order_is_split_into_pages_and_joined_in_parts(shuffled, skewed):
+def test_hot_order_is_split_in_the_flat_form(shuffled, skewed):
     t = {
         "orders": shuffled.range(0, 2000, 1, 4).select(
-            F.col("id").alias("Oid"), F.lit(1).alias("Cid"), F.current_date().alias("Odate")
+            F.col("id").alias("Oid"), F.lit(1).alias("Cid"), F.current_date().alias("Odate"),
+            F.lit(3).alias("Oprice"),
         ),
         "order_items": skewed.select(
             F.col("id").alias("Oiid"), F.col("k").alias("Oid"), (F.col("id") % 50).alias("Pid"),
@@ -144,12 +130,9 @@ def test_hot_order_is_split_into_pages_and_joined_in_parts(shuffled, skewed):
             F.col("id").alias("Pid"), F.lit("name").alias("Pname"), F.lit("url").alias("Ppicture")
         ),
     }
-    nested = orders.customer_orders_nested(t, page_size=1_000)
-    assert "skew=true" in final_plan(nested)
-    sizes = nested.select(F.size("items").alias("n"), "Oid", "page")
-    assert sizes.agg(F.sum("n"), F.max("n")).first()[0] == 300_000
-    assert sizes.agg(F.max("n")).first()[0] < 2_000
-    assert sizes.where("Oid = 7").count() > 50
+    flat = orders.order_items_flat(t)
+    assert "skew=true" in final_plan(flat)
+    assert flat.count() == 300_000
 
 
 def test_filters_and_columns_reach_the_scan(spark, skewed):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from marketloom.plans import queries as registered
 from marketloom.operators import feedback, orders
 from marketloom.plans.driver_views import shop
 from marketloom.session import build_session
@@ -14,7 +15,7 @@ from marketloom.session import build_session
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
-LAZY = [n for n in sorted(entry.queries()) if not n.startswith(("s", "x", "m03", "m17"))]
+LAZY = [n for n in sorted(registered.queries()) if not n.startswith(("s", "x", "m03", "m17"))]
 
 
 def physical(df) -> str:
@@ -63,12 +64,31 @@ def test_filters_reach_the_scan(spark):
 
 def test_unsorted_results_save_a_shuffle(spark):
     t = shop(spark, str(DATA), "orders", "order_items", "products")
-    plain = orders.customer_orders_nested(t, ordered=False)
+    plain = orders.customer_orders_nested(t)
     assert "rangepartitioning" not in physical(plain)
-    assert "rangepartitioning" in physical(orders.customer_orders_nested(t))
+    assert "rangepartitioning" in physical(orders.customer_orders_nested(t, ordered=True))
     assert plain.count() == orders.customer_orders_nested(t).agg(F.count("*")).first()[0]
 
 
+def test_few_keys_are_met_before_anything_else_is_shuffled(spark):
+    """The first join above every large scan is the one with the keys asked for."""
+    t = shop(spark, str(DATA), "orders", "order_items", "products", "customers", "payments", "transfer", "reviews")
+    one = spark.range(5, 6).withColumnRenamed("id", "Oid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (
+            orders.order_detail(t, one),
+            feedback.payment_of_order(t, one),
+            feedback.review_of_order(t, one.withColumnRenamed("Oid", "order_id")),
+        ):
+            joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin).*", physical(df))
+            assert any("LeftSemi" in j for j in joins)
+            assert "LeftSemi" in joins[-1] or "Inner" not in joins[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_partitions_follow_the_size_of_the_shuffle(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     try:

@@ -23,7 +23,7 @@ def test_orders_with_customer_drops_unknown_and_null_customers(edge):
 
 
 def test_nested_orders(edge):
-    got = rows(orders.customer_orders_nested(edge))
+    got = rows(orders.customer_orders_nested(edge, ordered=True))
     assert [r["Oid"] for r in got] == [2, 1, 6, 5, 4]  # by customer, newest first, key breaks ties
     items = {r["Oid"]: [i["Oiid"] for i in r["items"]] for r in got}
     assert items == {1: [1, 2], 2: [3], 4: [6, 7], 5: [], 6: [8]}
@@ -45,28 +45,27 @@ def test_seed_orders_newest_first(spark, seed):
     assert got == [14, 13, 12, 11, 10, 9, 8, 7, 6]
 
 
-@pytest.mark.parametrize("page_size", [1, 7, 100])
-def test_pages_hold_every_item_once(spark, page_size):
+def test_a_hot_order_keeps_its_items_in_order(spark):
     """A third of all items belongs to one order."""
     items = [
         {"Oiid": i, "Oid": 1 if i % 3 == 0 else i, "Pid": i % 5, "Oquantity": 1, "Oprice": money(i)}
-        for i in range(1, 300)
+        for i in range(1, 3000)
     ]
     t = {
-        "orders": frame(spark, "orders", [{"Oid": i, "Cid": 1} for i in range(1, 300)]),
-        "order_items": frame(spark, "order_items", items),
+        "orders": frame(spark, "orders", [{"Oid": i, "Cid": 1} for i in range(1, 3000)]),
+        "order_items": frame(spark, "order_items", items[::-1]),
         "products": frame(spark, "products", [{"Pid": i, "Pname": f"p{i}"} for i in range(5)]),
     }
-    got = rows(orders.customer_orders_nested(t, page_size=page_size))
-    seen = sorted((r["Oid"], i["Oiid"]) for r in got for i in r["items"])
-    assert seen == sorted((i["Oid"], i["Oiid"]) for i in items)
-    assert len({(r["Oid"], r["page"]) for r in got}) == len(got)
-    pages = [r for r in got if r["Oid"] == 1 and r["items"]]
-    assert len(pages) == 1 if page_size == 100 else len(pages) > 1
-    if page_size == 7:
-        assert max(len(r["items"]) for r in got) <= 3 * page_size
-    names = rows(orders.customer_order_summary(t, page_size=page_size))
-    assert sum(len(r["products"].split(", ")) for r in names if r["products"]) == len(items)
+    want = {i: [] for i in range(1, 3000)}
+    for x in items:
+        want[x["Oid"]].append(x["Oiid"])
+    got = rows(orders.customer_orders_nested(t))
+    assert len(got) == 2999
+    assert {r["Oid"]: [i["Oiid"] for i in r["items"]] for r in got} == want
+    names = by(orders.customer_order_summary(t), "Oid")
+    assert names[1]["products"] == ", ".join(f"p{i % 5}" for i in want[1])
+    flat = [(r["Oid"], r["Oiid"]) for r in rows(orders.order_items_flat(t, ordered=True))]
+    assert flat == [(o, i) for o in sorted(want, reverse=True) for i in want[o]]
 
 
 def test_order_detail_keeps_items_without_order_or_customer(spark, edge):
@@ -75,7 +74,7 @@ def test_order_detail_keeps_items_without_order_or_customer(spark, edge):
     assert got[1]["Cname"] == "Ann" and len(got[1]["items"]) == 2
     assert got[4]["Ostatus"] is None and got[4]["Cname"] is None and len(got[4]["items"]) == 2
     assert got[88]["Oprice"] is None and got[88]["items"][0]["Oquantity"] == 4
-    assert got[1234]["items"] == [] and got[1234]["page"] == 0
+    assert got[1234]["items"] == []
 
 
 def test_summary(spark, edge):
@@ -92,7 +91,7 @@ def test_summary(spark, edge):
 
 
 def test_strict_summary(edge):
-    got = rows(orders.customer_order_summary_strict(edge))
+    got = rows(orders.customer_order_summary_strict(edge, ordered=True))
     assert [r["Oid"] for r in got] == [4, 6, 2, 1]
     assert got[1]["products"] is None  # its product has no name, but exists
     assert got[3]["Ototal"] == money(10)

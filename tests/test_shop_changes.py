@@ -154,8 +154,22 @@ def test_accounts(spark, edge):
     schema = "seq bigint, Tname string, Tnum int, Taccount string, Tbranch string, qrcode string"
     state, rejects = sc.add_transfer_accounts(edge["transfer"], spark.createDataFrame(new, schema))
     added = [r for r in rows(state) if r["Tid"] > 8]
-    assert [(r["Tqr"], r["Tbranch"]) for r in added] == [("/qrs/a.png", None)]
-    assert set(reasons(rejects)) == {2, 3, 4, 5}
+    assert sorted((r["Tqr"], r["Tbranch"], r["Tnum"]) for r in added if r["Tbranch"]) == [("/qrs/a.png", "br", 0)]
+    assert [(r["Tqr"], r["Tnum"]) for r in added if r["Tbranch"] is None] == [("/qrs/a.png", 3)]
+    assert set(reasons(rejects)) == {2, 4, 5}
+
+
+def test_stars_are_rounded_as_they_are_stored(spark, edge):
+    new = [(1, "a", 4.6), (2, "b", 0.6), (3, "c", 5.4), (4, "d", 2.5), (5, "e", 5.5)]
+    frame_ = spark.createDataFrame(new, "seq bigint, text string, stars double")
+    state, rejects = sc.add_reviews(edge["reviews"], frame_)
+    assert {r["text"]: r["stars"] for r in rows(state) if r["text"] in "abcde"} == {"a": 5, "d": 3}
+    assert set(reasons(rejects)) == {2, 3, 5}
+    of_orders = frame_.withColumn("order_id", frame_["seq"] + 10)
+    state, rejects = sc.add_order_reviews(edge["reviews"], of_orders)
+    got = {r["text"]: r["stars"] for r in rows(state) if r["text"] in "abcde"}
+    assert got == {"a": 5, "b": 1, "c": 5, "d": 3}
+    assert set(reasons(rejects)) == {5}
 
 
 def test_profile_picture(spark, edge):
