@@ -66,7 +66,13 @@ class Encoder:
         self._letters = Tokenizer(
             models.BPE(model["vocab"], [tuple(m) for m in model["merges"]], cache_capacity=0)
         )
-        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Many words after spaces are encoded as one text that is cut before each space.
+        cut = pre_tokenizers.Split(" ", "merged_with_next")
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence([cut, whole])
+        self._bytes = np.zeros(top + 1, np.int64)  # of each token; every symbol is one byte
+        for token, i in model["vocab"].items():
+            self._bytes[i] = len(token)
         # Ids of pieces as they stand, and of words after a space (kept without it).
         self._bare = _Known("", self)
         self._spaced = _Known(" ", self)
@@ -82,24 +88,51 @@ class Encoder:
         return self._marks[text]
 
     def batch(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        words = [p for p in pieces if _is_word(p)]
-        others = [p for p in pieces if not _is_word(p)]
-        for some, by in ((words, self._letters), (others, self._tokenizer)):
-            for p, e in zip(some, by.encode_batch_fast(some, add_special_tokens=False)):
-                yield p, array("I", e.ids).tobytes()
+        words, others = [], []
+        for p in pieces:
+            (words if p[:1] == " " and _is_word(p) else others).append(p)
+        if words:
+            ids = np.array(self._letters.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids)
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in words])
+            cuts = (4 * np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 4).tolist()
+            raw = ids.astype("<u4").tobytes()
+            yield from zip(words, (raw[a:b] for a, b in zip([0, *cuts], cuts)))
+        for p, e in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            yield p, array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not text.isascii() and _ODD.search(text) or _ODD_ASCII.search(text):
-            return self.whole(text)
-        if any(s in text for s in _GAPS):
-            return self._bare.joined(_PIECE.findall(text))
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            head = self._bare.joined(words[:1]) if words[0] else b""
-            lines.append(head + self._spaced.joined(words[1:]))
-        return self._line_feed.join(lines)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is encoded together."""
+        cut: list[bytes | list[str] | list[list[str]]] = []
+        bare: set[str] = set()
+        spaced: set[str] = set()
+        for text in texts:
+            if not text.isascii() and _ODD.search(text) or _ODD_ASCII.search(text):
+                cut.append(self.whole(text))
+            elif any(s in text for s in _GAPS):
+                cut.append(_PIECE.findall(text))
+                bare.update(cut[-1])
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                cut.append(lines)
+                for words in lines:
+                    bare.add(words[0])
+                    spaced.update(words[1:])
+        self._bare.learn(bare)
+        self._spaced.learn(spaced)
+        heads, known = self._bare.now.__getitem__, self._spaced.now.__getitem__
+        out = []
+        for parts in cut:
+            if isinstance(parts, bytes):
+                out.append(parts)
+            elif parts and isinstance(parts[0], list):
+                out.append(self._line_feed.join([heads(w[0]) + b"".join(map(known, w[1:])) for w in parts]))
+            else:
+                out.append(b"".join(map(heads, parts)))
+        return out
 
 
 class _Known:
@@ -107,27 +140,20 @@ class _Known:
 
     def __init__(self, before: str, encoder: Encoder):
         self._before, self._encoder = before, encoder
-        self._now: dict[str, bytes] = {}
+        self.now: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def joined(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self._now.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self._now.__getitem__, pieces))
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self._now) > CACHE:
-            self._older, self._now = self._now, {}
-        now, older, before = self._now, self._older, self._before
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.now) > CACHE:
+            self._older, self.now = self.now, {}
+        now, older, before = self.now, self._older, self._before
         new, tails = [], []
-        for p in pieces:
-            if p in now:
-                continue
+        for p in pieces.difference(now):
             if p in older:
                 now[p] = older[p]
-            elif p[-1:] in _MARKS and _is_word(p[:-1]):
+            elif not p:
+                now[p] = b"" if not before else self._encoder.mark(before)
+            elif p[-1] in _MARKS and _is_word(p[:-1]):
                 tails.append(p)
                 if p[:-1] not in now:
                     new.append(before + p[:-1])
@@ -239,9 +265,10 @@ def write_packed(
                 schema=_ARROW,
             )
 
-        for batch in slices(batches):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = own.encode(text) + end
+        for batch in slices(batches, 2 << 20):
+            encoded = own.encode_all(batch["text"].to_pylist())
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded):
+                ids += end
                 if n and n + len(ids) // 4 > CHUNK_IDS:
                     yield row()
                     chunk, before = chunk + 1, before + n
