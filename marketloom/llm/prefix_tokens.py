@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,21 @@ from marketloom.llm.common import id_and_text, map_texts
 CACHE = 400_000
 _CUT = re.compile("([ \t\n\r]+)")
 _EASY = re.compile("[!-~¡-ÿ]*")
+# A run of letters, perhaps with one mark behind: the pattern cuts before the mark only.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)")
+_KEPT = 12  # characters of a beginning that is kept
+
+
+def _symbols() -> list[str]:
+    """The symbol of each byte: printable bytes stand for themselves, the others for the characters
+    from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return [symbol[b] for b in range(256)]
+
+
+_SYMBOL = _symbols()
 
 
 class Model:
@@ -47,6 +63,7 @@ class Model:
         self._now: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._pieces: dict[str, list[int]] = {}
+        self._steps: dict[str, tuple[int, str, int]] = {}
 
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -79,23 +96,60 @@ class Model:
 
     def _last(self, word: str, i: int, inner: list[str], end: str) -> str:
         """Last token of the encoding of ``word[:i]``, closed by ``end``."""
-        vocab = self.vocab
-        for j in range(max(0, i - self.longest), i):
+        vocab, pairs = self.vocab, self._pairs
+        # One token only agrees, so the short ones, which are the likely ones, are tried first.
+        for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
             token = word[j:i] + end
-            if token in vocab and self._agree(inner[j], token):
-                return token
+            if token in vocab:
+                known = pairs.get((inner[j], token))
+                if known or known is None and self._agree(inner[j], token):
+                    return token
         raise ValueError(f"no token ends {word[:i]!r}")
 
     def piece(self, word: str) -> list[int]:
-        """Counts of the prefixes of one pre-token in byte symbols, each closed as a word."""
+        """Counts of the prefixes of one pre-token in byte symbols, each closed as a word.
+
+        Words share beginnings, so the answers for beginnings are kept.
+        """
+        steps, end = self._steps, self.end
+        if len(steps) > CACHE:
+            steps.clear()
         inner, counts, out = [""], [0], []
         for i in range(1, len(word) + 1):
-            out.append(counts[i - len(self._last(word, i, inner, self.end)) + len(self.end)] + 1)
-            token = self._last(word, i, inner, "")
-            inner.append(token)
-            counts.append(counts[i - len(token)] + 1)
+            known = steps.get(word[:i]) if i <= _KEPT else None
+            if known is None:
+                last = self._last(word, i, inner, end)
+                closed = counts[i - len(last) + len(end)] + 1
+                token = self._last(word, i, inner, "")
+                known = (closed, token, counts[i - len(token)] + 1)
+                if i <= _KEPT:
+                    steps[word[:i]] = known
+            out.append(known[0])
+            inner.append(known[1])
+            counts.append(known[2])
         return out
 
+    def _known(self, piece: str) -> list[int]:
+        known = self._pieces.get(piece)
+        if known is None:
+            known = self.piece(piece)
+            if len(self._pieces) > CACHE:
+                self._pieces.clear()
+            self._pieces[piece] = known
+        return known
+
+    def _word(self, word: str, mark: str) -> list[int]:
+        """Counts after each character of a run of letters and a mark."""
+        low = word.lower()
+        if low.isascii():
+            counts = self._known(low)
+        else:
+            raw = low.encode()
+            known = self._known("".join(map(_SYMBOL.__getitem__, raw)))
+            # The last byte of a character is the one that no continuation byte follows.
+            counts = [k for k, b in zip(known, [*raw[1:], 0]) if b & 0xC0 != 0x80]
+        return [*counts, counts[-1] + 1] if mark else counts
+
     def _plain(self, unit: str) -> list[int] | None:
         """Counts after each character of a run without white space, from its pre-tokens; None if
         normalisation does not work character by character."""
@@ -111,12 +165,7 @@ class Model:
         for piece, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(low):
             if a != at:
                 return None
-            known = self._pieces.get(piece)
-            if known is None:
-                known = self.piece(piece)
-                if len(self._pieces) > CACHE:
-                    self._pieces.clear()
-                self._pieces[piece] = known
+            known = self._known(piece)
             if len(known) == b - a:
                 counts += [base + k for k in known]
             else:
@@ -132,10 +181,11 @@ class Model:
     def _unit(self, unit: str) -> bytes:
         if not unit or unit[0] in " \t\n\r":
             return bytes(len(unit))
-        counts = self._plain(unit)
-        if counts is None or (not unit.isascii() and counts[-1] != self.count(unit)):
+        word = _WORD.fullmatch(unit)
+        counts = self._word(word[1], word[2]) if word else self._plain(unit)
+        if counts is None or (not _EASY.fullmatch(unit) and counts[-1] != self.count(unit)):
             counts = [self.count(unit[:k]) for k in range(1, len(unit) + 1)]
-        return np.diff(np.array([0, *counts])).astype(np.int8).tobytes()
+        return array("b", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
     def changes(self, text: str) -> bytes:
         """One signed byte per character: by how much the count of the prefix changes with it."""
