@@ -4,7 +4,9 @@ The benchmark's passages are the indexed collection: their TF-IDF matrix (docume
 all documents of the corpus) is factored by a distributed randomised SVD. Every window of every
 document is folded into the latent space and compared by cosine with all benchmark passages, a
 stated query set, in blocks of ``BLOCK`` passages. A window whose words, each at the most it can add
-to any passage, stay below the threshold is dropped before it is folded. Candidates
+to any passage, stay below the threshold is dropped before it is folded. Beside it an exact search
+by counts finds what the cosine does not: of a passage's rarest words so many must stand together
+in any stretch that can hold enough of it, whatever their weights. Candidates of both
 are judged by the longest common subsequence of words: a copy has ``copy_share`` of the passage, a
 paraphrase ``para_share`` of it and also the passage's answer (its last sentence).
 
@@ -33,6 +35,7 @@ PASSAGE = 64  # longer items are cut into passages of so many words
 MIN_WORDS = 5  # shorter items are in every text and are not looked for
 MIN_COSINE = 0.3
 COPY_SHARE, PARA_SHARE = 0.8, 0.6
+STRETCH = 2  # a copy with its insertions has at most so many times the words of its passage
 # Weights of a word that is in all documents and in none; words outside the benchmark's vocabulary
 # are not counted and weigh as words of this rarity do.
 LEAST_WEIGHT, MOST_WEIGHT, OTHER_RARITY = 0.25, 2.0, 0.7
@@ -144,13 +147,11 @@ class Searcher:
         # The most that one occurrence of a word can add to the product with any passage.
         most = np.maximum(self.fold @ self.latent.T, 0.0).max(axis=1, initial=0.0)
         self.most = np.r_[most, 0.0, 0.0].astype(float)
+        self.rarity = idf
+        self._calls: tuple | None = None
 
-    def candidates(self, docs: list[list[str]], min_cosine: float):
-        """(document, first word, last word, passage, cosine) of the windows at ``min_cosine``.
-
-        The norm of a window counts each occurrence by itself, which is never more than its norm
-        with repeats added up: the cosine errs upwards, so no candidate is lost.
-        """
+    def _encode(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ids of all documents, each filled up to whole strides; first stride and strides of each."""
         get, n = self.vocabulary.get, len(self.vocabulary)
         ids, first, sizes = [], [], []
         for words in docs:
@@ -158,9 +159,81 @@ class Searcher:
             ids += [get(w, n) for w in words]
             ids += [n + 1] * (-len(ids) % STRIDE)
             sizes.append(len(ids) // STRIDE - first[-1])
-        if not ids:
+        return np.array(ids, np.int64), np.array(first, np.int64), np.array(sizes, np.int64)
+
+    def _calling(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per word, as ``start`` and ``flat``, the passages it calls; per passage the least number of
+        calling words in a stretch that holds the share ``least`` of it, and the length of a stretch.
+
+        A stretch that lacks at most k of a passage's words holds at least t of any k + t of them;
+        the rarest ones are taken, which decides the cost and not the outcome.
+        """
+        if self._calls is None or self._calls[0] != least:
+            called: list[list[int]] = [[] for _ in range(len(self.vocabulary) + 2)]
+            needed, length = np.zeros(len(self.passages), np.int64), np.zeros(len(self.passages), np.int64)
+            for p, (_, words, _) in enumerate(self.passages):
+                m = len(words)
+                lacking = max(k for k in range(m) if k == 0 or (m - k) / m >= least)
+                needed[p], length[p] = min(m - lacking, max(2, m // 4)), STRETCH * m
+                rarest = sorted((self.vocabulary[w] for w in words), key=lambda i: (-self.rarity[i], i))
+                for i in set(rarest[: lacking + needed[p]]):
+                    called[i].append(p)
+            start = np.cumsum([0, *map(len, called)])
+            self._calls = (least, start, np.array([p for ps in called for p in ps], np.int64), needed, length)
+        return self._calls[1:]
+
+    def called(self, encoded: tuple[np.ndarray, np.ndarray, np.ndarray], least: float):
+        """(document, first word, last word, passage) of all regions in which a stretch can hold the
+        share ``least`` of the passage; none is lost, whatever the words weigh."""
+        ids, first, sizes = encoded
+        start, flat, needed, length = self._calling(least)
+        fan = np.diff(start)[ids] if len(ids) else np.zeros(0, np.int64)
+        at = np.flatnonzero(fan)
+        if not len(at):
+            return
+        fan = fan[at]
+        word = np.repeat(at, fan)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(fan) - fan, fan)
+        passage = flat[start[ids[word]] + place]
+        doc = np.repeat(np.arange(len(first)), sizes * STRIDE)[word]
+        group = doc * len(self.passages) + passage
+        order = np.argsort(group, kind="stable")  # words of a group stay in their order
+        group, word, passage, doc = group[order], word[order], passage[order], doc[order]
+        last = np.arange(len(word)) + needed[passage] - 1
+        some = np.flatnonzero(last < len(word))
+        last = last[some]
+        some_, last = some[keep := (group[last] == group[some]) & (word[last] - word[some] < length[passage[some]])], last[keep]
+        begin = first[doc[some_]] * STRIDE
+        a = np.maximum(word[last] - length[passage[some_]] + 1 - begin, 0)
+        z = word[some_] + length[passage[some_]] - begin
+        held = None
+        for g, d, p, x, y in zip(group[some_].tolist(), doc[some_].tolist(), passage[some_].tolist(), a.tolist(), z.tolist()):
+            if held and held[0] == g and x <= held[3]:
+                held[3] = max(held[3], y)
+                continue
+            if held:
+                yield held[1], held[2], held[3], held[4]
+            held = [g, d, x, y, p]
+        if held:
+            yield held[1], held[2], held[3], held[4]
+
+    def cosine(self, words: list[str], passage: int) -> float:
+        """Latent cosine of a stretch of words and a passage."""
+        n = len(self.vocabulary)
+        ids = np.array([self.vocabulary.get(w, n) for w in words], np.int64)
+        vector = self.padded[np.minimum(ids, n)].sum(0)
+        return float(vector @ self.latent[passage] / np.sqrt(max(self.square[ids].sum(), 1e-30)))
+
+    def candidates(self, docs: list[list[str]], min_cosine: float, encoded: tuple | None = None):
+        """(document, first word, last word, passage, cosine) of the windows at ``min_cosine``.
+
+        The norm of a window counts each occurrence by itself, which is never more than its norm
+        with repeats added up: the cosine errs upwards, so no candidate is lost.
+        """
+        n = len(self.vocabulary)
+        ids, first, sizes = encoded or self._encode(docs)
+        if not len(ids):
             return
-        ids, first, sizes = np.array(ids), np.array(first), np.array(sizes)
         square = self.square[ids].reshape(-1, STRIDE)
         most = self.most[ids].reshape(-1, STRIDE).sum(1)
         run_all, run_most = np.r_[0.0, np.cumsum(square.sum(1))], np.r_[0.0, np.cumsum(most)]
@@ -196,28 +269,35 @@ class Searcher:
         docs = [words_of(t) for t in texts]
         out: list[dict[int, tuple]] = [{} for _ in docs]
         regions: dict[tuple[int, int], list[list]] = {}
-        for d, a, b, p, cosine in self.candidates(docs, min_cosine):
+        encoded = self._encode(docs)
+        for d, a, b, p, cosine in self.candidates(docs, min_cosine, encoded):
             held = regions.setdefault((d, p), [])
             if held and a <= held[-1][1]:
                 held[-1][1] = max(held[-1][1], b)
                 held[-1][2] = max(held[-1][2], cosine)
             else:
                 held.append([a, b, cosine])
-        for (d, p), found in regions.items():
+        # The whole passage may reach beyond the windows that showed it.
+        stretches = [
+            (d, max(0, a - len(self.passages[p][1])), b + len(self.passages[p][1]), p, cosine)
+            for (d, p), found in regions.items()
+            for a, b, cosine in found
+        ]
+        stretches += [(*s, None) for s in self.called(encoded, min(copy, para))]
+        needs = [Counter(words) for _, words, _ in self.passages]
+        for d, a, b, p, cosine in stretches:
             item, words, answer = self.passages[p]
-            need = Counter(words)
-            for a, b, cosine in found:
-                # The whole passage may reach beyond the windows that showed it.
-                region = docs[d][max(0, a - len(words)) : b + len(words)]
-                inside = need.keys() & region
-                if sum(map(need.__getitem__, inside)) < para * len(words):
-                    continue
-                common = common_subsequence(words, region)
-                share = common / len(words)
-                answered = share >= para and common_subsequence(answer, region) >= copy * len(answer)
-                if share >= copy or answered:
-                    best = (share, common, cosine, answered, max(0, a - len(words)))
-                    out[d][item] = max(out[d].get(item, best), best)
+            region = docs[d][a:b]
+            inside = needs[p].keys() & region
+            if sum(map(needs[p].__getitem__, inside)) < para * len(words):
+                continue
+            common = common_subsequence(words, region)
+            share = common / len(words)
+            answered = share >= para and common_subsequence(answer, region) >= copy * len(answer)
+            if share >= copy or answered:
+                cosine = self.cosine(region, p) if cosine is None else cosine
+                best = (share, common, cosine, answered, a)
+                out[d][item] = max(out[d].get(item, best), best)
         return out
 
 
