@@ -17,6 +17,9 @@ _REVIEWED = (
     "ELSE 2 * CAST(floor(event_id / 50) AS BIGINT) END"
 )
 
+# Orders that only _REVIEWED does not name: reviewed before, and not yet.
+_ODD, _OPEN = (f"4 * CAST(floor(event_id / 5) AS BIGINT) + {k}" for k in (1, 3))
+
 # view: (table, row condition, {column: expression})
 VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "s_orders": (
@@ -94,25 +97,27 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "s_reviews": (
         "events",
-        "event_type = 'view'",
+        None,
         {
             "id": "event_id",
-            "text": "props",
+            "text": "CASE event_type WHEN 'click' THEN NULL WHEN 'error' THEN '' ELSE props END",
             "stars": "CAST(1 + event_id % 5 AS INT)",
             "created_at": "ts",
-            "order_id": _REVIEWED,
+            "order_id": f"CASE event_type WHEN 'view' THEN {_REVIEWED} WHEN 'error' THEN NULL "
+            f"WHEN 'click' THEN 1000000000 + event_id ELSE {_ODD} END",
         },
     ),
     "s_payments": (
         "events",
-        "event_type = 'purchase'",
+        None,
         {
             "Payid": "event_id",
             "Oid": "CAST(floor(event_id / 5) AS BIGINT)",
             "Payprice": "CAST(value AS DECIMAL(10,2))",
             "Paydate": "ts",
-            "Paystatus": "'waiting'",
-            "SlipUrl": "props",
+            "Paystatus": "CASE event_type WHEN 'purchase' THEN 'waiting' WHEN 'error' THEN 'failed' "
+            "WHEN 'click' THEN NULL ELSE 'confirmed' END",
+            "SlipUrl": "CASE WHEN event_type = 'signup' THEN NULL ELSE props END",
             "Tid": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 12 END",
         },
     ),
@@ -130,8 +135,13 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "s_favorites": (
         "events",
-        "event_type = 'view'",
-        {"id": "event_id", "customer_id": "user_id", "product_id": _K},
+        None,
+        {
+            "id": "event_id",
+            "customer_id": "user_id",
+            "product_id": f"CASE event_type WHEN 'view' THEN {_K} WHEN 'error' THEN 1000000 + event_id "
+            f"ELSE {_K} + 100 END",
+        },
     ),
     # change logs
     "order_log": (
@@ -150,16 +160,21 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "favorite_log": (
         "events",
-        "event_type = 'click'",
-        {"seq": "event_id + 1", "customer_id": "user_id", "product_id": _K},
+        None,
+        {
+            "seq": "event_id + 1",
+            "customer_id": "CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN NULL ELSE user_id END",
+            "product_id": f"CASE WHEN event_type = 'error' THEN NULL ELSE {_K} END",
+        },
     ),
     "new_order_reviews": (
         "events",
-        "event_type = 'click'",
+        None,
         {
             "seq": "event_id + 1",
-            "order_id": _REVIEWED,
-            "text": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE props END",
+            "order_id": f"CASE event_type WHEN 'signup' THEN {_OPEN} WHEN 'purchase' THEN {_ODD} "
+            f"ELSE {_REVIEWED} END",
+            "text": "CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN NULL ELSE props END",
             "stars": "CAST((event_id % 14) * 0.5 AS DOUBLE)",
         },
     ),
@@ -174,14 +189,14 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "new_payments": (
         "events",
-        "event_type = 'signup'",
+        None,
         {
             "seq": "event_id + 1",
             "Oid": "event_id * 2",
             "Payprice": f"CASE WHEN {_K} = 0 THEN CAST(0 AS DECIMAL(10,2)) "
             "ELSE CAST(value AS DECIMAL(10,2)) END",
             "Tid": "event_id % 12",
-            "slip": f"CASE WHEN {_K} = 1 THEN NULL ELSE concat('slip-', CAST(event_id AS STRING)) END",
+            "slip": f"CASE WHEN event_type = 'error' OR {_K} = 1 THEN NULL ELSE concat('slip-', CAST(event_id AS STRING)) END",
         },
     ),
     "old_products": ("s_products", "Pstatus <> 'PROMO'", {"*": "*"}),
@@ -227,11 +242,11 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "picture_changes": (
         "events",
-        "event_type <> 'view'",
+        None,
         {
             "seq": "event_id + 1",
             "Cid": f"user_id + {_K} * 20",
-            "file": "CASE WHEN event_type = 'error' THEN NULL ELSE props END",
+            "file": "CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN '' ELSE props END",
         },
     ),
     "registrations": (
