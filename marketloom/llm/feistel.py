@@ -26,7 +26,18 @@ _DAY = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
 _CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join([_EMAIL, _IBAN, _IPV4, _ISO_DAY, _DAY, _SSN, _PHONE, _CARD])
+# Without a country: an area in brackets, a leading zero with a gap, or three, three and four digits.
+# Eight to twelve digits, so that what is no card and has no plus can only be one of these.
+_NATIONAL = (
+    r"(?<![\p{L}0-9.+-])(?:"
+    r"\((?=(?:[^0-9]{0,2}[0-9]){8,12}(?![ -]?[0-9]))[0-9]{2,5}\)[ .-]?[0-9]{2,8}(?:[ .-][0-9]{2,6}){0,3}"
+    r"|(?=(?:[ /-]?[0-9]){8,12}(?![ /-]?[0-9]))0[0-9]{1,4}[ /-][0-9]{2,8}(?:[ -][0-9]{2,6}){0,3}"
+    r"|[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}\.[0-9]{3}\.[0-9]{4}"
+    r")(?![0-9]|[.-][0-9])"
+)
+PATTERN = "|".join([_EMAIL, _IBAN, _IPV4, _ISO_DAY, _DAY, _SSN, _PHONE, _CARD, _NATIONAL])
+# No value of any pattern is without one of these.
+_SOME = "[0-9]|@"
 
 
 def _digits(value: Column) -> Column:
@@ -233,7 +244,7 @@ def _kind(value: Column) -> Column:
         .when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "iso_day")
         .when(value.rlike("^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), "day")
         .when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(value.startswith("+"), "phone")
+        .when(value.rlike(r"^[+(]") | (F.length(_digits(value)) < 13), "phone")
         .otherwise("card")
     )
 
@@ -266,7 +277,7 @@ def pseudonymise(
     gives an empty result. Equal values get equal pseudonyms under one ``key``.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    some = F.col("text").rlike("[0-9]{2}|@")
+    some = F.col("text").rlike(_SOME)
     found = rows.withColumn(
         "_found", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     )

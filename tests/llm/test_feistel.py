@@ -95,3 +95,24 @@ def test_formats_ties_and_what_stays(spark):
 def test_no_python_in_the_plan(spark):
     plan = E.pseudonymise(docs(spark, [(1, "x")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_values_without_two_adjacent_digits_or_a_plus(spark):
+    """Texts that hold nothing else: single-digit addresses, spaced cards, national phones."""
+    kinds = {
+        "8.8.8.8": "ipv4", "dns 1.1.1.1 answers": "ipv4", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1": "card",
+        "(017) 555-7713": "phone", "call (017) 555-7713.": "phone", "030 1234567": "phone", "tel 0171/555 77 13": "phone",
+        "212-555-0198": "phone", "212.555.0198": "phone",
+    }
+    stays = ["page 7 of 9", "8.8.8", "(1984)", "in 2024-2025", "0.25 and 0 5", "12345678", "(12) 34", "3-4-5", "1.2.212.555.0198"]
+    rows = list(enumerate([*kinds, *stays]))
+    got = {r.doc_id: r for r in E.pseudonymise(docs(spark, rows), "k").collect()}
+    for i, (text, kind) in enumerate(kinds.items()):
+        assert [p.kind for p in got[i].pseudonyms] == [kind], (text, got[i])
+        assert got[i].text != text
+        if kind != "ipv4":
+            assert re.sub("[0-9]", "9", got[i].text) == re.sub("[0-9]", "9", text)
+    for i, text in rows[len(kinds) :]:
+        assert got[i].text == text and got[i].n_found == 0
+    again = E.pseudonymise(docs(spark, [(i, got[i].text) for i in range(len(kinds))]), "k").collect()
+    assert all(r.n_found == 1 for r in again)
