@@ -1,12 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all terms.
 
-Terms are words and their first four letters. A bounded sample of labelled rows gives the examples
-and, by chi-square against the label, the terms of the index; document frequencies come from all
-documents. Examples lie in blocks; per term and block the index keeps the postings and the largest
-weight. A query adds up the largest weights into a bound per block, visits blocks from the highest
-bound and stops when no bound reaches the worst neighbour it holds, so the neighbours are exact.
+Terms are words and their first four letters. A bounded sample of labelled rows gives the examples;
+all their terms are indexed, each weighted by how far it leans to label 1 (chi-square, bounded, never
+zero); document frequencies come from all documents. A query adds up the postings of its terms, those
+of common terms as rows of a matrix, so the neighbours are exact.
 Their votes, weighted by squared cosine and by the share of their class that was sampled, are drawn
-towards the rate of examples without any term, which is also the score of texts without one.
+towards the rate of examples without any strongly leaning term, which is also the score of texts
+that share no term with an example.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import id_and_text, map_texts
 from marketloom.session import durable
 
-# Labelled rows per class, and terms, that the index holds at most.
+# Labelled rows per class that the index holds at most.
 EXAMPLES = 2000
-TERMS = 512
-MIN_DOCS = 8
+# Chi-square at which a term weighs half as much as it can; the weight of terms that do not lean.
 MIN_CHI = 40.0
+LEAST_LEAN = 0.02
+COMMON = 32  # terms in more than one of so many examples are held as rows of a matrix
 NEIGHBOURS = 25
 BLOCK = 64
 PRIOR = 1.0
@@ -44,16 +45,50 @@ def term_counts(text: str) -> Counter:
     return words
 
 
+class Postings:
+    """Normed weights per term and example: a matrix for common terms, lists for all others."""
+
+    def __init__(self, n_terms: int, size: int, term: np.ndarray, place: np.ndarray, value: np.ndarray):
+        self.size = size
+        count = np.bincount(term, minlength=n_terms)
+        common = np.flatnonzero(count * COMMON > size)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), size), np.float32)
+        inside = self.row[term] >= 0
+        self.matrix[self.row[term[inside]], place[inside]] = value[inside]
+        term, place, value = term[~inside], place[~inside], value[~inside]
+        order = np.argsort(term, kind="stable")
+        self.place, self.value = place[order].astype(np.int32), value[order].astype(np.float32)
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=n_terms))]
+
+    def cosines(self, places: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of all examples with a vector of the weights ``w`` at ``places``."""
+        row = self.row[places]
+        out = (w[row >= 0].astype(np.float32) @ self.matrix[row[row >= 0]]).astype(float)
+        first = self.start[places]
+        n = self.start[places + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return out + np.bincount(self.place[at], np.repeat(w, n) * self.value[at], self.size)
+
+
 @dataclass(frozen=True)
 class Index:
     terms: dict[str, int]
-    idf: np.ndarray  # per term
-    weights: np.ndarray  # block, term, place in block; normed
-    block_max: np.ndarray  # term, block
+    idf: np.ndarray  # per term, with its lean
+    weights: Postings | np.ndarray  # as an array: block, term, place in block; normed
+    block_max: np.ndarray | None  # term, block; for an array of weights
     votes: np.ndarray  # per place: weight of the example's vote
     labels: np.ndarray
     ids: np.ndarray
-    base: float  # rate of label 1 among examples without terms
+    base: float  # rate of label 1 among examples without strongly leaning terms
+
+    def __post_init__(self):
+        if isinstance(self.weights, np.ndarray):
+            block, term, place = np.nonzero(self.weights)
+            size, value = self.weights.shape[0] * BLOCK, self.weights[block, term, place]
+            made = Postings(self.weights.shape[1], size, term, block * BLOCK + place, value)
+            object.__setattr__(self, "weights", made)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places and normed weights of the terms of a text."""
@@ -72,17 +107,13 @@ class Index:
 
     def nearest(self, places: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, place) of the ``k`` nearest examples that share a term; ties by place."""
-        bounds = w @ self.block_max[places]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-9):
-                break
-            cos = w @ self.weights[b, places]
-            near = np.flatnonzero(cos > 1e-12)
-            best += [(float(cos[i]), b * BLOCK + i) for i in near.tolist()]
-            best.sort(key=lambda x: (-round(x[0], 9), x[1]))
-            del best[k:]
-        return best
+        cos = self.weights.cosines(places, w)
+        near = np.flatnonzero(cos > 1e-12)
+        if len(near) > k:
+            near = near[cos[near] >= np.partition(cos[near], -k)[-k] - 1e-8]
+        best = [(float(cos[i]), i) for i in near.tolist()]
+        best.sort(key=lambda x: (-round(x[0], 9), x[1]))
+        return best[:k]
 
     def score(self, text: str, k: int = NEIGHBOURS) -> tuple[float, list[int]]:
         """The score and the ids of the nearest examples."""
@@ -109,9 +140,9 @@ def training_rows(labels: DataFrame, label_col: str, id_col: str = "doc_id") ->
 
 
 def build(
-    docs: DataFrame, train: DataFrame, examples: int = EXAMPLES, terms: int = TERMS
+    docs: DataFrame, train: DataFrame, examples: int = EXAMPLES
 ) -> Index:
-    """Choose examples by the hash of their id, then terms, then count documents per term."""
+    """Choose examples by the hash of their id, weigh all their terms, count documents per term."""
     texts = id_and_text(docs)
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -126,7 +157,7 @@ def build(
 
     n1 = sample.where("label = 1").count()
     n0 = sample.where("label = 0").count()
-    vocabulary: list[str] = []
+    chis: dict[str, float] = {}
     if n0 and n1:
         a, b = F.col("a").cast("double"), F.col("n") - F.col("a").cast("double")
         total = float(n0 + n1)
@@ -134,10 +165,11 @@ def build(
         stats = map_texts(sample, explode, "term string, label int").groupBy("term").agg(
             F.sum("label").alias("a"), F.count("*").alias("n")
         )
-        best = stats.where((F.col("n") >= MIN_DOCS) & (a * n0 > b * n1)).withColumn("chi", chi)
-        best = best.where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(terms)
-        vocabulary = sorted(r["term"] for r in best.select("term").collect())
-    known = {t: i for i, t in enumerate(vocabulary)}
+        leaning = F.when(a * n0 > b * n1, chi).otherwise(0.0)
+        chis = {r["term"]: r["chi"] for r in stats.select("term", leaning.alias("chi")).collect()}
+    known = {t: i for i, t in enumerate(sorted(chis))}
+    chi_of = np.array([chis[t] for t in known])
+    lean = LEAST_LEAN + (1 - LEAST_LEAN) * chi_of**2 / (chi_of**2 + MIN_CHI**2)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(known) + 1, np.int64), 0
@@ -146,12 +178,13 @@ def build(
                 df[[known[t] for t in term_counts(text).keys() & known.keys()]] += 1
                 n += 1
         df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(df)), pa.int32()), pa.array(df)], ["i", "n"])
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(df[held])], ["i", "n"])
 
     counted = map_texts(texts, frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     df = {r["i"]: r["n"] for r in counted.collect()}
     n_docs = df.get(len(known), 0)
-    idf = np.array([np.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(known))])
+    idf = lean * np.array([np.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(known))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,20 +204,22 @@ def build(
     rows = sorted(map_texts(sample, vectors, kind).collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))
     # Each sampled example stands for this many rows of its class.
     stands = {0: sizes.get(0, 0) / max(n0, 1), 1: sizes.get(1, 0) / max(n1, 1)}
-    bare = [r["label"] for r in rows if not r["terms"]]
+    bare = [r["label"] for r in rows if not (chi_of[np.array(r["terms"], int)] >= MIN_CHI).any()]
     mass = sum(stands[y] for y in bare)
     base = sum(stands[1] for y in bare if y) / mass if mass else 0.0
     # Without smoothing an empty class would give certainty.
     base = (base * len(bare) + 0.5 * 0.02) / (len(bare) + 0.02) if bare else 0.5 * (n1 > 0)
     rows = [r for r in rows if r["terms"]]
-    n_blocks = max(1, -(-len(rows) // BLOCK))
-    weights = np.zeros((n_blocks, len(known), BLOCK), np.float32)
-    votes, labels, ids = np.zeros(n_blocks * BLOCK), np.zeros(n_blocks * BLOCK, np.int8), np.zeros(n_blocks * BLOCK, np.int64)
+    size = max(1, len(rows))
+    votes, labels, ids = np.zeros(size), np.zeros(size, np.int8), np.zeros(size, np.int64)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for i, r in enumerate(rows):
         w = (1 + np.log(np.array(r["counts"], float))) * idf[r["terms"]]
-        weights[i // BLOCK, r["terms"], i % BLOCK] = w / np.sqrt((w * w).sum())
+        parts.append((np.array(r["terms"]), np.full(len(w), i), w / np.sqrt((w * w).sum())))
         votes[i], labels[i], ids[i] = stands[r["label"]], r["label"], r["doc_id"]
-    return Index(known, idf, weights, weights.max(axis=2).T.copy(), votes / max(min((v for v in stands.values() if v), default=1.0), 1e-9), labels, ids, float(base))
+    weights = Postings(len(known), size, *map(np.concatenate, zip(*parts)))
+    least = max(min((v for v in stands.values() if v), default=1.0), 1e-9)
+    return Index(known, idf, weights, None, votes / least, labels, ids, float(base))
 
 
 def score_documents(

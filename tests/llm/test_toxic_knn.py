@@ -69,3 +69,33 @@ def test_neighbours_equal_all_cosines():
         want = sorted(cosines[cosines > 1e-12], reverse=True)[:25]
         assert np.allclose([c for c, _ in best], want, atol=1e-5)
         assert np.allclose([cosines[i] for _, i in best], want, atol=1e-5)
+
+
+def prose(rnd, n):
+    return [f"c{chr(97 + k // 26)}{chr(97 + k % 26)}lm" for k in (rnd.randrange(300) for _ in range(n))]
+
+
+def test_few_labelled_rows(spark):
+    """With fewer rows than the chi-square of a sure term there is still an index."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(prose(rnd, 20) + ["blorst"] * 3 * (i < 12))) for i in range(24)]
+    rows += [(100, " ".join(prose(rnd, 20) + ["blorst"] * 2)), (101, " ".join(prose(rnd, 20)))]
+    train = spark.createDataFrame([(i, int(i < 12)) for i in range(24)], "doc_id long, label int")
+    df = docs(spark, rows)
+    got = {r.doc_id: r for r in K.score_documents(df, K.build(df, train)).collect()}
+    assert got[100].predicted == 1 and got[101].predicted == 0
+
+
+def test_rare_words_are_indexed(spark):
+    """A word of five toxic examples, and of no other, leads to them; all terms count in the norms."""
+    rnd = random.Random(7)
+    toxic = lambda i: ["raremark"] if i < 5 else ["blorst"] * 3 if i < 60 else []
+    rows = [(i, " ".join(prose(rnd, 30) + toxic(i))) for i in range(600)]
+    rows += [(1000, " ".join(prose(rnd, 30) + ["raremark"])), (1001, "caalm cablm")]
+    train = spark.createDataFrame([(i, int(i < 60)) for i in range(600)], "doc_id long, label int")
+    df = docs(spark, rows)
+    index = K.build(df, train)
+    assert {"raremark", "rare*", "caalm", "caal*"} <= index.terms.keys()
+    got = {r.doc_id: r for r in K.score_documents(df, index).collect()}
+    assert got[1000].score > 0.5 and set(got[1000].evidence) <= set(range(5))
+    assert got[1001].predicted == 0 and got[1001].evidence
