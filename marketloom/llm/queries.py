@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, pfair, prefix_tokens, simhash_gray, suffix_dedup, toxic_knn
+from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, periodic_runs, pfair, prefix_tokens, simhash_gray, suffix_dedup, toxic_knn
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -73,6 +73,13 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by the hash of its id repeats its end, as the query's rule has it."""
+    rule = periodic_runs.planted
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rule)
+    return periodic_runs.digest(found, rule)
+
+
 _QUERIES = {
     "op1_latent_decontamination": op1_latent_decontamination,
     "op2_packed_ids": op2_packed_ids,
@@ -84,6 +91,7 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_backoff_scores": op10_backoff_scores,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
