@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, periodic_runs, pfair, prefix_tokens, simhash_gray, suffix_dedup, toxic_knn
+from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, periodic_runs, pfair, prefix_tokens, prefix_trie, simhash_gray, suffix_dedup, toxic_knn
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -73,6 +73,21 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def trie_rows(turns: DataFrame, block: int | None) -> DataFrame:
+    """A row per node, with the hash of the conversations that end there."""
+    nodes, ends = prefix_trie.prefix_trie(turns, block)
+    hashed = nodes.join(prefix_trie.ends_digest(ends), ["a", "b"], "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return hashed.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", none).alias("ends_sha256"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_rows(table(spark, sf_dir, "conversations"), 20)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document by the hash of its id repeats its end, as the query's rule has it."""
     rule = periodic_runs.planted
@@ -91,6 +106,7 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_backoff_scores": op10_backoff_scores,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
