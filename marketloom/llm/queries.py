@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, latent_decontam, periodic_runs, pfair, prefix_tokens, prefix_trie, simhash_gray, suffix_dedup, toxic_knn
+from marketloom.llm import backoff_lm, bitpack, crf_quality, feistel, group_jaccard, latent_decontam, periodic_runs, pfair, prefix_tokens, prefix_trie, simhash_gray, suffix_dedup, toxic_knn
 from marketloom.llm.common import ship, table
 from marketloom.session import scratch_path
 
@@ -73,6 +73,10 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_jaccard.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def trie_rows(turns: DataFrame, block: int | None) -> DataFrame:
     """A row per node, with the hash of the conversations that end there."""
     nodes, ends = prefix_trie.prefix_trie(turns, block)
@@ -106,6 +110,7 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_backoff_scores": op10_backoff_scores,
+    "op11_group_jaccard": op11_group_jaccard,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
