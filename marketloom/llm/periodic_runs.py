@@ -175,6 +175,7 @@ def solve(words: list[int], back: int, octave: int, periods: list[int]) -> list[
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments of the tiles; those of neighbouring tiles that came together are one already."""
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
@@ -183,10 +184,22 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = row["boundary"]
             for q, before, after in solve(words, row["back"], row["octave"], periods):
                 rows.append((row["_k1"], row["_k2"], q, b - before, b + after))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in cols], [*KEY, "period", "first", "last"]
-        )
+        if rows:
+            cols = _joined(np.array(rows, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.T], [*KEY, "period", "first", "last"])
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Rows of key, period, first and last with those that overlap or touch made one."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    group = np.cumsum(np.r_[0, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+    far = group * (rows[:, 4].max() + 1)
+    reached = np.maximum.accumulate(rows[:, 4] + far)
+    opens = np.r_[True, (rows[1:, 3] + far[1:] > reached[:-1]) | (group[1:] != group[:-1])]
+    heads = np.flatnonzero(opens)
+    out = rows[heads]
+    out[:, 4] = np.maximum.reduceat(rows[:, 4], heads)
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
