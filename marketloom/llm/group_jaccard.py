@@ -14,6 +14,7 @@ groups, between the least members of what is connected in a group, and between t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,9 @@ GROUP_TOKENS = 1 << 18
 QUERIES = 1 << 13
 _STRIPE = 1 << 14
 _MINIMA = 3
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_ODD = 0x9E3779B97F4A7C15
+_M1, _M2, _M3 = (np.uint64(x) for x in (_ODD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_SHIFTS = [np.uint64(_ODD * (k + 1) % (1 << 64)) for k in range(_MINIMA)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,19 +123,31 @@ def _described(slim: DataFrame, steps, shingle: int, percent: int) -> DataFrame:
         rarity = steps.value
         for batch in batches:
             sets = token_sets(batch.column("text"), shingle)
-            minima, prefixes, d1, d2 = [], [], [], []
-            for tokens in sets:
-                near = [_mix(tokens + np.uint64(k + 1) * _M1).min() for k in range(_MINIMA)] if len(tokens) else []
-                minima.append(np.array(near, np.uint64).view(np.int64))
-                order = np.lexsort((tokens, rarity[(tokens % np.uint64(SKETCH)).astype(np.int64)]))
-                prefixes.append(tokens[order[: prefix_length(len(tokens), percent)]].view(np.int64))
+            every = np.concatenate(sets)
+            sizes = np.array([len(t) for t in sets], np.int64)
+            # One key puts tokens in order: the step of their counter, then most of their bits.
+            step = rarity[(every % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
+            key = (step << np.uint64(56)) | (every >> np.uint64(8))
+            filled = np.flatnonzero(sizes)
+            starts = np.cumsum(sizes) - sizes
+            least = [
+                np.minimum.reduceat(_mix(every + shift), starts[filled]) if len(filled) else every for shift in _SHIFTS
+            ]
+            minima = [np.zeros(0, np.int64)] * len(sets)
+            for i, d in enumerate(filled):
+                minima[d] = np.array([m[i] for m in least]).view(np.int64)
+            prefixes, d1, d2 = [], [], []
+            for tokens, at in zip(sets, starts):
+                n, k = len(tokens), prefix_length(len(tokens), percent)
+                first = np.argpartition(key[at : at + n], k - 1)[:k] if k < n else slice(None)
+                prefixes.append(tokens[first].view(np.int64))
                 name = xxhash.xxh128_digest(tokens.astype("<u8").tobytes())
                 d1.append(int.from_bytes(name[:8], "big", signed=True))
                 d2.append(int.from_bytes(name[8:], "big", signed=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(t) for t in sets], pa.int64()),
+                    pa.array(sizes),
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
                     pa.array(minima, pa.list_(pa.int64())),
@@ -145,12 +160,12 @@ def _described(slim: DataFrame, steps, shingle: int, percent: int) -> DataFrame:
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """Classes (``id, doc_id, n, minima, prefix``) with their ``grp``.
+    """The group ``grp`` of every class in ``id, n, minima``.
 
     Classes that share a minimum take the least label among them, once per hash function; what has
     one label then is cut by hash into groups of about ``GROUP_TOKENS`` tokens.
     """
-    labelled = classes.withColumn("label", F.col("id"))
+    labelled = classes.select("id", "n", "minima", F.col("id").alias("label"))
     for k in range(_MINIMA):
         keyed = labelled.withColumn("_min", F.col("minima")[k])
         least = keyed.groupBy("_min").agg(F.min("label").alias("_label"))
@@ -158,7 +173,24 @@ def grouped(classes: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("label").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("pieces"))
     cut = join_grouped(labelled, sizes, "label", "inner")
     piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
-    return cut.select("id", "n", "prefix", F.xxhash64("label", piece).alias("grp"))
+    return cut.select("id", F.xxhash64("label", piece).alias("grp"))
+
+
+def _slots(n, percent: int):
+    """Two neighbouring size classes; sets that can be similar have one of theirs in common.
+
+    The tokens of the smaller of two similar sets are ``percent`` hundredths of the larger at least,
+    so their size classes, as powers of that ratio, are equal or neighbours.
+    """
+    step = F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent)) + 1e-9)
+    return F.array(step, step + 1)
+
+
+def _paired(matrix: DataFrame, percent: int) -> DataFrame:
+    """Entries of the matrix whose token another class of a fitting size holds as well."""
+    slotted = matrix.withColumn("slot", F.explode(_slots(F.col("n"), percent)))
+    shared = slotted.groupBy("token", "slot").agg(F.count("*").alias("k")).where("k > 1").select("token", "slot")
+    return join_grouped(slotted, shared, ["token", "slot"], "left_semi").drop("slot").distinct()
 
 
 def _fits(n: str, least: str, most: str, percent: int):
@@ -180,7 +212,8 @@ def _open(asked: DataFrame, sets: DataFrame, percent: int, own: bool = False) ->
     dealt = shared.withColumn(
         "share", F.explode(F.when(F.col("member"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(one))
     )
-    full = join_grouped(dealt.drop("shares"), sets, "id", "inner")
+    # Stored, so that its size is known and the sets stay where they are if it is small.
+    full = join_grouped(durable(dealt.drop("shares")), sets, "id", "inner")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, index = None, [], None
@@ -278,11 +311,12 @@ def similar_documents(
         F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n", "minima", "prefix")]
     )
     classes = durable(classes.withColumn("id", F.col("d1")))
-    groups = durable(grouped(classes))
     # The matrix: tokens of prefixes and the groups that have them. A token of one class finds nothing.
-    tokens = groups.select("id", "n", "grp", F.explode("prefix").alias("token"))
+    tokens = classes.select("id", "n", F.explode("prefix").alias("token"))
     several = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
-    matrix = durable(join_grouped(tokens, several, "token", "inner"))
+    several = durable(several)
+    held = durable(_paired(join_grouped(tokens, several, "token", "inner"), percent))
+    matrix = durable(join_grouped(held, grouped(classes), "id", "inner"))
     sets = durable(_sets_of(slim, classes, matrix.select("id").distinct(), shingle))
 
     inside = matrix.groupBy("grp", "token").agg(F.count("*").alias("k")).where("k > 1").select("grp", "token")
@@ -332,7 +366,8 @@ def _asked(side: DataFrame, hubs_only: bool, percent: int) -> DataFrame:
 def _sets_of(slim: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``id, tokens`` of the wanted classes, made anew from the text of their first document."""
     named = classes.join(wanted, "id").select("id", "d1", "d2", "doc_id")
-    firsts = join_grouped(slim, named.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    named = durable(named)
+    firsts = join_grouped(slim, durable(named.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
