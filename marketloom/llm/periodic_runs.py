@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.keyed import join_grouped
 from marketloom.llm.common import id_and_text, map_texts
+from marketloom.session import durable
 
 KEY = ["_k1", "_k2"]
 _TILE = "_k1 long, _k2 long, octave long, boundary long, back long, words binary, periods binary"
@@ -246,7 +247,8 @@ def periodic_runs(docs: DataFrame, rule=None, id_col: str = "doc_id", text_col:
     taken whole: a task holds one text at a time, and its tiles are rows of their own.
     """
     keyed = _keyed(docs, id_col, text_col)
-    joined = join_grouped(keyed, runs(keyed, rule), KEY, "left")
+    # Stored, so that its size is known and the texts stay where they are if it is small.
+    joined = join_grouped(keyed, durable(runs(keyed, rule)), KEY, "left")
     return joined.select("doc_id", "text", F.coalesce("runs", F.from_json(F.lit("[]"), _RUNS)).alias("runs"))
 
 
