@@ -115,7 +115,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-_OWN = "doc_id long, n long, d1 long, d2 long, minima array<long>, prefix array<long>"
+_LEAST = [f"m{k}" for k in range(_MINIMA)]
+_OWN = f"doc_id long, n int, d1 long, d2 long, {', '.join(f'{m} long' for m in _LEAST)}, prefix array<long>"
 
 
 def _described(slim: DataFrame, steps, shingle: int, percent: int) -> DataFrame:
@@ -130,72 +131,85 @@ def _described(slim: DataFrame, steps, shingle: int, percent: int) -> DataFrame:
             key = (step << np.uint64(56)) | (every >> np.uint64(8))
             filled = np.flatnonzero(sizes)
             starts = np.cumsum(sizes) - sizes
-            least = [
-                np.minimum.reduceat(_mix(every + shift), starts[filled]) if len(filled) else every for shift in _SHIFTS
-            ]
-            minima = [np.zeros(0, np.int64)] * len(sets)
-            for i, d in enumerate(filled):
-                minima[d] = np.array([m[i] for m in least]).view(np.int64)
+            least = np.zeros((_MINIMA, len(sets)), np.int64)
+            if len(filled):
+                for k, shift in enumerate(_SHIFTS):
+                    least[k, filled] = np.minimum.reduceat(_mix(every + shift), starts[filled]).view(np.int64)
             prefixes, d1, d2 = [], [], []
             for tokens, at in zip(sets, starts):
                 n, k = len(tokens), prefix_length(len(tokens), percent)
-                first = np.argpartition(key[at : at + n], k - 1)[:k] if k < n else slice(None)
-                prefixes.append(tokens[first].view(np.int64))
+                own = key[at : at + n]
+                first = np.argpartition(own, k - 1)[:k] if k < n else np.arange(n)
+                prefixes.append(tokens[first[np.argsort(own[first])]].view(np.int64))
                 name = xxhash.xxh128_digest(tokens.astype("<u8").tobytes())
                 d1.append(int.from_bytes(name[:8], "big", signed=True))
                 d2.append(int.from_bytes(name[8:], "big", signed=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(sizes),
+                    pa.array(sizes.astype(np.int32)),
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
-                    pa.array(minima, pa.list_(pa.int64())),
+                    *[pa.array(m) for m in least],
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "d1", "d2", "minima", "prefix"],
+                ["doc_id", "n", "d1", "d2", *_LEAST, "prefix"],
             )
 
     return map_texts(slim, run, _OWN)
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """The group ``grp`` of every class in ``id, n, minima``.
+    """The group ``grp`` of every class (``id, n`` and the minima).
 
     Classes that share a minimum take the least label among them, once per hash function; what has
     one label then is cut by hash into groups of about ``GROUP_TOKENS`` tokens.
     """
-    labelled = classes.select("id", "n", "minima", F.col("id").alias("label"))
-    for k in range(_MINIMA):
-        keyed = labelled.withColumn("_min", F.col("minima")[k])
-        least = keyed.groupBy("_min").agg(F.min("label").alias("_label"))
-        labelled = join_grouped(keyed, least, "_min", "inner").withColumn("label", F.col("_label")).drop("_min", "_label")
+    labelled = classes.select("id", "n", *_LEAST, F.col("id").alias("label"))
+    for m in _LEAST:
+        least = labelled.groupBy(m).agg(F.min("label").alias("_label"))
+        labelled = join_grouped(labelled, least, m, "inner").withColumn("label", F.col("_label")).drop("_label")
     sizes = labelled.groupBy("label").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("pieces"))
     cut = join_grouped(labelled, sizes, "label", "inner")
     piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
     return cut.select("id", F.xxhash64("label", piece).alias("grp"))
 
 
-def _slots(n, percent: int):
-    """Two neighbouring size classes; sets that can be similar have one of theirs in common.
+def _can_be_similar(percent: int, least: str, most: str, room: str):
+    """Whether an entry (``n`` tokens, ``room`` of them from this one on) may belong to a pair with
+    one of ``least`` to ``most`` tokens and at most that much room.
 
-    The tokens of the smaller of two similar sets are ``percent`` hundredths of the larger at least,
-    so their size classes, as powers of that ratio, are equal or neighbours.
+    The first token that two sets have in common leaves room for their whole overlap in both.
     """
-    step = F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent)) + 1e-9)
-    return F.array(step, step + 1)
-
+    need = percent * (F.col("n") + F.col(least))
+    return (
+        (F.col(most) * 100 >= F.col("n") * percent)
+        & (F.col(least) * percent <= F.col("n") * 100)
+        & (need <= F.col("room") * (100 + percent))
+        & (need <= F.col(room) * (100 + percent))
+    )
 
-def _paired(matrix: DataFrame, percent: int) -> DataFrame:
-    """Entries of the matrix whose token another class of a fitting size holds as well."""
-    slotted = matrix.withColumn("slot", F.explode(_slots(F.col("n"), percent)))
-    shared = slotted.groupBy("token", "slot").agg(F.count("*").alias("k")).where("k > 1").select("token", "slot")
-    return join_grouped(slotted, shared, ["token", "slot"], "left_semi").drop("slot").distinct()
 
+def _entries(own: DataFrame, percent: int) -> DataFrame:
+    """``id, n, token, room``: tokens of the prefixes that another class has in a fitting place.
 
-def _fits(n: str, least: str, most: str, percent: int):
-    """Whether sets of ``n`` tokens can be similar to one of ``least`` to ``most``."""
-    return (F.col(most) * 100 >= F.col(n) * percent) & (F.col(least) * percent <= F.col(n) * 100)
+    All entries are dealt by token once; tokens of one class only are left out there. Partners are
+    looked for among size classes of a token, which are few, not among its classes.
+    """
+    ranked = own.select(F.col("d1").alias("id"), F.col("n").cast("long"), F.posexplode("prefix").alias("rank", "token"))
+    dealt = ranked.select("token", "id", "n", (F.col("n") - F.col("rank")).alias("room")).repartition("token")
+    several = dealt.groupBy("token").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b")
+    held = durable(dealt.join(several.select("token"), "token").distinct())
+    near = (
+        held.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(1.02)))
+        .groupBy("token", "size")
+        .agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("_room"),
+            F.min("id").alias("_a"), F.max("id").alias("_b"),
+        )
+    )
+    met = held.join(near, "token").where(_can_be_similar(percent, "least", "most", "_room"))
+    return met.where("_a <> id or _b <> id").select(*held.columns).distinct()
 
 
 def _open(asked: DataFrame, sets: DataFrame, percent: int, own: bool = False) -> DataFrame:
@@ -212,8 +226,7 @@ def _open(asked: DataFrame, sets: DataFrame, percent: int, own: bool = False) ->
     dealt = shared.withColumn(
         "share", F.explode(F.when(F.col("member"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(one))
     )
-    # Stored, so that its size is known and the sets stay where they are if it is small.
-    full = join_grouped(durable(dealt.drop("shares")), sets, "id", "inner")
+    full = join_grouped(dealt.drop("shares"), sets, "id", "inner")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, index = None, [], None
@@ -306,17 +319,15 @@ def similar_documents(
     slim = id_and_text(docs, id_col, text_col)
     steps = spark.sparkContext.broadcast(_counts(slim, shingle))
     own = durable(_described(slim, steps, shingle, percent))
-    # Equal sets have equal prefixes and minima; ``id`` names the class, ``doc_id`` is its least.
-    classes = own.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n", "minima", "prefix")]
+    filled = own.where("doc_id is not null and n > 0")
+    # Equal sets are one class; ``id`` names it, ``doc_id`` is its least.
+    classes = durable(
+        filled.groupBy("d1", "d2")
+        .agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", *_LEAST)])
+        .withColumn("id", F.col("d1"))
     )
-    classes = durable(classes.withColumn("id", F.col("d1")))
-    # The matrix: tokens of prefixes and the groups that have them. A token of one class finds nothing.
-    tokens = classes.select("id", "n", F.explode("prefix").alias("token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
-    several = durable(several)
-    held = durable(_paired(join_grouped(tokens, several, "token", "inner"), percent))
-    matrix = durable(join_grouped(held, grouped(classes), "id", "inner"))
+    # The matrix: tokens of prefixes and the groups that have them.
+    matrix = durable(join_grouped(_entries(filled, percent), grouped(classes), "id", "inner"))
     sets = durable(_sets_of(slim, classes, matrix.select("id").distinct(), shingle))
 
     inside = matrix.groupBy("grp", "token").agg(F.count("*").alias("k")).where("k > 1").select("grp", "token")
@@ -346,14 +357,14 @@ def _asked(side: DataFrame, hubs_only: bool, percent: int) -> DataFrame:
     """Queries to groups other than their own, and the members that those groups have in common
     with them. Of two groups the one with the lesser number asks."""
     entries = side.groupBy("token", "grp", "comp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("hub").alias("all_hubs")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("_room"), F.min("hub").alias("all_hubs")
     )
-    entries = entries.select("token", F.col("grp").alias("other"), F.col("comp").alias("_comp"), "least", "most", "all_hubs")
+    entries = entries.withColumnsRenamed({"grp": "other", "comp": "_comp"})
     new = F.lit(True) if hubs_only else ~(F.col("hub") & F.col("all_hubs"))
     met = (
         side.join(entries, "token")
         .where((F.col("other") > F.col("grp")) & (F.col("_comp") != F.col("comp")) & new)
-        .where(_fits("n", "least", "most", percent))
+        .where(_can_be_similar(percent, "least", "most", "_room"))
     )
     # Pairs of hubs were compared in the round of the hubs; there, no flag keeps them apart.
     flag = F.lit(False).alias("hub") if hubs_only else F.col("hub")
@@ -366,8 +377,7 @@ def _asked(side: DataFrame, hubs_only: bool, percent: int) -> DataFrame:
 def _sets_of(slim: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``id, tokens`` of the wanted classes, made anew from the text of their first document."""
     named = classes.join(wanted, "id").select("id", "d1", "d2", "doc_id")
-    named = durable(named)
-    firsts = join_grouped(slim, durable(named.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    firsts = join_grouped(slim, named.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +394,7 @@ def _sets_of(slim: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: in
             )
 
     made = map_texts(firsts, run, "d1 long, d2 long, doc_id long, tokens binary")
-    # Repeated rows with the id of the first document have the same set.
+    # Repeated rows of the first document have the same set.
     return made.join(named, ["d1", "d2", "doc_id"]).groupBy("id").agg(F.any_value("tokens").alias("tokens"))
 
 
