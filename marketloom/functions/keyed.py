@@ -56,9 +56,20 @@ def latest(changes: DataFrame, key: str, values: list[str]) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*values), "seq").alias("_new"))
 
 
-def overwrite(table: DataFrame, last: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """Replace columns of the rows that ``last`` has a ``_new`` for. Both sides hold a key once."""
+def overwrite(
+    table: DataFrame,
+    last: DataFrame,
+    key: str,
+    values: dict[str, Column],
+    guard: Column | None = None,
+) -> DataFrame:
+    """Replace columns of the rows that ``last`` has a ``_new`` for. Both sides hold a key once.
+
+    ``guard`` is a condition on the row as it was, so that the table is read and shuffled once.
+    """
     hit = F.col("_new").isNotNull()
+    if guard is not None:
+        hit &= guard
     return table.join(last, key, "left").select(
         *[
             F.when(hit, values[c]).otherwise(F.col(c)).cast(table.schema[c].dataType).alias(c)

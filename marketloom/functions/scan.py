@@ -16,7 +16,13 @@ PART, PLACE = "_part", "_place"
 _ROW = (1 << 33) - 1
 
 
-def cut_sorted(rows: DataFrame, by: list[str], order: list[str | Column], keep: list[str] | None = None) -> DataFrame:
+def cut_sorted(
+    rows: DataFrame,
+    by: list[str],
+    order: list[str | Column],
+    keep: list[str] | None = None,
+    parts: int | None = None,
+) -> DataFrame:
     """The rows (columns ``keep``, all by default) as a stored table sorted by ``by`` and ``order``.
 
     ``_part`` is the number of the range a row fell into and ``_place`` its place in there. The
@@ -25,7 +31,7 @@ def cut_sorted(rows: DataFrame, by: list[str], order: list[str | Column], keep:
     """
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
     sort = [*by, *order, "_tie"]
-    ranged = tied.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    ranged = tied.repartitionByRange(*([parts] if parts else []), *sort).sortWithinPartitions(*sort)
     return durable(
         ranged.select(
             *(keep or rows.columns),
@@ -59,16 +65,3 @@ def numbered(cut: DataFrame, by: list[str], name: str = "pos") -> DataFrame:
     return on_part(cut, starts, by).withColumn(
         name, F.col("_before") + F.col(PLACE) - F.col("_first") + 1
     ).drop("_before", "_first")
-
-
-def running_total(cut: DataFrame, value: str, name: str) -> DataFrame:
-    """Rows of ``cut_sorted(rows, [], order)`` with the sum of ``value`` over all rows before.
-
-    The window over single parts is one row per part.
-    """
-    parts = cut.groupBy(PART).agg(F.sum(value).alias("_sum"))
-    every = Window.partitionBy(F.lit(0)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(PART, F.coalesce(F.sum("_sum").over(every), F.lit(0).cast("long")).alias("_before"))
-    here = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum(value).over(here), F.lit(0).cast("long"))
-    return cut.join(starts, PART).withColumn(name, F.col("_before") + own).drop("_before")

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.dates import as_date, as_timestamp
 from marketloom.functions.keyed import join_grouped, latest, next_key, overwrite
+from marketloom.functions.scan import PART, cut_sorted, earlier_parts, numbered, on_part
 from marketloom.functions.text import binary_equal, blank, missing, same_text, zero
+from marketloom.operators.typed import Rules, fitted, unfit
+from marketloom.session import durable
 
 Tables = dict[str, DataFrame]
 
-# Log rows of one order that a single task sorts at once, given that seq is a dense counter.
-LOG_SPAN = 1 << 20
-
 
 def set_status(
     df: DataFrame, changes: DataFrame, key: str, col: str, allow_null: bool = True
@@ -55,26 +55,42 @@ def place_orders(
     """New ``(orders, order_items, rejects)`` of nested requests.
 
     ``requests``: ``seq, Cid, payment, totalPrice, items[Pid, quantity, price]``. A request without
-    customer, items or total is refused. One bad item (unknown product, missing field) refuses the
-    whole request: header and items come together or not at all.
+    customer, items or total is refused, and so is one whose total the table cannot hold. One bad
+    item (unknown product, missing or unfit field) refuses the whole request: header and items come
+    together or not at all.
+
+    The requests are read once and their items exploded once. Items are numbered in the order of
+    their requests, each part of the sorted lines going on from the lines before it.
     """
+    orders_like, items_like = t["orders"], t["order_items"]
+    header = Rules("orders", orders_like, {"Oprice": "totalPrice"})
     incomplete = (
         zero("Cid") | F.coalesce(F.size("items") <= 0, F.lit(True)) | F.col("totalPrice").isNull()
     )
-    complete = requests.where(~incomplete)
-    lines = complete.select("seq", F.posexplode("items").alias("pos", "item")).select(
+    filed = durable(header.judge(requests, ["Oprice"], incomplete))
+    complete = filed.where("reason IS NULL")
+    line = Rules("order_items", items_like, {"Oquantity": "quantity", "Oprice": "price"})
+    exploded = complete.select("seq", F.posexplode("items").alias("pos", "item")).select(
         "seq", "pos", "item.*"
     )
     known = t["products"].select("Pid", F.lit(True).alias("known"))
-    bad = (
-        lines.join(known, "Pid", "left")
-        .where(F.col("known").isNull() | F.col("quantity").isNull() | F.col("price").isNull())
-        .select("seq")
-        .distinct()
+    judged = exploded.join(known, "Pid", "left").withColumn(
+        "bad",
+        F.col("known").isNull()
+        | F.col("quantity").isNull()
+        | F.col("price").isNull()
+        | unfit("quantity", line.kinds["Oquantity"])
+        | unfit("price", line.kinds["Oprice"]),
     )
-    accepted = complete.join(bad, "seq", "left_anti")
-    new_id = next_key(t["orders"], "Oid", F.col("seq"))
-    orders = accepted.select(
+    lines = cut_sorted(
+        line.typed(judged, ["Oquantity", "Oprice"]),
+        [],
+        ["seq", "pos"],
+        ["seq", "Pid", "quantity", "price", "bad"],
+    )
+    bad = lines.where("bad").select("seq").distinct()
+    new_id = next_key(orders_like, "Oid", F.col("seq"))
+    orders = header.typed(join_grouped(complete, bad, "seq", "left_anti"), ["Oprice"]).select(
         "seq",
         new_id.alias("Oid"),
         F.col("totalPrice").alias("Oprice"),
@@ -84,23 +100,16 @@ def place_orders(
         F.col("payment").alias("Opayment"),
         F.lit(None).cast("string").alias("Oslip"),
     )
-    widest = requests.agg(F.coalesce(F.max(F.size("items")), F.lit(0)).cast("long")).scalar()
-    item_id = next_key(
-        t["order_items"], "Oiid", F.col("seq") * F.greatest(widest, F.lit(1)) + F.col("pos")
-    )
-    items = lines.join(bad, "seq", "left_anti").select(
-        item_id.alias("Oiid"),
+    items = join_grouped(numbered(lines, [], "number"), bad, "seq", "left_anti").select(
+        next_key(items_like, "Oiid", F.col("number")).alias("Oiid"),
         new_id.alias("Oid"),
         "Pid",
         F.col("quantity").alias("Oquantity"),
         F.col("price").alias("Oprice"),
     )
-    rejects = (
-        requests.where(incomplete)
-        .withColumn("reason", F.lit("incomplete"))
-        .unionByName(
-            complete.join(bad, "seq", "left_semi").withColumn("reason", F.lit("bad item"))
-        )
+    refused = join_grouped(complete, bad, "seq", "left_semi").select(*filed.columns)
+    rejects = filed.where("reason IS NOT NULL").unionByName(
+        refused.withColumn("reason", F.lit("bad item"))
     )
     return orders, items, rejects
 
@@ -111,11 +120,12 @@ def attach_slips(orders: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     Orders paid on delivery refuse a slip, unknown orders cannot take one.
     """
     cod = binary_equal("Opayment", "cod")
-    last = latest(changes, "Oid", ["url"]).join(
-        orders.where(~cod).select("Oid"), "Oid", "left_semi"
-    )
     state = overwrite(
-        orders, last, "Oid", {"Oslip": F.col("_new.url"), "Ostatus": F.lit("waiting")}
+        orders,
+        latest(changes, "Oid", ["url"]),
+        "Oid",
+        {"Oslip": F.col("_new.url"), "Ostatus": F.lit("waiting")},
+        guard=~cod,
     )
     guards = orders.select("Oid", cod.alias("_cod"))
     reason = F.when(F.col("_cod"), F.lit("paid on delivery")).otherwise(F.lit("unknown order"))
@@ -132,12 +142,18 @@ def confirm_orders(orders: DataFrame, changes: DataFrame) -> tuple[DataFrame, Da
 
     Anything but a shipped order refuses, so of several confirmations the first is taken.
     """
-    shipped = orders.where(same_text("Ostatus", "shipped")).select("Oid")
-    taken = (
-        changes.groupBy("Oid").agg(F.min("seq").alias("seq")).join(shipped, "Oid", "left_semi")
+    first = changes.groupBy("Oid").agg(F.min("seq").alias("_first"))
+    shipped = same_text("Ostatus", "shipped")
+    state = overwrite(
+        orders,
+        first.withColumn("_new", F.lit(True)),
+        "Oid",
+        {"Ostatus": F.lit("delivered")},
+        guard=F.coalesce(shipped, F.lit(False)),
     )
-    state = _mark(orders, taken, "Oid", "Ostatus", "delivered")
-    rejects = changes.join(taken.select("seq"), "seq", "left_anti")
+    open_ = orders.where(shipped).select("Oid")
+    taken = first.join(open_, "Oid").select(F.col("_first").alias("seq"))
+    rejects = changes.join(taken, "seq", "left_anti")
     return state, rejects.withColumn("reason", F.lit("not shipped"))
 
 
@@ -147,15 +163,20 @@ def record_payments(
     """Add payments and let their orders wait: ``(payments, orders, rejects)``.
 
     ``new``: ``seq, Oid, Payprice, Tid, slip`` with the slip's file name. Order, price, account and
-    slip are required, zeros count as given; the order has to exist. Orders paid on delivery take payments too.
+    slip are required, zeros count as given; values have to fit the table; the order has to exist.
+    Orders paid on delivery take payments too.
     """
     incomplete = missing("Oid") | missing("Payprice") | missing("Tid") | F.col("slip").isNull()
-    complete = new.where(~incomplete).withColumn("SlipUrl", F.concat(F.lit("/slips/"), "slip"))
+    given = ["Oid", "Payprice", "Tid"]
+    rules = Rules("payments", t["payments"])
+    judged = rules.judge(new, given, incomplete)
+    typed = rules.typed(judged.where("reason IS NULL"), given)
+    complete = typed.withColumn("SlipUrl", F.concat(F.lit("/slips/"), "slip"))
     known = t["orders"].select("Oid")
     added = complete.join(known, "Oid", "left_semi").select(
         next_key(t["payments"], "Payid", F.col("seq")).alias("Payid"),
         "Oid",
-        F.col("Payprice").cast(t["payments"].schema["Payprice"].dataType).alias("Payprice"),
+        "Payprice",
         as_timestamp(now, ntz=True).alias("Paydate"),
         F.lit("waiting").alias("Paystatus"),
         "SlipUrl",
@@ -168,14 +189,11 @@ def record_payments(
         "Oid",
         {"Oslip": F.col("_new.SlipUrl"), "Ostatus": F.lit("waiting")},
     )
-    rejects = (
-        new.where(incomplete)
-        .withColumn("reason", F.lit("incomplete"))
-        .unionByName(
-            complete.select(*new.columns)
-            .join(known, "Oid", "left_anti")
-            .select(*new.columns, F.lit("unknown order").alias("reason"))
-        )
+    # The values as they came, matched by the order they fit to.
+    asked = judged.where("reason IS NULL").withColumn("_order", fitted("Oid", rules.kinds["Oid"]))
+    unknown = asked.join(known.withColumnRenamed("Oid", "_order"), "_order", "left_anti")
+    rejects = judged.where("reason IS NOT NULL").unionByName(
+        unknown.select(*new.columns, F.lit("unknown order").alias("reason"))
     )
     return payments, orders, rejects
 
@@ -241,64 +259,44 @@ def _settled(summary: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def resolve_orders(orders: DataFrame, summary: DataFrame) -> DataFrame:
-    """Orders after a log that ``summarise_log(log, ["Oid"])`` has reduced."""
-    last = _settled(summary, orders)
-    before = F.coalesce("set_", F.struct(F.col("base").alias("status")))["status"]
-    confirmed = F.col("confirm_seq").isNotNull() & (
-        F.col("set_seq_").isNull() | (F.col("confirm_seq") > F.col("set_seq_"))
+    """Orders after a log that ``summarise_log(log, ["Oid"])`` has reduced; one join with them."""
+    cod = binary_equal("Opayment", "cod")
+    set_seq, set_, url = (
+        F.when(cod, F.col(f"_new.{c}_cod")).otherwise(F.col(f"_new.{c}_other")) for c in ("set_seq", "set", "url")
     )
+    before = F.coalesce(set_, F.struct(F.col("Ostatus").alias("status")))["status"]
+    confirm = F.col("_new.confirm_seq")
+    confirmed = confirm.isNotNull() & (set_seq.isNull() | (confirm > set_seq))
     status = F.when(confirmed & same_text(before, "shipped"), F.lit("delivered")).otherwise(before)
-    new = last.select("Oid", F.struct(status.alias("status"), F.col("url_").alias("url")).alias("_new"))
+    packed = summary.select("Oid", F.struct(*[c for c in summary.columns if c != "Oid"]).alias("_new"))
     return overwrite(
         orders,
-        new,
+        packed,
         "Oid",
-        {
-            "Ostatus": F.col("_new.status"),
-            "Oslip": F.when(F.col("_new.url").isNull(), F.col("Oslip")).otherwise(F.col("_new.url.url")),
-        },
+        {"Ostatus": status, "Oslip": F.when(url.isNull(), F.col("Oslip")).otherwise(url["url"])},
     )
 
 
-def decide_log(orders: DataFrame, log: DataFrame, span: int = LOG_SPAN) -> DataFrame:
+def decide_log(orders: DataFrame, log: DataFrame, parts: int | None = None) -> DataFrame:
     """Log rows with ``accepted``: whether the order took the event.
 
-    Orders with up to ``span`` events are run through as they are. The log of a longer one is cut
-    into stretches of ``span`` sequence numbers. Each is reduced to a summary, the few summaries of
-    an order are run through in sequence, and every stretch then starts from the status it is
-    entered with. So no task sorts more than ``span`` rows of an order, however long its log is.
+    A parallel prefix over the log sorted by order and ``seq``: it is range-partitioned, so a long
+    log of one order is cut at rows, whatever its numbers are; each part is reduced to a summary per
+    order, the few summaries of an order are run through in sequence, and every part then starts
+    from the status it is entered with. No task sorts more than its part.
     """
-    long = log.groupBy("Oid").agg(F.count("*").alias("n")).where(F.col("n") > span).select("Oid")
-    if long.isEmpty():
-        by, cut = ["Oid"], log
-        entry = _guards(orders).select(
-            "Oid",
-            "cod",
-            F.struct(F.col("base").alias("status")).alias("entry"),
-            F.lit(None).cast("long").alias("entry_set"),
-            F.lit(None).cast("long").alias("entry_confirm"),
-        )
-    else:
-        by = ["Oid", "stretch"]
-        # Events without an order are many rows of one group as well.
-        cuttable = F.col("long") | F.col("Oid").isNull()
-        stretch = F.when(cuttable, F.expr(f"seq div {int(span)}")).otherwise(F.lit(0))
-        cut = join_grouped(log, long.withColumn("long", F.lit(True)), "Oid", "left").withColumn(
-            "stretch", stretch.cast("long")
-        )
-        earlier = (
-            Window.partitionBy("Oid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        entry = _settled(summarise_log(cut, by), orders).select(
-            *by,
-            "cod",
-            F.coalesce(
-                F.last("set_", ignorenulls=True).over(earlier),
-                F.struct(F.col("base").alias("status")),
-            ).alias("entry"),
-            F.max("set_seq_").over(earlier).alias("entry_set"),
-            F.max("confirm_seq").over(earlier).alias("entry_confirm"),
-        )
+    cut = cut_sorted(log, ["Oid"], ["seq"], parts=parts)
+    before = earlier_parts(["Oid"])
+    by = ["Oid", PART]
+    entry = _settled(summarise_log(cut, by), orders).select(
+        *by,
+        "cod",
+        F.coalesce(
+            F.last("set_", ignorenulls=True).over(before), F.struct(F.col("base").alias("status"))
+        ).alias("entry"),
+        F.max("set_seq_").over(before).alias("entry_set"),
+        F.max("confirm_seq").over(before).alias("entry_confirm"),
+    )
     upto = (
         Window.partitionBy(*by)
         .orderBy("seq")
@@ -321,18 +319,15 @@ def decide_log(orders: DataFrame, log: DataFrame, span: int = LOG_SPAN) -> DataF
         .when(_is("slip"), ~F.col("cod"))
         .otherwise(F.lit(True))
     )
-    return (
-        cut.join(entry, by, "left")
-        .withColumn("accepted", accepted)
-        .select(*log.columns, "accepted")
-    )
+    return on_part(cut, entry, ["Oid"], "left").withColumn("accepted", accepted).select(*log.columns, "accepted")
 
 
 def fold_order_log(
-    orders: DataFrame, log: DataFrame, span: int = LOG_SPAN
+    orders: DataFrame, log: DataFrame, parts: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Apply a mixed log in sequence: ``(orders, log with accepted)``.
 
-    Events of unknown orders change nothing and count as not accepted.
+    Events of unknown orders change nothing and count as not accepted. ``parts`` sets the number of
+    ranges that the decisions cut the log into.
     """
-    return resolve_orders(orders, summarise_log(log, ["Oid"])), decide_log(orders, log, span)
+    return resolve_orders(orders, summarise_log(log, ["Oid"])), decide_log(orders, log, parts)

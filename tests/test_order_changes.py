@@ -4,6 +4,7 @@ import pytest
 from conftest import by, day, frame, money, rows
 from pyspark.sql import functions as F
 
+from marketloom.functions.scan import cut_sorted
 from marketloom.operators import order_changes as oc
 
 CHANGE = "seq bigint, Oid bigint"
@@ -190,18 +191,73 @@ def fold(states, log):
     return {oid: (s, u) for oid, (s, u, _) in now.items()}, taken
 
 
-@pytest.mark.parametrize("seed, span", [(1, 1 << 20), (2, 50), (3, 7), (4, 1)])
-def test_log_equals_one_event_after_the_other(spark, seed, span):
-    """Order 1 takes 40 % of all events; a small span cuts its log into many stretches."""
+@pytest.mark.parametrize("seed, parts, step", [(1, None, 1), (2, 5, 1), (3, 40, 10**9), (4, 300, 7)])
+def test_log_equals_one_event_after_the_other(spark, seed, parts, step):
+    """Order 1 takes 40 % of all events; many parts cut its log; numbers need not be dense."""
     rng = random.Random(seed)
     states = {
         oid: (rng.choice(["shipped", "pending", None]), rng.choice(["cod", "transfer", None]))
         for oid in range(1, 41)
     }
-    log = random_log(rng, 700, [*states, 98, 99, None], hot=1)
+    log = [(seq * step, *rest) for seq, *rest in random_log(rng, 700, [*states, 98, 99, None], hot=1)]
     want_state, want_taken = fold(states, log)
     table = orders_frame(spark, *[states[i] for i in range(1, 41)])
-    state, decisions = oc.fold_order_log(table, spark.createDataFrame(log, LOG), span)
+    state, decisions = oc.fold_order_log(table, spark.createDataFrame(log, LOG), parts)
     assert {r["Oid"]: (r["Ostatus"], r["Oslip"]) for r in rows(state)} == want_state
     assert {r["seq"]: r["accepted"] for r in rows(decisions)} == want_taken
     assert decisions.columns == ["seq", "Oid", "kind", "status", "url", "accepted"]
+
+
+def test_no_part_of_the_log_holds_a_hot_order(spark):
+    log = spark.range(20_000).selectExpr(
+        "id * 1000000007 AS seq", "IF(id % 10 < 9, 1, id) AS Oid", "'set' AS kind", "'x' AS status", "null AS url"
+    )
+    cut = cut_sorted(log, ["Oid"], ["seq"], parts=16)
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 20_000 / 16
+
+
+def test_unfit_values_refuse_their_own_row(spark, edge):
+    schema = CHANGE + ", Payprice string, Tid string, slip string"
+    new = [
+        (1, 2, "12.345", "7", "a"),
+        (2, 2, "abc", "7", "b"),
+        (3, 2, "1000000000000", "3e9", "c"),
+        (4, 2, "1", "x", "d"),
+        (5, 2, None, "x", "e"),
+    ]
+    payments, orders, rejects = oc.record_payments(edge, spark.createDataFrame(new, schema), F.lit("2025-02-03").cast("timestamp_ntz"))
+    assert [r["Payprice"] for r in rows(payments) if r["Payid"] > 4] == [money("12.35")]
+    assert reasons(rejects) == {2: "unfit: Payprice", 3: "unfit: Payprice", 4: "unfit: Tid", 5: "incomplete"}
+    assert by(orders, "Oid")[2]["Oslip"] == "/slips/a"
+
+
+def test_order_requests_with_unfit_values(spark, edge):
+    schema = "seq bigint, Cid bigint, payment string, totalPrice string, items array<struct<Pid:bigint,quantity:string,price:string>>"
+    big = 1_700_000_000_000_000  # microseconds
+    requests = [
+        (big + 1, 1, "cod", "10", [(1, "2", "1.5")] * 10_000),
+        (big + 2, 1, "cod", "much", [(1, "2", "1")]),
+        (big + 3, 1, "cod", "1", [(1, "3000000000", "1")]),
+        (big + 4, 1, "cod", "1", [(1, "2", "1"), (2, "1", "dear")]),
+        (big + 5, 1, None, "1.005", [(2, "1", "2")]),
+    ]
+    placed, items, rejects = oc.place_orders(edge, spark.createDataFrame(requests, schema), "2025-02-03")
+    assert set(by(placed, "seq")) == {big + 1, big + 5}
+    lines = rows(items)
+    top = max(r["Oiid"] for r in rows(edge["order_items"]))
+    assert sorted(r["Oiid"] for r in lines) == [*range(top + 1, top + 10_001), top + 10_004]
+    assert reasons(rejects) == {big + 2: "unfit: totalPrice", big + 3: "bad item", big + 4: "bad item"}
+
+
+def test_state_reads_the_orders_once(spark, tmp_path):
+    orders_frame(spark, ("shipped", "cod")).write.parquet(f"{tmp_path}/orders")
+    table = spark.read.parquet(f"{tmp_path}/orders")
+    log = spark.createDataFrame([(1, 1, "confirm", None, None)], LOG)
+    for state in (
+        oc.attach_slips(table, log.select("seq", "Oid", "url"))[0],
+        oc.confirm_orders(table, log.select("seq", "Oid"))[0],
+        oc.resolve_orders(table, oc.summarise_log(log, ["Oid"])),
+    ):
+        plan = state._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
