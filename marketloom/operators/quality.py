@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.functions.keyed import without_keys
+from marketloom.operators.typed import fitted, unfit
+from marketloom.schemas import declared
 
 # Columns that a product update has to carry. Fixed values.
 PRODUCT_TEXTS = ["Pname", "Pdetail", "Ppicture", "Pstatus"]
-PRODUCT_NUMBERS = {
-    "Pprice": "decimal(10,2)",
-    "Pnumproduct": "int",
-    "Typeid": "bigint",
-    "Subtypeid": "bigint",
-}
+PRODUCT_NUMBERS = ["Pprice", "Pnumproduct", "Typeid", "Subtypeid"]
 
 
 def check_unique(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -66,18 +63,17 @@ def check_lengths(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumn("too_long", names).where(F.col("too_long") != "")
 
 
-def product_payload_faults(df: DataFrame):
-    """Names of the columns of a product payload that are absent or not of their type."""
-    faults = [F.when(F.col(c).isNull(), F.lit(c)) for c in PRODUCT_TEXTS]
-    for c, kind in PRODUCT_NUMBERS.items():
-        number = F.col(c).try_cast(kind) if dict(df.dtypes)[c] == "string" else F.col(c)
-        faults.append(F.when(number.isNull(), F.lit(c)))
+def product_payload_faults():
+    """Names of the columns of a product payload that are absent or that the table cannot hold."""
+    kinds = {f.name: f.dataType for f in declared("products").fields}
+    faults = [F.when(F.col(c).isNull() | unfit(c, kinds[c]), F.lit(c)) for c in PRODUCT_TEXTS]
+    faults += [F.when(fitted(c, kinds[c]).isNull(), F.lit(c)) for c in PRODUCT_NUMBERS]
     return F.array_join(F.array_compact(F.array(*faults)), ",")
 
 
 def check_product_payload(df: DataFrame) -> DataFrame:
     """Product payloads with a missing or wrongly typed field; ``faults`` names the fields."""
-    return df.withColumn("faults", product_payload_faults(df)).where(F.col("faults") != "")
+    return df.withColumn("faults", product_payload_faults()).where(F.col("faults") != "")
 
 
 def cascade_delete(parent_keys: DataFrame, child: DataFrame, fk: str) -> DataFrame:

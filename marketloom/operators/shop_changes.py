@@ -26,6 +26,7 @@ from marketloom.operators.quality import (
     cascade_delete,
     product_payload_faults,
 )
+from marketloom.operators.typed import Rules
 from marketloom.session import durable
 
 Tables = dict[str, DataFrame]
@@ -49,17 +50,20 @@ def first_reviews(new: DataFrame) -> DataFrame:
     """First valid review per order: ``order_id``, ``own`` and the rest of the row as ``review``.
 
     Validity is tested before the first is chosen: a refused insert does not block a later one.
-    A review without an order is a group of its own, told apart by ``own``. The grouping also runs
-    on a stream.
+    A review without an order stands for itself, told apart by ``own``; it is not grouped, so a
+    stream, on which this also runs, keeps no state for it.
     """
-    own_group = F.when(F.col("order_id").isNull(), F.col("seq")).alias("own")
-    rest = [c for c in new.columns if c != "order_id"]
-    return (
-        new.where(_storable())
-        .withColumn("stars", _stars())
-        .groupBy("order_id", own_group)
-        .agg(F.min_by(F.struct(*rest), "seq").alias("review"))
+    valid = new.where(_storable()).withColumn("stars", _stars())
+    rest = F.struct(*[c for c in new.columns if c != "order_id"])
+    own = F.col("seq")
+    first = (
+        valid.where(F.col("order_id").isNotNull())
+        .groupBy("order_id")
+        .agg(F.min_by(rest, "seq").alias("review"))
+        .withColumn("own", F.lit(None).cast(new.schema["seq"].dataType))
     )
+    alone = valid.where(F.col("order_id").isNull()).select("order_id", rest.alias("review"), own.alias("own"))
+    return first.unionByName(alone).select("order_id", "own", "review")
 
 
 def _stars() -> Column:
@@ -73,9 +77,14 @@ def _storable() -> Column:
 
 
 def unreviewed(reviews: DataFrame, first: DataFrame) -> DataFrame:
-    """Flat rows of ``first_reviews`` whose order has no review in ``reviews`` yet."""
+    """Flat rows of ``first_reviews`` whose order has no review in ``reviews`` yet.
+
+    Rows without an order go around the join, where they would all meet in one place.
+    """
     taken = reviews.where(F.col("order_id").isNotNull()).select("order_id").distinct()
-    return first.join(taken, "order_id", "left_anti").select("order_id", "review.*")
+    ordered = first.where(F.col("order_id").isNotNull())
+    open_ = join_grouped(ordered, taken, "order_id", "left_anti").select(*first.columns)
+    return open_.unionByName(first.where(F.col("order_id").isNull())).select("order_id", "review.*")
 
 
 def add_order_reviews(
@@ -117,15 +126,20 @@ def delete_reviews(reviews: DataFrame, keys: DataFrame, by: str = "order_id") ->
 # --- products -------------------------------------------------------------------------------
 
 
-def add_products(products: DataFrame, new: DataFrame) -> DataFrame:
-    """Add products without any validation. ``new`` holds ``seq`` and any product columns.
+def add_products(products: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add products. ``new`` holds ``seq`` and any product columns; only what the table cannot hold
+    is refused.
 
     Missing columns are NULL, but a missing ``Prenume`` is 0; an explicit NULL stays NULL.
     """
+    rules = Rules("products", products)
+    given = [c for c in products.columns if c in new.columns and c != "Pid"]
+    judged = rules.judge(new, given, F.lit(False))
     values = {"Pid": next_key(products, "Pid", F.col("seq"))}
     if "Prenume" not in new.columns:
         values["Prenume"] = F.lit(0)
-    return _append(products, new, **values)
+    good = rules.typed(judged.where("reason IS NULL"), given)
+    return _append(products, good, **values), judged.where("reason IS NOT NULL")
 
 
 def update_products(products: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,14 +148,11 @@ def update_products(products: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     Validation comes first, so an invalid payload never reaches the table.
     """
     columns = [*PRODUCT_TEXTS, *PRODUCT_NUMBERS]
-    judged = changes.withColumn("reason", product_payload_faults(changes))
-    good = judged.where(F.col("reason") == "")
-    typed = good.select(
-        "seq", "Pid", *[F.col(c).cast(products.schema[c].dataType).alias(c) for c in columns]
-    )
+    judged = changes.withColumn("reason", product_payload_faults())
+    typed = Rules("products").typed(judged.where(F.col("reason") == ""), columns)
     state = overwrite(
         products,
-        latest(typed, "Pid", columns),
+        latest(typed.select("seq", "Pid", *columns), "Pid", columns),
         "Pid",
         {c: F.col(f"_new.{c}") for c in columns},
     )
@@ -206,20 +217,25 @@ def toggle_favorites(favorites: DataFrame, log: DataFrame) -> tuple[DataFrame, D
 def add_transfer_accounts(transfer: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add accounts. ``new``: ``seq, Tname, Tnum, Taccount, Tbranch, qrcode`` (a file name).
 
-    All but the branch are required; an account number of zero counts as given.
+    All but the branch are required; an account number of zero counts as given. Values have to fit.
     """
     incomplete = blank("Tname") | missing("Tnum") | blank("Taccount") | F.col("qrcode").isNull()
+    rules, given = Rules("transfer", transfer), ["Tname", "Tnum", "Taccount", "Tbranch"]
+    judged = rules.judge(new, given, incomplete)
     state = _append(
         transfer,
-        new.where(~incomplete),
+        rules.typed(judged.where("reason IS NULL"), given),
         Tid=next_key(transfer, "Tid", F.col("seq")),
         Tqr=F.concat(F.lit("/qrs/"), "qrcode"),
     )
-    return state, new.where(incomplete).withColumn("reason", F.lit("incomplete"))
+    return state, judged.where("reason IS NOT NULL")
 
 
 # --- customers ------------------------------------------------------------------------------
 
+# Registrations that depend on each other and are served as one list; more go through rounds.
+FOLD = 1024
+
 # Fields that a registration has to fill. Fixed values.
 REGISTRATION = [
     "Cname", "Caddress", "Csubdistrict", "Cdistrict", "Cprovince", "Czipcode", "Cusername",
@@ -253,23 +269,74 @@ def _classes(new: DataFrame, customers: DataFrame, col: str, name: str) -> DataF
 def _first_come(waiting: DataFrame) -> DataFrame:
     """Rows of ``seq, user, full`` that get both their values when served in order of ``seq``.
 
-    A row that is the first open one for both its values is served whatever the others are, and
-    then the open rows that share a value with it are refused. This repeats until no row is open.
-    The first open row is always served, so it ends; in random data the number of open rows drops
-    fast. Every round is stored, which keeps the lineage short.
+    One round settles most: a row that is the first one for both its values is served whatever the
+    others are, and rows that share a value with it are refused. Rows still open depend on each
+    other only within a component of shared values; each component is served in order as one list.
+    Components of more than ``FOLD`` rows go through rounds.
     """
-    served = []
+    served, waiting = _serve_firsts(waiting)
+    if waiting.isEmpty():
+        return served
+    labelled = _conflicts(waiting)
+    sizes = labelled.groupBy("label").agg((F.count("*") > FOLD).alias("wide"))
+    marked = durable(join_grouped(labelled, sizes, "label", "inner"))
+    row = F.struct("seq", "user", "full")
+    lists = marked.where("not wide").groupBy("label").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    folded_ = lists.select(F.explode(_serve_in_order(F.col("rows"))).alias("row")).select("row.*")
+    rounds = [served, durable(folded_)]
+    waiting = marked.where("wide").select("seq", "user", "full")
     while not waiting.isEmpty():
-        by_user = waiting.groupBy("user").agg(F.min("seq").alias("seq"))
-        by_full = waiting.groupBy("full").agg(F.min("seq").alias("seq"))
-        winners = durable(by_user.join(by_full, "seq").select("seq", "user", "full"))
-        served.append(winners)
-        waiting = durable(
-            waiting.join(winners.select("user"), "user", "left_anti").join(
-                winners.select("full"), "full", "left_anti"
+        served, waiting = _serve_firsts(waiting)
+        rounds.append(served)
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _serve_firsts(waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that come first for both their values, and what is open after them; both stored."""
+    by_user = waiting.groupBy("user").agg(F.min("seq").alias("seq"))
+    by_full = waiting.groupBy("full").agg(F.min("seq").alias("seq"))
+    winners = durable(by_user.join(by_full, "seq").select("seq", "user", "full"))
+    left = join_grouped(
+        join_grouped(waiting, winners.select("user"), "user", "left_anti"), winners.select("full"), "full", "left_anti"
+    )
+    return winners, durable(left.select("seq", "user", "full"))
+
+
+def _conflicts(rows: DataFrame) -> DataFrame:
+    """The rows with ``label``: the least ``seq`` that is reached over shared values.
+
+    Every round takes the least label over both values and then the label of that row, so the
+    distance to the least row about halves. Each round is stored.
+    """
+    labelled = rows.withColumn("label", F.col("seq"))
+    while True:
+        by_user = labelled.groupBy("user").agg(F.min("label").alias("_user"))
+        by_full = labelled.groupBy("full").agg(F.min("label").alias("_full"))
+        near = join_grouped(join_grouped(labelled, by_user, "user", "inner"), by_full, "full", "inner")
+        near = durable(near.select("seq", "user", "full", "label", F.least("_user", "_full").alias("low")))
+        far = near.select(F.col("seq").alias("low"), F.col("low").alias("far"))
+        if near.where("low < label").isEmpty():
+            return near.select("seq", "user", "full", "label")
+        labelled = join_grouped(near, far, "low", "inner").select("seq", "user", "full", F.col("far").alias("label"))
+
+
+def _serve_in_order(rows: Column) -> Column:
+    """Of a list of rows in order those that find both their values free."""
+    none = F.array().cast("array<bigint>")
+    kept = F.array().cast("array<struct<seq:bigint,user:bigint,full:bigint>>")
+    start = F.struct(none.alias("users"), none.alias("fulls"), kept.alias("kept"))
+
+    def serve(done: Column, row: Column) -> Column:
+        gone = F.array_contains(done["users"], row["user"]) | F.array_contains(done["fulls"], row["full"])
+        return F.when(gone, done).otherwise(
+            F.struct(
+                F.array_append(done["users"], row["user"]).alias("users"),
+                F.array_append(done["fulls"], row["full"]).alias("fulls"),
+                F.array_append(done["kept"], row).alias("kept"),
             )
         )
-    return reduce(DataFrame.unionByName, served) if served else waiting
+
+    return F.aggregate(rows, start, serve, lambda done: done["kept"])
 
 
 def register_customers(
@@ -278,12 +345,14 @@ def register_customers(
     """Add customers whose user name and full name are both free. ``new``: ``seq``, the ten fields
     of ``REGISTRATION`` (password already hashed) and ``Cprofile``.
 
-    Requests are served in order, so one that is refused takes no name. The user name is tested
-    first, which shows in the reason.
+    Requests are served in order, so one that is refused takes no name; values have to fit the
+    table. The user name is tested first, which shows in the reason.
     """
     texts = [c for c in REGISTRATION if c != "Cbirth"]
     incomplete = reduce(lambda a, b: a | b, [blank(c) for c in texts], F.col("Cbirth").isNull())
-    complete = new.where(~incomplete)
+    rules, given = Rules("customers", customers), [*REGISTRATION, "Cprofile"]
+    judged = rules.judge(new, given, incomplete)
+    complete = judged.where("reason IS NULL").drop("reason")
     names = complete.select("seq", "Cusername", "Cname")
     user = _classes(names, customers, "Cusername", "user")
     full = _classes(names, customers, "Cname", "full")
@@ -293,7 +362,7 @@ def register_customers(
     served = _first_come(free.select("seq", "user", "full"))
     state = _append(
         customers,
-        complete.join(served.select("seq"), "seq", "left_semi"),
+        rules.typed(complete.join(served.select("seq"), "seq", "left_semi"), given),
         Cid=next_key(customers, "Cid", F.col("seq")),
         Cstatus=F.lit("user"),
         Cdate=as_date(as_of),
@@ -308,9 +377,7 @@ def register_customers(
             F.when(user_gone, F.lit("user name taken")).otherwise(F.lit("name taken")).alias("reason"),
         )
     )
-    rejects = (
-        new.where(incomplete)
-        .withColumn("reason", F.lit("incomplete"))
-        .unionByName(complete.join(reasons, "seq").select(*new.columns, "reason"))
+    rejects = judged.where("reason IS NOT NULL").unionByName(
+        complete.join(reasons, "seq").select(*new.columns, "reason")
     )
     return state, rejects

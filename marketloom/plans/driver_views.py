@@ -193,8 +193,8 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         {
             "seq": "event_id + 1",
             "Oid": "event_id * 2",
-            "Payprice": f"CASE WHEN {_K} = 0 THEN CAST(0 AS DECIMAL(10,2)) "
-            "ELSE CAST(value AS DECIMAL(10,2)) END",
+            "Payprice": "CASE WHEN event_id % 9 = 0 THEN '1000000000000' WHEN event_id % 9 = 1 THEN 'abc' "
+            f"WHEN {_K} = 0 THEN '0' ELSE CAST(CAST(value AS DECIMAL(10,2)) AS STRING) END",
             "Tid": "event_id % 12",
             "slip": f"CASE WHEN event_type = 'error' OR {_K} = 1 THEN NULL ELSE concat('slip-', CAST(event_id AS STRING)) END",
         },
@@ -205,8 +205,9 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "p_type = 'PROMO'",
         {
             "seq": "p_partkey + 1",
-            "Pname": "p_name",
-            "Pprice": "CAST(p_retailprice AS DECIMAL(10,2))",
+            "Pname": "CASE WHEN p_partkey % 11 = 0 THEN repeat('long ', 60) ELSE p_name END",
+            "Pprice": "CASE WHEN p_partkey % 7 = 0 THEN '1000000000000' WHEN p_partkey % 7 = 1 THEN 'abc' "
+            "ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING) END",
             "Pnumproduct": "p_size",
             "Pstatus": "p_type",
         },
@@ -218,9 +219,9 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         {
             "seq": "event_id + 1",
             "Pid": "CAST(floor(event_id / 4) AS BIGINT)",
-            "Pname": "event_type",
+            "Pname": "CASE WHEN event_id % 19 = 0 THEN repeat('long ', 60) ELSE event_type END",
             "Pprice": f"CASE WHEN {_K} < 5 THEN 'much' ELSE CAST(CAST(value AS DECIMAL(10,2)) AS STRING) END",
-            "Pnumproduct": "CAST(user_id AS STRING)",
+            "Pnumproduct": "CASE WHEN event_id % 17 = 0 THEN '3000000000' ELSE CAST(user_id AS STRING) END",
             "Pdetail": "props",
             "Ppicture": "CASE WHEN event_type = 'error' THEN NULL ELSE props END",
             "Pstatus": "event_type",
@@ -234,8 +235,10 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         {
             "seq": "c_custkey + 1",
             "Tname": "c_name",
-            "Tnum": "c_nationkey",
-            "Taccount": "CASE c_mktsegment WHEN 'FURNITURE' THEN '' ELSE c_mktsegment END",
+            "Tnum": "CASE c_custkey % 11 WHEN 0 THEN 'abc' WHEN 1 THEN '10000000000000000000' "
+            "ELSE CAST(c_nationkey AS STRING) END",
+            "Taccount": "CASE WHEN c_mktsegment = 'FURNITURE' THEN '' WHEN c_custkey % 13 = 0 "
+            "THEN repeat(c_mktsegment, 60) ELSE c_mktsegment END",
             "Tbranch": _NO_TEXT,
             "qrcode": "CASE c_mktsegment WHEN 'MACHINERY' THEN NULL ELSE c_name END",
         },
@@ -255,7 +258,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         {
             "seq": "o_orderkey + 1",
             "Cname": "CAST(CAST(o_orderdate AS DATE) AS STRING)",
-            "Caddress": "o_orderpriority",
+            "Caddress": "CASE WHEN o_orderkey % 37 = 0 THEN repeat('street ', 40) ELSE o_orderpriority END",
             "Csubdistrict": "o_orderstatus",
             "Cdistrict": "o_orderstatus",
             "Cprovince": "o_orderstatus",
@@ -265,7 +268,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "ELSE concat('User', CAST(o_custkey AS STRING)) END",
             "Cpassword": "o_orderstatus",
             "Cphone": "o_orderstatus",
-            "Cbirth": "CAST(o_orderdate AS DATE)",
+            "Cbirth": "CASE WHEN o_orderkey % 41 = 0 THEN 'unknown' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
             "Cprofile": _NO_TEXT,
         },
     ),

@@ -74,9 +74,10 @@ _REQUESTS = """
     judged AS (
         SELECT o.*, CASE
             WHEN o.Cid IS NULL OR l.Oid IS NULL THEN 'incomplete'
+            WHEN o.Oid % 23 < 2 THEN 'unfit: totalPrice'
             WHEN l.unknown > 0 THEN 'bad item' END AS reason
         FROM s_orders o LEFT JOIN (
-            SELECT Oid, sum(CASE WHEN Pstatus = 'ECONOMY' THEN 1 ELSE 0 END) AS unknown
+            SELECT Oid, sum(CASE WHEN Pstatus = 'ECONOMY' OR Pid % 29 = 0 THEN 1 ELSE 0 END) AS unknown
             FROM lines GROUP BY Oid) l ON o.Oid = l.Oid)"""
 
 _FOLD = """
@@ -121,7 +122,10 @@ _BAD_NUMBER = "CASE WHEN TRY_CAST({0} AS {1}) IS NULL THEN '{0}' END"
 _FAULTS = "concat_ws(',', {})".format(
     ", ".join(
         [
-            *[f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in ("Pname", "Pdetail", "Ppicture", "Pstatus")],
+            *[
+                f"CASE WHEN {c} IS NULL OR length({c}) > {n} THEN '{c}' END"
+                for c, n in (("Pname", 255), ("Pdetail", 1000000000), ("Ppicture", 255), ("Pstatus", 50))
+            ],
             _BAD_NUMBER.format("Pprice", "DECIMAL(10,2)"),
             _BAD_NUMBER.format("Pnumproduct", "INTEGER"),
             _BAD_NUMBER.format("Typeid", "BIGINT"),
@@ -146,13 +150,24 @@ _PAYS = """
     judged AS (
         SELECT n.*, CASE
             WHEN n.Oid IS NULL OR Payprice IS NULL OR Tid IS NULL OR slip IS NULL THEN 'incomplete'
+            WHEN TRY_CAST(Payprice AS DECIMAL(10,2)) IS NULL THEN 'unfit: Payprice'
             WHEN o.Oid IS NULL THEN 'unknown order' END AS reason
         FROM new_payments n LEFT JOIN s_orders o ON n.Oid = o.Oid)"""
 
+_ACCOUNTS = """
+    judged AS (
+        SELECT *, CASE
+            WHEN Taccount = '' OR qrcode IS NULL THEN 'incomplete'
+            WHEN TRY_CAST(Tnum AS BIGINT) IS NULL OR length(Taccount) > 255 THEN concat('unfit: ', concat_ws(',',
+                CASE WHEN TRY_CAST(Tnum AS BIGINT) IS NULL THEN 'Tnum' END,
+                CASE WHEN length(Taccount) > 255 THEN 'Taccount' END)) END AS reason
+        FROM new_accounts)"""
+
 # Registrations served round by round: a row wins that is the first open one for both its names.
 _SERVED = """
     asked AS (
-        SELECT *, lower(Cusername) AS u, lower(Cname) AS n FROM registrations WHERE Czipcode <> ''),
+        SELECT *, lower(Cusername) AS u, lower(Cname) AS n FROM registrations
+        WHERE Czipcode <> '' AND length(Caddress) <= 255 AND TRY_CAST(Cbirth AS DATE) IS NOT NULL),
     flagged AS (
         SELECT a.*,
                EXISTS (SELECT 1 FROM s_customers c WHERE lower(c.Cusername) = a.u) AS u_taken,
@@ -287,10 +302,11 @@ _SQL: dict[str, str] = {
                CASE WHEN Opayment = 'cod' THEN 'shipped' ELSE 'pending' END AS Ostatus, Cid, Opayment, Oslip
         FROM judged WHERE reason IS NULL""",
     "m03_place_orders_items": f"""{_REQUESTS}
-        SELECT (SELECT max(Oiid) FROM s_order_items)
-               + (l.Oid + 1) * (SELECT max(n) FROM (SELECT count(*) AS n FROM lines GROUP BY Oid) x) + l.pos AS Oiid,
-               (SELECT max(Oid) FROM s_orders) + l.Oid + 1 AS Oid, l.Pid, l.Oquantity, l.Oprice
-        FROM lines l JOIN judged j ON l.Oid = j.Oid WHERE j.reason IS NULL""",
+        SELECT Oiid, Oid, Pid, Oquantity, Oprice FROM (
+            SELECT (SELECT max(Oiid) FROM s_order_items) + row_number() OVER (ORDER BY l.Oid, l.pos) AS Oiid,
+                   (SELECT max(Oid) FROM s_orders) + l.Oid + 1 AS Oid, l.Pid, l.Oquantity, l.Oprice, j.reason
+            FROM lines l JOIN judged j ON l.Oid = j.Oid WHERE j.reason IS NULL OR j.reason = 'bad item') q
+        WHERE reason IS NULL""",
     "m03_place_orders_rejects": f"""{_REQUESTS}
         SELECT Oid + 1 AS seq, reason FROM judged WHERE reason IS NOT NULL""",
     "m04_attach_slips": f"""{_last('order_log', 'Oid', "kind = 'slip'")}
@@ -341,9 +357,14 @@ _SQL: dict[str, str] = {
     "m11_add_products": f"""
         SELECT {_PRODUCT} FROM old_products
         UNION ALL
-        SELECT (SELECT max(Pid) FROM old_products) + seq, Pname, Pprice, Pnumproduct, 0, Pstatus,
+        SELECT (SELECT max(Pid) FROM old_products) + seq, Pname, TRY_CAST(Pprice AS DECIMAL(10,2)), Pnumproduct, 0, Pstatus,
                NULL, NULL, NULL, NULL
-        FROM new_products""",
+        FROM new_products WHERE length(Pname) <= 255 AND TRY_CAST(Pprice AS DECIMAL(10,2)) IS NOT NULL""",
+    "m11_add_products_rejects": """
+        SELECT * FROM (
+            SELECT *, concat('unfit: ', concat_ws(',', CASE WHEN length(Pname) > 255 THEN 'Pname' END,
+                CASE WHEN TRY_CAST(Pprice AS DECIMAL(10,2)) IS NULL THEN 'Pprice' END)) AS reason
+            FROM new_products) q WHERE reason <> 'unfit: '""",
     "m12_update_products": f"""{_last('product_changes', 'Pid', f"{_FAULTS} = ''")}
         SELECT p.Pid, coalesce(l.Pname, p.Pname) AS Pname,
                coalesce(CAST(l.Pprice AS DECIMAL(10,2)), p.Pprice) AS Pprice,
@@ -365,7 +386,7 @@ _SQL: dict[str, str] = {
     "m15_record_payments": f"""{_PAYS}
         SELECT Payid, Oid, Payprice, Paydate, Paystatus, SlipUrl, Tid FROM s_payments
         UNION ALL
-        SELECT (SELECT max(Payid) FROM s_payments) + seq, Oid, Payprice, TIMESTAMP '{ORDERED} 00:00:00',
+        SELECT (SELECT max(Payid) FROM s_payments) + seq, Oid, TRY_CAST(Payprice AS DECIMAL(10,2)), TIMESTAMP '{ORDERED} 00:00:00',
                'waiting', concat('/slips/', slip), Tid
         FROM judged WHERE reason IS NULL""",
     "m15_record_payments_orders": f"""{_PAYS}, {_last('judged', 'Oid', 'reason IS NULL')}
@@ -374,23 +395,25 @@ _SQL: dict[str, str] = {
         LEFT JOIN last l ON o.Oid = l.Oid""",
     "m15_record_payments_rejects": f"""{_PAYS}
         SELECT seq, Oid, Payprice, Tid, slip, reason FROM judged WHERE reason IS NOT NULL""",
-    "m16_add_transfer_accounts": """
+    "m16_add_transfer_accounts": f"""{_ACCOUNTS}
         SELECT Tid, Tname, Tnum, Taccount, Tbranch, Tqr FROM s_transfer
         UNION ALL
-        SELECT (SELECT max(Tid) FROM s_transfer) + seq, Tname, Tnum, Taccount, Tbranch, concat('/qrs/', qrcode)
-        FROM new_accounts WHERE Taccount <> '' AND qrcode IS NOT NULL""",
-    "m16_add_transfer_accounts_rejects": """
-        SELECT seq, Tname, Tnum, Taccount, Tbranch, qrcode, 'incomplete' AS reason
-        FROM new_accounts WHERE Taccount = '' OR qrcode IS NULL""",
+        SELECT (SELECT max(Tid) FROM s_transfer) + seq, Tname, TRY_CAST(Tnum AS INTEGER), Taccount, Tbranch, concat('/qrs/', qrcode)
+        FROM judged WHERE reason IS NULL""",
+    "m16_add_transfer_accounts_rejects": f"""{_ACCOUNTS}
+        SELECT seq, Tname, Tnum, Taccount, Tbranch, qrcode, reason FROM judged WHERE reason IS NOT NULL""",
     "m17_register_customers": f"""{_SERVED}
         SELECT * FROM s_customers
         UNION ALL
         SELECT (SELECT max(Cid) FROM s_customers) + a.seq, Cname, Caddress, Cusername, Cpassword, Cphone,
-               'user', DATE '{ORDERED}', Cbirth, Csubdistrict, Cdistrict, Cprovince, Czipcode, Cprofile
+               'user', DATE '{ORDERED}', CAST(Cbirth AS DATE), Csubdistrict, Cdistrict, Cprovince, Czipcode, Cprofile
         FROM asked a JOIN served s ON a.seq = s.seq""",
     "m17_register_customers_rejects": f"""{_SERVED}
         SELECT r.*, CASE
             WHEN r.Czipcode = '' THEN 'incomplete'
+            WHEN length(r.Caddress) > 255 OR TRY_CAST(r.Cbirth AS DATE) IS NULL THEN concat('unfit: ', concat_ws(',',
+                CASE WHEN length(r.Caddress) > 255 THEN 'Caddress' END,
+                CASE WHEN TRY_CAST(r.Cbirth AS DATE) IS NULL THEN 'Cbirth' END))
             WHEN f.u_taken OR s.seq < r.seq THEN 'user name taken' ELSE 'name taken' END AS reason
         FROM registrations r LEFT JOIN flagged f ON r.seq = f.seq LEFT JOIN served s ON f.u = s.u
         WHERE r.seq NOT IN (SELECT seq FROM served)""",

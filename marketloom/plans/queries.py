@@ -265,7 +265,8 @@ def _place(spark, sf):
     )
     items = (
         "transform(items, x -> "
-        "named_struct('Pid', x.Pid, 'quantity', x.Oquantity, 'price', x.Oprice))"
+        "named_struct('Pid', x.Pid, 'quantity', "
+        "CASE WHEN x.Pid % 29 = 0 THEN 3000000000 ELSE x.Oquantity END, 'price', x.Oprice))"
     )
     # Requests are an input of the operator, so they are stored before it reads them.
     requests = durable(
@@ -273,7 +274,8 @@ def _place(spark, sf):
             "Oid + 1 AS seq",
             "Cid",
             "Opayment AS payment",
-            "Oprice AS totalPrice",
+            "CASE Oid % 23 WHEN 0 THEN 'much' WHEN 1 THEN '1000000000000000' "
+            "ELSE CAST(Oprice AS STRING) END AS totalPrice",
             f"{items} AS items",
         )
     )
@@ -392,9 +394,18 @@ def m10_delete_reviews_by_id(spark, sf):
     return sc.delete_reviews(reviews, reviews.where("stars = 1"), by="id")
 
 
+def _add_products(spark, sf):
+    return sc.add_products(view(spark, sf, "old_products"), view(spark, sf, "new_products"))
+
+
 @_query
 def m11_add_products(spark, sf):
-    return sc.add_products(view(spark, sf, "old_products"), view(spark, sf, "new_products"))
+    return _add_products(spark, sf)[0]
+
+
+@_query
+def m11_add_products_rejects(spark, sf):
+    return _add_products(spark, sf)[1]
 
 
 def _update_products(spark, sf):

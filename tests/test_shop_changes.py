@@ -69,11 +69,11 @@ def test_delete_reviews(spark, edge):
 
 def test_add_products(spark, edge):
     new = spark.createDataFrame([(1, "cactus"), (2, None)], "seq bigint, Pname string")
-    got = by(sc.add_products(edge["products"], new), "Pid")
+    got = by(sc.add_products(edge["products"], new)[0], "Pid")
     assert set(got) == {1, 2, 3, 4, 5}
     assert (got[4]["Pname"], got[4]["Prenume"], got[4]["Pprice"]) == ("cactus", 0, None)
     explicit = new.withColumn("Prenume", F.lit(None).cast("int"))
-    assert by(sc.add_products(edge["products"], explicit), "Pid")[4]["Prenume"] is None
+    assert by(sc.add_products(edge["products"], explicit)[0], "Pid")[4]["Prenume"] is None
 
 
 def test_update_products(spark, edge):
@@ -250,3 +250,44 @@ def test_registration_equals_one_after_the_other(spark, seed):
     state, rejects = sc.register_customers(base, requests(spark, *people), "2025-02-03")
     assert reasons(rejects) == want
     assert state.count() == 1 + len(people) - len(want)
+
+
+def serve(people):
+    """(seq, user, full) one after the other."""
+    users, fulls, served = set(), set(), set()
+    for seq, user, full in sorted(people):
+        if user not in users and full not in fulls:
+            users.add(user)
+            fulls.add(full)
+            served.add(seq)
+    return served
+
+
+@pytest.mark.parametrize("fold", [1024, 5])
+def test_conflicts_are_served_in_order(spark, monkeypatch, fold):
+    monkeypatch.setattr(sc, "FOLD", fold)
+    rng = random.Random(fold)
+    people = [(seq, rng.randrange(120), rng.randrange(120)) for seq in range(1, 300)]
+    rng.shuffle(people)
+    got = sc._first_come(spark.createDataFrame(people, "seq bigint, user bigint, full bigint"))
+    assert {r["seq"] for r in got.collect()} == serve(people)
+
+
+def chain(links, rng=None):
+    """Row i shares its user name with the row before and its name with the row after."""
+    return [(i + 1, (i + 1) // 2, 1000 + i // 2) for i in range(links)]
+
+
+def test_a_long_chain_takes_few_tables(spark, monkeypatch):
+    written = []
+    plain = sc.durable
+    monkeypatch.setattr(sc, "durable", lambda df: written.append(1) or plain(df))
+    counts = {}
+    for links in (4, 48, 400):
+        people = chain(links)
+        written.clear()
+        got = sc._first_come(spark.createDataFrame(people, "seq bigint, user bigint, full bigint"))
+        assert {r["seq"] for r in got.collect()} == serve(people)
+        counts[links] = len(written)
+    # The tables grow with the logarithm of the chain; a table or two per link were hundreds.
+    assert counts[48] <= counts[4] + 6 and counts[400] <= counts[48] + 4
