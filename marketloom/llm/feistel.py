@@ -18,24 +18,43 @@ ROUNDS = 10
 _DAY_SIDES = (17, 4297)
 _EPOCH = "1900-01-01"
 
-_EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A local part begins where its run of characters does, or where the value before it ended, and is
+# taken whole: no character is tried twice. Hosts are one class of characters, so that no repeated
+# group has to be remembered, however long they are.
+_EMAIL = r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 _ISO_DAY = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _DAY = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+# A value by itself that may follow a phone number: day, social security number, address, card, phone.
+_NEXT = (
+    r"[ .-](?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+    r"|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|(?:[0-9]{4}[ -]){3}[0-9]{4}"
+    r"|[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
+)
+_PHONE = (
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}"
+    rf"(?:(?!{_NEXT})[ .-]?[0-9]{{2,4}}){{1,4}}(?![0-9])"
+)
+# Four groups of four are a card, whatever number comes next, unless a shorter group goes on.
+_CARD_4 = (
+    r"(?<![0-9-])(?:(?:[0-9]{4} ){3}|(?:[0-9]{4}-){3})[0-9]{4}(?![0-9])(?![ -][0-9]{1,3}(?![0-9.,/:-]))"
+)
 _CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-# Without a country: an area in brackets, a leading zero with a gap, or three, three and four digits.
+# Without a country: an area in brackets or a leading zero with a gap.
 # Eight to twelve digits, so that what is no card and has no plus can only be one of these.
 _NATIONAL = (
     r"(?<![\p{L}0-9.+-])(?:"
     r"\((?=(?:[^0-9]{0,2}[0-9]){8,12}(?![ -]?[0-9]))[0-9]{2,5}\)[ .-]?[0-9]{2,8}(?:[ .-][0-9]{2,6}){0,3}"
     r"|(?=(?:[ /-]?[0-9]){8,12}(?![ /-]?[0-9]))0[0-9]{1,4}[ /-][0-9]{2,8}(?:[ -][0-9]{2,6}){0,3}"
-    r"|[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}\.[0-9]{3}\.[0-9]{4}"
     r")(?![0-9]|[.-][0-9])"
 )
-PATTERN = "|".join([_EMAIL, _IBAN, _IPV4, _ISO_DAY, _DAY, _SSN, _PHONE, _CARD, _NATIONAL])
+# Three, three and four digits; looked for before cards, which would take a number that follows in.
+_LOCAL = (
+    r"(?<![\p{L}0-9.+-])(?:[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}|[2-9][0-9]{2}\.[0-9]{3}\.[0-9]{4})(?![0-9]|[.-][0-9])"
+)
+PATTERN = "|".join([_EMAIL, _IBAN, _IPV4, _ISO_DAY, _DAY, _SSN, _PHONE, _CARD_4, _LOCAL, _CARD, _NATIONAL])
 # No value of any pattern is without one of these.
 _SOME = "[0-9]|@"
 
