@@ -21,12 +21,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return crf_quality.keep(docs, crf_quality.fit_on_labels(docs, table(spark, sf_dir, "labels")))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until no column is called so."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least id; rows without an id stay."""
+    """Of each component the row with the least id, of repeats of that the first; rows without an id
+    stay. Rows are told apart by a number of their own, as ids may repeat."""
     ship(spark)
-    found = simhash_gray.near_duplicates(docs, shingle=4, distance=4)
-    surplus = found.where("doc_id <> component").select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    row = unused(docs, "_row")
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = rows.where(F.col("doc_id").isNotNull())
+    found = simhash_gray.near_duplicates(named, shingle=4, distance=4, id_col=row)
+    placed = durable(
+        found.select(F.col("doc_id").alias(row), "component").join(named.select(row, "doc_id"), row)
+    )
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", row)).alias("first"))
+    kept = first.select(F.col("first")[row].alias(row))
+    surplus = placed.select(row).join(kept, row, "left_anti")
+    return rows.join(surplus, row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +54,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the mixed order."""
     ship(spark)
-    sized = docs.withColumn("_bytes", F.octet_length("text").cast("long"))
-    mixed = pfair.mix(sized, size="_bytes")
+    size = unused(docs, "_bytes")
+    mixed = pfair.mix(docs.withColumn(size, F.octet_length("text").cast("long")), size=size)
     return mixed.orderBy("mix_slot", "mix_before").select(*docs.columns)
 
 
