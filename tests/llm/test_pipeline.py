@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from marketloom.llm import latent_decontam, pfair
@@ -159,3 +160,17 @@ def test_svd_spans_the_leading_directions(spark):
     assert v.shape == (40, 8) and np.allclose(a @ v @ v.T, a, atol=1e-6)
     assert np.allclose(v.T @ v, np.eye(8), atol=1e-8)
 
+
+
+def test_dedup_goes_by_row_and_keeps_columns(spark):
+    a, b, c = "one two three four five six", "quite another text with other words", "seven eight nine ten eleven"
+    frame = docs(spark, [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a)]).withColumn("_row", F.lit("x"))
+    kept = P.near_duplicates(spark, frame, "")
+    assert sorted((r.doc_id or 0, r.text, r._row) for r in kept.collect()) == [
+        (0, a, "x"), (1, a, "x"), (5, b, "x"), (7, c, "x"),
+    ]
+
+
+def test_mixing_leaves_a_column_of_the_same_name(spark):
+    frame = docs(spark, [(i, f"text {i}") for i in range(6)]).withColumn("_bytes", F.lit(77))
+    assert {r._bytes for r in P.mix_sources(spark, frame, "").collect()} == {77}
