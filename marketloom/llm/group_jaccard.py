@@ -29,8 +29,10 @@ from marketloom.llm.common import id_and_text, map_texts
 from marketloom.llm.simhash_gray import _merge, components
 from marketloom.session import durable
 
-# Counters of the sketch by which tokens are ordered: 4 MB at any size of the input.
-SKETCH = 1 << 20
+# Counters of the sketch by which tokens are ordered: 8 MB on the driver at any size of the input.
+SKETCH = 1 << 23
+# Rows of about 50 bytes that are sent to all tasks; more are shuffled.
+SMALL = 1 << 16
 # Tokens of a group's members, and queries of a group that one task takes.
 GROUP_TOKENS = 1 << 18
 QUERIES = 1 << 13
@@ -79,10 +81,10 @@ def _counts(slim: DataFrame, shingle: int) -> np.ndarray:
     """How many sets hold a token of each counter, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
         for batch in batches:
             tokens = np.concatenate(token_sets(batch.column("text"), shingle))
-            total += np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            np.add.at(total, (tokens % np.uint64(SKETCH)).astype(np.int64), 1)
         if total.any():
             stripes = total.reshape(-1, _STRIPE)
             yield pa.RecordBatch.from_arrays(
@@ -226,7 +228,11 @@ def _open(asked: DataFrame, sets: DataFrame, percent: int, own: bool = False) ->
     dealt = shared.withColumn(
         "share", F.explode(F.when(F.col("member"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(one))
     )
-    full = join_grouped(dealt.drop("shares"), sets, "id", "inner")
+    dealt = durable(dealt.drop("shares"))
+    if dealt.count() <= SMALL:
+        full = sets.join(F.broadcast(dealt), "id")
+    else:
+        full = join_grouped(dealt, sets, "id", "inner")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, index = None, [], None

@@ -75,6 +75,7 @@ def test_links_between_groups(spark, monkeypatch):
     """Groups of few tokens: links have to be found across them, through hubs and others."""
     monkeypatch.setattr(gj, "GROUP_TOKENS", 300)
     monkeypatch.setattr(gj, "QUERIES", 2)
+    monkeypatch.setattr(gj, "SMALL", 10)
     rows = corpus(7, 20)
     # A chain whose ends are not similar.
     chain = [str(1000 + i) for i in range(60)]
