@@ -60,7 +60,8 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     train = toxic_knn.training_rows(table(spark, sf_dir, "labels"), "toxic")
-    scored = toxic_knn.score_documents(docs, toxic_knn.build(docs, train))
+    index, vectors = toxic_knn.build(docs, train)
+    scored = toxic_knn.score_vectors(vectors, index)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 

@@ -1,9 +1,15 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index of all terms.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their first four letters. A bounded sample of labelled rows gives the examples;
 all their terms are indexed, each weighted by how far it leans to label 1 (chi-square, bounded, never
-zero); document frequencies come from all documents. A query adds up the postings of its terms, those
-of common terms as rows of a matrix, so the neighbours are exact.
+zero); document frequencies come from all documents. Words that no example has count in the norm of
+a text as words of no document. Every text is read once: its terms are stored as numbers, from which
+both the frequencies and the scores are taken.
+
+Examples that share terms stand in the same blocks. A query adds up its rare terms, which have few
+postings, and bounds what the common ones can add by their largest weight per block. Blocks are
+opened by falling bound until no bound reaches the worst neighbour, so the neighbours are exact. An
+example is not its own neighbour.
 Their votes, weighted by squared cosine and by the share of their class that was sampled, are drawn
 towards the rate of examples without any strongly leaning term, which is also the score of texts
 that share no term with an example.
@@ -14,7 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +36,12 @@ EXAMPLES = 2000
 # Chi-square at which a term weighs half as much as it can; the weight of terms that do not lean.
 MIN_CHI = 40.0
 LEAST_LEAN = 0.02
-COMMON = 32  # terms in more than one of so many examples are held as rows of a matrix
+COMMON = 64  # terms in more than one of so many examples are held by blocks
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 32
 PRIOR = 1.0
 _WORD = re.compile(r"[^\W\d_]{2,}")
+_VECTORS = "doc_id long, terms array<int>, counts array<int>, rest double"
 
 
 def term_counts(text: str) -> Counter:
@@ -45,82 +53,102 @@ def term_counts(text: str) -> Counter:
     return words
 
 
+def grouped(term: np.ndarray, place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """An order of the examples in which those that share heavy terms stand together.
+
+    A few rounds of assigning to the nearest mean, over terms folded into 256 sums. The order only
+    decides how many blocks a query opens.
+    """
+    width, means = 256, max(1, size // BLOCK)
+    folded = np.bincount(place * width + (term * 2654435761 >> 8) % width, value, size * width)
+    x = folded.reshape(size, width) / (np.linalg.norm(folded.reshape(size, width), axis=1, keepdims=True) + 1e-12)
+    centre = x[np.linspace(0, size - 1, means).astype(int)]
+    for _ in range(6):
+        near = x @ centre.T
+        group = near.argmax(1)
+        total = np.zeros_like(centre)
+        np.add.at(total, group, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centre = np.where(norm > 0, total / (norm + 1e-12), centre)
+    return np.lexsort((near.max(1), group))
+
+
 class Postings:
-    """Normed weights per term and example: a matrix for common terms, lists for all others."""
+    """Normed weights per term and example. Common terms lie in blocks of examples, with their
+    largest weight per block; the others, a few entries each, in lists."""
 
     def __init__(self, n_terms: int, size: int, term: np.ndarray, place: np.ndarray, value: np.ndarray):
-        self.size = size
+        blocks = max(1, -(-size // BLOCK))
+        self.size = blocks * BLOCK
+        self.opened = 0  # blocks opened so far
         count = np.bincount(term, minlength=n_terms)
         common = np.flatnonzero(count * COMMON > size)
         self.row = np.full(n_terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), size), np.float32)
         inside = self.row[term] >= 0
-        self.matrix[self.row[term[inside]], place[inside]] = value[inside]
+        self.matrix = np.zeros((blocks, len(common), BLOCK), np.float32)
+        self.matrix[place[inside] // BLOCK, self.row[term[inside]], place[inside] % BLOCK] = value[inside]
+        self.block_max = np.ascontiguousarray(self.matrix.max(axis=2).T)
         term, place, value = term[~inside], place[~inside], value[~inside]
         order = np.argsort(term, kind="stable")
         self.place, self.value = place[order].astype(np.int32), value[order].astype(np.float32)
         self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=n_terms))]
 
-    def cosines(self, places: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of all examples with a vector of the weights ``w`` at ``places``."""
+    def nearest(self, places: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Examples, all but ``but``, that hold the ``k`` largest cosines above zero and perhaps more,
+        with their cosines, for the weights ``w`` at the terms ``places``."""
         row = self.row[places]
-        out = (w[row >= 0].astype(np.float32) @ self.matrix[row[row >= 0]]).astype(float)
-        first = self.start[places]
-        n = self.start[places + 1] - first
+        rare = row < 0
+        first = self.start[places[rare]]
+        n = self.start[places[rare] + 1] - first
         at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        return out + np.bincount(self.place[at], np.repeat(w, n) * self.value[at], self.size)
+        cos = np.bincount(self.place[at], np.repeat(w[rare], n) * self.value[at], self.size).reshape(-1, BLOCK)
+        row, w = row[~rare], w[~rare].astype(np.float32)
+        bound = cos.max(axis=1) + w @ self.block_max[row]
+        order = np.argsort(-bound, kind="stable")
+        bound = bound[order]
+        kept, values = np.zeros(0, np.int64), np.zeros(0)
+        done, step, worst = 0, max(4, -(-2 * k // BLOCK)), 1e-9
+        # A margin for single precision: a block at the worst neighbour's value is still opened.
+        while done < len(order) and bound[done] >= worst - 1e-5 and bound[done] > 0:
+            end = min(done + step, int(np.searchsorted(-bound, -(worst - 1e-5), "right")))
+            open_ = order[done:end]
+            found = cos[open_] + np.matmul(w, self.matrix[open_[:, None], row])
+            place = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            kept, values = np.r_[kept, place], np.r_[values, found.ravel()]
+            good = (values > max(1e-9, worst - 1e-5)) & (kept != but)
+            kept, values = kept[good], values[good]
+            if len(values) >= k:
+                worst = max(worst, float(np.partition(values, -k)[-k]))
+            self.opened += len(open_)
+            done, step = end, 2 * step
+        return kept, values
 
 
 @dataclass(frozen=True)
 class Index:
     terms: dict[str, int]
     idf: np.ndarray  # per term, with its lean
-    weights: Postings | np.ndarray  # as an array: block, term, place in block; normed
-    block_max: np.ndarray | None  # term, block; for an array of weights
+    weights: Postings
     votes: np.ndarray  # per place: weight of the example's vote
     labels: np.ndarray
     ids: np.ndarray
     base: float  # rate of label 1 among examples without strongly leaning terms
+    unseen: float = 0.0  # weight of a word that no example has
 
-    def __post_init__(self):
-        if isinstance(self.weights, np.ndarray):
-            block, term, place = np.nonzero(self.weights)
-            size, value = self.weights.shape[0] * BLOCK, self.weights[block, term, place]
-            made = Postings(self.weights.shape[1], size, term, block * BLOCK + place, value)
-            object.__setattr__(self, "weights", made)
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places and normed weights of the terms of a text."""
-        words = Counter(_WORD.findall(text.lower()))
-        found: dict[int, int] = {}
-        get = self.terms.get
-        for w, n in words.items():
-            k = get(w)
-            if k is not None:
-                found[k] = found.get(k, 0) + n
-            if len(w) > 4 and (k := get(w[:4] + "*")) is not None:
-                found[k] = found.get(k, 0) + n
-        places = np.array(sorted(found), np.int64)
-        w = np.array([1.0 + np.log(found[p]) for p in places.tolist()]) * self.idf[places]
-        return places, w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def nearest(self, places: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def nearest(self, places: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the ``k`` nearest examples that share a term; ties by place."""
-        cos = self.weights.cosines(places, w)
-        near = np.flatnonzero(cos > 1e-12)
-        if len(near) > k:
-            near = near[cos[near] >= np.partition(cos[near], -k)[-k] - 1e-8]
-        best = [(float(cos[i]), i) for i in near.tolist()]
-        best.sort(key=lambda x: (-round(x[0], 9), x[1]))
+        kept, values = self.weights.nearest(places, w, k, but)
+        best = sorted(zip(values.tolist(), kept.tolist()), key=lambda x: (-round(x[0], 6), x[1]))
         return best[:k]
 
-    def score(self, text: str, k: int = NEIGHBOURS) -> tuple[float, list[int]]:
-        """The score and the ids of the nearest examples."""
-        places, w = self.vector(text)
-        if not len(places):
-            return self.base, []
-        best = self.nearest(places, w, k)
+    def score(
+        self, places: np.ndarray, counts: np.ndarray, rest: float, but: int = -1, k: int = NEIGHBOURS
+    ) -> tuple[float, list[int]]:
+        """The score of a row of ``term_vectors`` and the ids of the nearest examples."""
+        w = (1.0 + np.log(counts)) * self.idf[places]
+        norm = float((w * w).sum()) + rest * self.unseen**2
+        best = self.nearest(places, w / np.sqrt(norm), k, but) if norm > 0 and len(places) else []
         total = vote = 0.0
         for cos, i in best:
             v = cos * cos * self.votes[i]
@@ -139,10 +167,74 @@ def training_rows(labels: DataFrame, label_col: str, id_col: str = "doc_id") ->
     return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def build(
-    docs: DataFrame, train: DataFrame, examples: int = EXAMPLES
-) -> Index:
-    """Choose examples by the hash of their id, weigh all their terms, count documents per term."""
+def term_vectors(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """One row per row of ``doc_id, text``: the numbers of its terms, rising, their counts, and in
+    ``rest`` the sum of (1 + log count)^2 over its terms that have no number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Word to the numbers of itself and of its prefix; forgotten when it grows large.
+        numbers: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            if len(numbers) > 200_000:
+                numbers.clear()
+            flat, counts, ends, rests = [], [], [0], []
+            for text in batch.column("text").to_pylist():
+                found: dict[int, int] = {}
+                unknown: dict[str, int] = {}
+                for w, n in Counter(_WORD.findall(text.lower())).items():
+                    pair = numbers.get(w)
+                    if pair is None:
+                        pair = numbers[w] = (terms.get(w, -1), terms.get(w[:4] + "*", -1) if len(w) > 4 else -2)
+                    one, two = pair
+                    if one >= 0:
+                        found[one] = n
+                    else:
+                        unknown[w] = n
+                    if two >= 0:
+                        found[two] = found.get(two, 0) + n
+                    elif two == -1:
+                        unknown[w[:4] + "*"] = unknown.get(w[:4] + "*", 0) + n
+                places = sorted(found)
+                flat += places
+                counts += [found[p] for p in places]
+                ends.append(len(flat))
+                rests.append(sum((1 + log(n)) ** 2 if n > 1 else 1.0 for n in unknown.values()))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())),
+                    pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32())),
+                    pa.array(rests, pa.float64()),
+                ],
+                ["doc_id", "terms", "counts", "rest"],
+            )
+
+    return map_texts(docs, run, _VECTORS)
+
+
+def frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """Documents per term, and documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n_terms + 1, np.int64)
+        for batch in batches:
+            df[:-1] += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=n_terms)
+            df[-1] += batch.num_rows
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(df[held])], ["i", "n"])
+
+    df = np.zeros(n_terms + 1, np.int64)
+    for r in vectors.select("terms").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        df[r["i"]] = r["n"]
+    return df[:-1], int(df[-1])
+
+
+def build(docs: DataFrame, train: DataFrame, examples: int = EXAMPLES) -> tuple[Index, DataFrame]:
+    """The index and the stored term vectors of all documents, which ``score_vectors`` takes.
+
+    Examples are chosen by the hash of their id; all their terms are weighed.
+    """
     texts = id_and_text(docs)
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -171,37 +263,12 @@ def build(
     chi_of = np.array([chis[t] for t in known])
     lean = LEAST_LEAN + (1 - LEAST_LEAN) * chi_of**2 / (chi_of**2 + MIN_CHI**2)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(known) + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                df[[known[t] for t in term_counts(text).keys() & known.keys()]] += 1
-                n += 1
-        df[-1] = n
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(df[held])], ["i", "n"])
-
-    counted = map_texts(texts, frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    df = {r["i"]: r["n"] for r in counted.collect()}
-    n_docs = df.get(len(known), 0)
-    idf = lean * np.array([np.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(known))])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [term_counts(t) for t in batch.column("text").to_pylist()]
-            hits = [{known[t]: n for t, n in r.items() if t in known} for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("label"),
-                    pa.array([list(h) for h in hits], pa.list_(pa.int32())),
-                    pa.array([list(h.values()) for h in hits], pa.list_(pa.int32())),
-                ],
-                ["doc_id", "label", "terms", "counts"],
-            )
-
-    kind = "doc_id long, label int, terms array<int>, counts array<int>"
-    rows = sorted(map_texts(sample, vectors, kind).collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"]))
+    vectors = durable(term_vectors(texts, known))
+    df, n_docs = frequencies(vectors, len(known))
+    idf = lean * (np.log((1 + n_docs) / (1 + df)) + 1)
+    chosen_ids = sample.select("doc_id", "label").distinct()
+    rows = term_vectors(sample.select("doc_id", "text"), known).join(F.broadcast(chosen_ids), "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["terms"], r["counts"], r["rest"]))
     # Each sampled example stands for this many rows of its class.
     stands = {0: sizes.get(0, 0) / max(n0, 1), 1: sizes.get(1, 0) / max(n1, 1)}
     bare = [r["label"] for r in rows if not (chi_of[np.array(r["terms"], int)] >= MIN_CHI).any()]
@@ -212,28 +279,38 @@ def build(
     rows = [r for r in rows if r["terms"]]
     size = max(1, len(rows))
     votes, labels, ids = np.zeros(size), np.zeros(size, np.int8), np.zeros(size, np.int64)
+    unseen = LEAST_LEAN * (np.log(1 + n_docs) + 1)
     parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for i, r in enumerate(rows):
         w = (1 + np.log(np.array(r["counts"], float))) * idf[r["terms"]]
         parts.append((np.array(r["terms"]), np.full(len(w), i), w / np.sqrt((w * w).sum())))
         votes[i], labels[i], ids[i] = stands[r["label"]], r["label"], r["doc_id"]
-    weights = Postings(len(known), size, *map(np.concatenate, zip(*parts)))
+    term, place, value = map(np.concatenate, zip(*parts))
+    order = grouped(term, place, value, size)
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    weights = Postings(len(known), size, term, rank[place], value)
     least = max(min((v for v in stands.values() if v), default=1.0), 1e-9)
-    return Index(known, idf, weights, None, votes / least, labels, ids, float(base))
+    index = Index(known, idf, weights, votes[order] / least, labels[order], ids[order], float(base), float(unseen))
+    return index, vectors
 
 
-def score_documents(
-    docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: ``doc_id``, ``score``, ``predicted``, ``evidence`` (nearest examples).
-
-    Null texts count as empty and get the score of texts without terms; null ids and repeated rows
-    are kept; an empty table gives an empty result.
-    """
+def score_vectors(vectors: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
+    """One row per row of ``term_vectors``: ``doc_id``, ``score``, ``predicted``, ``evidence``."""
+    index = replace(index, terms={})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {int(d): i for i, d in enumerate(index.ids) if index.votes[i] > 0}
         for batch in batches:
-            found = [index.score(t) for t in batch.column("text").to_pylist()]
+            doc_ids, rests = batch.column("doc_id").to_pylist(), batch.column("rest").to_pylist()
+            ends = batch.column("terms").offsets.to_numpy()
+            terms, counts = (batch.column(c).values.to_numpy() for c in ("terms", "counts"))
+            starts = batch.column("counts").offsets.to_numpy()
+            found = []
+            for i, (d, rest) in enumerate(zip(doc_ids, rests)):
+                n = ends[i + 1] - ends[i]
+                at, c = terms[ends[i] : ends[i + 1]], counts[starts[i] : starts[i] + n]
+                found.append(index.score(at, c, rest, own.get(d, -1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -244,5 +321,16 @@ def score_documents(
                 ["doc_id", "score", "predicted", "evidence"],
             )
 
-    schema = "doc_id long, score double, predicted int, evidence array<long>"
-    return map_texts(id_and_text(docs, id_col, text_col), run, schema)
+    return map_texts(vectors, run, "doc_id long, score double, predicted int, evidence array<long>")
+
+
+def score_documents(
+    docs: DataFrame, index: Index, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``score``, ``predicted``, ``evidence`` (nearest examples).
+
+    Null texts count as empty and get the score of texts without terms; null ids and repeated rows
+    are kept; an empty table gives an empty result. A row with the id of an example does not have
+    that example among its neighbours.
+    """
+    return score_vectors(term_vectors(id_and_text(docs, id_col, text_col), index.terms), index, threshold)

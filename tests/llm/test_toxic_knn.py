@@ -31,8 +31,9 @@ def test_held_out_rows_and_edges(spark):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     train = K.training_rows(table, "toxic")
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in train.collect())
-    index = K.build(df, train)
+    index, vectors = K.build(df, train)
     got = K.score_documents(df, index).collect()
+    assert sorted(map(str, got)) == sorted(map(str, K.score_vectors(vectors, index).collect()))
     assert len(got) == len(rows)
     held = [r for r in got if r.doc_id is not None and r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert len(held) > 200
@@ -42,8 +43,8 @@ def test_held_out_rows_and_edges(spark):
     assert by[2002].predicted == 1 and by[None].predicted == 1 and by[None].evidence
     assert all(0 <= r.score <= 1 for r in got)
     none = df.where("doc_id > 9999")
-    assert K.score_documents(none, K.build(none, train)).count() == 0
-    bare = K.build(df, train.where("label = 0"))
+    assert K.score_documents(none, K.build(none, train)[0]).count() == 0
+    bare, _ = K.build(df, train.where("label = 0"))
     assert not bare.terms and K.score_documents(df, bare).where("predicted = 1").count() == 0
 
 
@@ -54,23 +55,58 @@ def test_neighbours_equal_all_cosines():
     x[x.sum(1) == 0, 0] = 1.0
     x[10] = x[200]  # a tie
     x /= np.linalg.norm(x, axis=1)[:, None]
-    blocks = -(-n // K.BLOCK)
-    weights = np.zeros((blocks, d, K.BLOCK), np.float32)
-    for i in range(n):
-        weights[i // K.BLOCK, :, i % K.BLOCK] = x[i]
-    size = blocks * K.BLOCK
-    index = K.Index({}, np.ones(d), weights, weights.max(axis=2).T.copy(), np.ones(size), np.zeros(size), np.arange(size), 0.0)
+    place, term = np.nonzero(x)
+    postings = K.Postings(d, n, term, place, x[place, term])
+    index = K.Index({}, np.ones(d), postings, np.ones(n), np.zeros(n), np.arange(n), 0.0)
     for _ in range(50):
         places = np.sort(rnd.choice(d, rnd.integers(1, 6), replace=False))
         w = rnd.random(len(places))
         w /= np.linalg.norm(w)
         cosines = x[:, places] @ w
-        best = index.nearest(places, w, 25)
-        want = sorted(cosines[cosines > 1e-12], reverse=True)[:25]
+        but = int(rnd.integers(-1, n))
+        if but >= 0:
+            cosines[but] = 0
+        best = index.nearest(places, w, 25, but)
+        want = sorted(cosines[cosines > 1e-9], reverse=True)[:25]
         assert np.allclose([c for c, _ in best], want, atol=1e-5)
         assert np.allclose([cosines[i] for _, i in best], want, atol=1e-5)
 
 
+def test_blocks_are_skipped():
+    """Examples of ten vocabularies, common and rare terms: few blocks are opened, none is missed."""
+    rnd = np.random.default_rng(5)
+    n, each = 1000, 60
+    x = np.zeros((n, 10 * each))
+    for i in range(n):
+        at = (i % 10) * each + np.minimum(rnd.geometric(0.08, 25), each) - 1
+        x[i, at] = rnd.random(25) + 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    place, term = np.nonzero(x)
+    order = K.grouped(term, place, x[place, term], n)
+    assert sorted(order) == list(range(n))
+    rank = np.argsort(order)
+    postings = K.Postings(x.shape[1], n, term, rank[place], x[place, term])
+    assert 0 < (postings.row >= 0).sum() < x.shape[1]
+    for i in range(100):
+        query = x[i] * (rnd.random(x.shape[1]) < 0.6)
+        places = np.flatnonzero(query)
+        w = query[places] / np.linalg.norm(query)
+        kept, values = postings.nearest(places, w, 25)
+        cosines = (x[:, places] @ w)[order]
+        assert np.allclose(cosines[kept], values, atol=1e-5)
+        assert np.allclose(np.sort(values)[-25:], np.sort(cosines)[-25:], atol=1e-5)
+    assert postings.opened < 100 * len(postings.matrix) / 3
+
+
+def test_an_example_is_not_its_own_neighbour(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(prose(rnd, 30) + ["blorst"] * 3 * (i < 30))) for i in range(200)]
+    train = spark.createDataFrame([(i, int(i < 30)) for i in range(200)], "doc_id long, label int")
+    df = docs(spark, rows)
+    got = K.score_documents(df, K.build(df, train)[0]).collect()
+    assert all(r.evidence and r.doc_id not in r.evidence for r in got)
+
+
 def prose(rnd, n):
     return [f"c{chr(97 + k // 26)}{chr(97 + k % 26)}lm" for k in (rnd.randrange(300) for _ in range(n))]
 
@@ -82,7 +118,7 @@ def test_few_labelled_rows(spark):
     rows += [(100, " ".join(prose(rnd, 20) + ["blorst"] * 2)), (101, " ".join(prose(rnd, 20)))]
     train = spark.createDataFrame([(i, int(i < 12)) for i in range(24)], "doc_id long, label int")
     df = docs(spark, rows)
-    got = {r.doc_id: r for r in K.score_documents(df, K.build(df, train)).collect()}
+    got = {r.doc_id: r for r in K.score_documents(df, K.build(df, train)[0]).collect()}
     assert got[100].predicted == 1 and got[101].predicted == 0
 
 
@@ -94,7 +130,7 @@ def test_rare_words_are_indexed(spark):
     rows += [(1000, " ".join(prose(rnd, 30) + ["raremark"])), (1001, "caalm cablm")]
     train = spark.createDataFrame([(i, int(i < 60)) for i in range(600)], "doc_id long, label int")
     df = docs(spark, rows)
-    index = K.build(df, train)
+    index, _ = K.build(df, train)
     assert {"raremark", "rare*", "caalm", "caal*"} <= index.terms.keys()
     got = {r.doc_id: r for r in K.score_documents(df, index).collect()}
     assert got[1000].score > 0.5 and set(got[1000].evidence) <= set(range(5))
