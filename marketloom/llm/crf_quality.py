@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import id_and_text, map_texts
 
-# Rows of labels and lines of each of their documents that the fit reads at most.
+# Rows of labels that the fit reads at most; lines of a piece of their documents.
 SAMPLE_DOCS = 1500
-SAMPLE_LINES = 32
+PIECE = 64
 MIN_SHARE = 0.5
 WINDOW = 8
 
@@ -168,7 +168,11 @@ def fit_on_labels(
     text_col: str = "text",
     label_col: str = "quality",
 ) -> Field:
-    """Fit on at most ``sample`` labelled documents, chosen by the hash of their id."""
+    """Fit on all lines of at most ``sample`` labelled documents, chosen by the hash of their id.
+
+    Long documents train as consecutive pieces of ``PIECE`` lines, so that one of them does not set
+    the width of the arrays; only the step from one piece to the next is left out.
+    """
     chosen = (
         labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].alias("label"))
         .where("doc_id is not null and label in (0, 1)")
@@ -178,10 +182,7 @@ def fit_on_labels(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                lines = text.encode().split(b"\n")[:SAMPLE_LINES]
-                rows.append(_sequence(b"\n".join(lines))[0].ravel().tolist())
+            rows = [_sequence(text.encode())[0].ravel().tolist() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))],
                 ["doc_id", "label", "features"],
@@ -190,8 +191,13 @@ def fit_on_labels(
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     rows = map_texts(texts, run, "doc_id long, label int, features array<double>").collect()
     rows = sorted(((r.doc_id, r.label, r.features) for r in rows if r.features))
-    sequences = [np.array(f).reshape(-1, len(FEATURES)) for _, _, f in rows]
-    return fit(sequences, [label for _, label, _ in rows])
+    pieces, of = [], []
+    for _, label, f in rows:
+        lines = np.array(f).reshape(-1, len(FEATURES))
+        cut = [lines[k : k + PIECE] for k in range(0, len(lines), PIECE)]
+        pieces += cut
+        of += [label] * len(cut)
+    return fit(pieces, of)
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:

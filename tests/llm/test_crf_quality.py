@@ -101,3 +101,16 @@ def test_fit_climbs_the_likelihood():
     assert field.decode(bad[0]).tolist() == [0] * 4
     mixed = np.concatenate([good[0], bad[0]])
     assert 0 in field.decode(mixed) and 1 in field.decode(mixed)
+
+
+def test_late_lines_train(spark):
+    """Poor documents that differ from good ones only behind their first hundred lines."""
+    rnd = random.Random(12)
+    calm = lambda n: "\n".join(prose(rnd, 12) for _ in range(n))
+    late = lambda: "\n".join(f"##|| 7{k}" for k in range(60))
+    rows = [(i, calm(100) + "\n" + (late() if i % 2 else calm(60))) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, quality int")
+    field = C.fit_on_labels(docs(spark, rows), labels)
+    assert len(C._sequence(rows[1][1].encode())[0]) == 160
+    assert field.decode(C._sequence(late().encode())[0]).mean() == 0
+    assert field.decode(C._sequence(rows[0][1].encode())[0]).mean() > 0.9
