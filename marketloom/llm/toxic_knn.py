@@ -36,9 +36,10 @@ EXAMPLES = 2000
 # Chi-square at which a term weighs half as much as it can; the weight of terms that do not lean.
 MIN_CHI = 40.0
 LEAST_LEAN = 0.02
-COMMON = 64  # terms in more than one of so many examples are held by blocks
+COMMON = 16  # terms in more than one of so many examples are held by blocks
 NEIGHBOURS = 25
 BLOCK = 32
+QUERIES = 128  # documents that are searched together
 PRIOR = 1.0
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _VECTORS = "doc_id long, terms array<int>, counts array<int>, rest double"
@@ -94,35 +95,61 @@ class Postings:
         self.place, self.value = place[order].astype(np.int32), value[order].astype(np.float32)
         self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=n_terms))]
 
-    def nearest(self, places: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples, all but ``but``, that hold the ``k`` largest cosines above zero and perhaps more,
-        with their cosines, for the weights ``w`` at the terms ``places``."""
+    def search(
+        self, ends: np.ndarray, places: np.ndarray, w: np.ndarray, k: int, but: np.ndarray
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query the examples, all but ``but``, that hold the ``k`` largest cosines above zero and
+        perhaps a few more, with their cosines.
+
+        Query i has the weights ``w`` at the terms ``places`` from ``ends[i]`` to ``ends[i + 1]``. A
+        block is opened for all queries of the batch at once that its bound does not rule out.
+        """
+        m = len(ends) - 1
+        query = np.repeat(np.arange(m), np.diff(ends))
         row = self.row[places]
         rare = row < 0
         first = self.start[places[rare]]
         n = self.start[places[rare] + 1] - first
         at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        cos = np.bincount(self.place[at], np.repeat(w[rare], n) * self.value[at], self.size).reshape(-1, BLOCK)
-        row, w = row[~rare], w[~rare].astype(np.float32)
-        bound = cos.max(axis=1) + w @ self.block_max[row]
-        order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        kept, values = np.zeros(0, np.int64), np.zeros(0)
-        done, step, worst = 0, max(4, -(-2 * k // BLOCK)), 1e-9
-        # A margin for single precision: a block at the worst neighbour's value is still opened.
-        while done < len(order) and bound[done] >= worst - 1e-5 and bound[done] > 0:
-            end = min(done + step, int(np.searchsorted(-bound, -(worst - 1e-5), "right")))
-            open_ = order[done:end]
-            found = cos[open_] + np.matmul(w, self.matrix[open_[:, None], row])
-            place = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            kept, values = np.r_[kept, place], np.r_[values, found.ravel()]
-            good = (values > max(1e-9, worst - 1e-5)) & (kept != but)
-            kept, values = kept[good], values[good]
-            if len(values) >= k:
-                worst = max(worst, float(np.partition(values, -k)[-k]))
-            self.opened += len(open_)
-            done, step = end, 2 * step
-        return kept, values
+        cell = np.repeat(query[rare] * self.size, n) + self.place[at]
+        cos = np.bincount(cell, np.repeat(w[rare], n) * self.value[at], m * self.size).reshape(m, -1, BLOCK)
+        q = np.zeros((m, len(self.block_max)), np.float32)
+        q[query[~rare], row[~rare]] = w[~rare]
+        bound = cos.max(axis=2) + q @ self.block_max
+        order = np.argsort(-bound, axis=1, kind="stable")
+        rank = np.empty(bound.shape, np.int64)
+        np.put_along_axis(rank, order, np.arange(bound.shape[1])[None], axis=1)
+        value = np.full((m, self.size), -1.0, np.float32)
+        done, worst = np.zeros(bound.shape, bool), np.full(m, 1e-9)
+        step = max(2, -(-2 * k // BLOCK))
+        own = np.flatnonzero(but >= 0)
+        while True:
+            # A margin for single precision: a block at the worst neighbour's value is still opened.
+            open_ = ~done & (rank < step) & (bound > 0) & (bound >= worst[:, None] - 1e-5)
+            for b in np.flatnonzero(open_.any(axis=0)).tolist():
+                of = np.flatnonzero(open_[:, b])
+                value[of, b * BLOCK : (b + 1) * BLOCK] = cos[of, b] + q[of] @ self.matrix[b]
+            value[own, but[own]] = -1.0
+            done |= open_
+            self.opened += int(open_.sum())
+            if step >= bound.shape[1]:
+                break
+            # The worst neighbour among the blocks of the highest bounds.
+            seen = value.reshape(cos.shape)[np.arange(m)[:, None], order[:, :step]].reshape(m, -1)
+            worst = np.maximum(worst, np.partition(seen, -k, axis=1)[:, -k])
+            step *= 4
+        out = []
+        for i in range(m):
+            kept = np.flatnonzero(value[i] >= max(worst[i] - 1e-5, 1e-9))
+            if len(kept) > k:
+                kept = kept[value[i, kept] >= np.partition(value[i, kept], -k)[-k] - 1e-5]
+            mine = slice(ends[i], ends[i + 1])
+            has = ~rare[mine]
+            block, inside = kept // BLOCK, kept % BLOCK
+            # Again in double precision, so that a value does not depend on the batch.
+            dense = self.matrix[block[:, None], row[mine][has], inside[:, None]] * w[mine][has]
+            out.append((kept, cos[i].ravel()[kept] + dense.sum(axis=1)))
+        return out
 
 
 @dataclass(frozen=True)
@@ -136,26 +163,34 @@ class Index:
     base: float  # rate of label 1 among examples without strongly leaning terms
     unseen: float = 0.0  # weight of a word that no example has
 
-    def nearest(self, places: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the ``k`` nearest examples that share a term; ties by place."""
-        kept, values = self.weights.nearest(places, w, k, but)
-        best = sorted(zip(values.tolist(), kept.tolist()), key=lambda x: (-round(x[0], 6), x[1]))
-        return best[:k]
-
-    def score(
-        self, places: np.ndarray, counts: np.ndarray, rest: float, but: int = -1, k: int = NEIGHBOURS
-    ) -> tuple[float, list[int]]:
-        """The score of a row of ``term_vectors`` and the ids of the nearest examples."""
+    def nearest(
+        self, ends: np.ndarray, places: np.ndarray, w: np.ndarray, k: int, but: np.ndarray
+    ) -> list[list[tuple[float, int]]]:
+        """Per query (cosine, place) of the ``k`` nearest examples that share a term; ties by place."""
+        out = []
+        for kept, values in self.weights.search(ends, places, w, k, but):
+            best = np.lexsort((kept, -np.round(values, 9)))[:k]
+            out.append(list(zip(values[best].tolist(), kept[best].tolist())))
+        return out
+
+    def scores(
+        self, ends: np.ndarray, places: np.ndarray, counts: np.ndarray, rest: np.ndarray, but: np.ndarray, k: int = NEIGHBOURS
+    ) -> list[tuple[float, list[int]]]:
+        """The scores of rows of ``term_vectors`` and the ids of their nearest examples."""
         w = (1.0 + np.log(counts)) * self.idf[places]
-        norm = float((w * w).sum()) + rest * self.unseen**2
-        best = self.nearest(places, w / np.sqrt(norm), k, but) if norm > 0 and len(places) else []
-        total = vote = 0.0
-        for cos, i in best:
-            v = cos * cos * self.votes[i]
-            total += v
-            vote += v * self.labels[i]
-        rate = (vote + PRIOR * self.base) / (total + PRIOR)
-        return min(1.0, max(0.0, rate)), [int(self.ids[i]) for _, i in best[:3]]
+        query = np.repeat(np.arange(len(rest)), np.diff(ends))
+        norm = np.bincount(query, w * w, len(rest)) + rest * self.unseen**2
+        w = w / np.sqrt(norm)[query]
+        out = []
+        for best in self.nearest(ends, places, w, k, but):
+            total = vote = 0.0
+            for cos, i in best:
+                v = cos * cos * self.votes[i]
+                total += v
+                vote += v * self.labels[i]
+            rate = (vote + PRIOR * self.base) / (total + PRIOR)
+            out.append((min(1.0, max(0.0, float(rate))), [int(self.ids[i]) for _, i in best[:3]]))
+        return out
 
 
 def training_rows(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
@@ -302,15 +337,18 @@ def score_vectors(vectors: DataFrame, index: Index, threshold: float = 0.7) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {int(d): i for i, d in enumerate(index.ids) if index.votes[i] > 0}
         for batch in batches:
-            doc_ids, rests = batch.column("doc_id").to_pylist(), batch.column("rest").to_pylist()
-            ends = batch.column("terms").offsets.to_numpy()
-            terms, counts = (batch.column(c).values.to_numpy() for c in ("terms", "counts"))
-            starts = batch.column("counts").offsets.to_numpy()
+            but = np.array([own.get(d, -1) for d in batch.column("doc_id").to_pylist()], np.int64)
+            rest = batch.column("rest").to_numpy()
+            ends = batch.column("terms").offsets.to_numpy().astype(np.int64)
+            from_ = int(batch.column("counts").offsets[0].as_py())
+            places = batch.column("terms").values.to_numpy()[ends[0] : ends[-1]]
+            counts = batch.column("counts").values.to_numpy()[from_ : from_ + len(places)]
+            ends -= ends[0]
             found = []
-            for i, (d, rest) in enumerate(zip(doc_ids, rests)):
-                n = ends[i + 1] - ends[i]
-                at, c = terms[ends[i] : ends[i + 1]], counts[starts[i] : starts[i] + n]
-                found.append(index.score(at, c, rest, own.get(d, -1)))
+            for a in range(0, len(rest), QUERIES):
+                b = min(a + QUERIES, len(rest))
+                part = slice(ends[a], ends[b])
+                found += index.scores(ends[a : b + 1] - ends[a], places[part], counts[part], rest[a:b], but[a:b])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -66,7 +66,7 @@ def test_neighbours_equal_all_cosines():
         but = int(rnd.integers(-1, n))
         if but >= 0:
             cosines[but] = 0
-        best = index.nearest(places, w, 25, but)
+        best = index.nearest(np.array([0, len(w)]), places, w, 25, np.array([but]))[0]
         want = sorted(cosines[cosines > 1e-9], reverse=True)[:25]
         assert np.allclose([c for c, _ in best], want, atol=1e-5)
         assert np.allclose([cosines[i] for _, i in best], want, atol=1e-5)
@@ -87,14 +87,19 @@ def test_blocks_are_skipped():
     rank = np.argsort(order)
     postings = K.Postings(x.shape[1], n, term, rank[place], x[place, term])
     assert 0 < (postings.row >= 0).sum() < x.shape[1]
-    for i in range(100):
-        query = x[i] * (rnd.random(x.shape[1]) < 0.6)
-        places = np.flatnonzero(query)
-        w = query[places] / np.linalg.norm(query)
-        kept, values = postings.nearest(places, w, 25)
-        cosines = (x[:, places] @ w)[order]
-        assert np.allclose(cosines[kept], values, atol=1e-5)
-        assert np.allclose(np.sort(values)[-25:], np.sort(cosines)[-25:], atol=1e-5)
+    queries = x[:100] * (rnd.random((100, x.shape[1])) < 0.6)
+    queries[7] = 0
+    at, places = np.nonzero(queries)
+    w = queries[at, places]
+    ends = np.r_[0, np.cumsum(np.bincount(at, minlength=100))]
+    but = np.where(np.arange(100) % 2, rank[:100], -1)
+    for i, (kept, values) in enumerate(postings.search(ends, places, w, 25, but)):
+        cosines = (x @ queries[i])[order]
+        if but[i] >= 0:
+            cosines[but[i]] = 0
+        assert np.allclose(cosines[kept], values, atol=1e-6)
+        want = np.sort(cosines[cosines > 1e-9])[-25:]
+        assert np.allclose(np.sort(values)[-25:], want, atol=1e-6)
     assert postings.opened < 100 * len(postings.matrix) / 3
 
 
