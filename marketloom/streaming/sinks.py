@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketloom.functions.keyed import only_keys
 from marketloom.operators.order_changes import fold_order_log
+from marketloom.streaming.store import KeyedStore
 
 
 def write_changelog(reduced: DataFrame, path: str, available_now: bool = False) -> StreamingQuery:
@@ -31,16 +32,12 @@ def write_changelog(reduced: DataFrame, path: str, available_now: bool = False)
     return writer.start()
 
 
-def read_changelog(
-    spark: SparkSession, path: str, keys: list[str], schema, before: int | None = None
-) -> DataFrame:
-    """Newest row per key of a changelog; ``before`` leaves out that batch and later ones."""
+def read_changelog(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
+    """Newest row per key of a changelog."""
     try:
         rows = spark.read.schema(schema).parquet(f"{path}/log")
     except AnalysisException:  # no batch was written yet
         return spark.createDataFrame([], schema)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
     rest = [c for c in schema.names if c not in keys]
     return (
         rows.groupBy(*keys)
@@ -50,17 +47,23 @@ def read_changelog(
 
 
 def fold_stream(
-    log: DataFrame, orders: DataFrame, path: str, available_now: bool = False
+    log: DataFrame,
+    orders: DataFrame,
+    path: str,
+    available_now: bool = False,
+    buckets: int = 64,
+    fan: int = 8,
 ) -> StreamingQuery:
     """Start a query that applies an order log batch by batch and decides every event.
 
     Each micro-batch is folded by the batch operator, from the orders as earlier batches left them:
-    changed orders go to the changelog ``path/log``, events with ``accepted`` to
+    ``order_store`` holds these below ``path/orders``, events with ``accepted`` go to
     ``path/decisions``, the events as they came to ``path/events``. Rows of one batch are taken by
-    ``seq``, batches as they arrive. Only the orders that a batch names are read further, but the
-    changelog is searched for them every time, so use few large batches.
+    ``seq``, batches as they arrive. The stream begins with ``orders`` as its first batch finds them;
+    from then on a batch reads the buckets of the orders that it names and nothing else.
     """
     spark = orders.sparkSession
+    store = order_store(orders, path, buckets, fan)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A stream's own session has adaptive execution turned off, so the batch is stored and then
@@ -68,13 +71,13 @@ def fold_stream(
         stored = f"{path}/events/batch={batch_id}"
         batch.write.mode("overwrite").parquet(stored)
         events = spark.read.schema(batch.schema).parquet(stored)
-        named = only_keys(orders, events, "Oid")
-        changed = read_changelog(spark, path, ["Oid"], orders.schema, before=batch_id)
-        earlier = only_keys(changed, events, "Oid")
-        untouched = named.join(earlier.select("Oid"), "Oid", "left_anti").select(*named.columns)
-        state, decisions = fold_order_log(untouched.unionByName(earlier), events)
+        if batch_id == 0:
+            store.start(orders)
+        held = store.stored(batch_id, store.buckets_of(events))
+        named = store.newest(only_keys(held, events, "Oid"))
+        state, decisions = fold_order_log(named, events)
         decisions.write.mode("overwrite").parquet(f"{path}/decisions/batch={batch_id}")
-        state.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        store.put(batch_id, state)
 
     writer = log.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write)
     if available_now:
@@ -82,6 +85,11 @@ def fold_stream(
     return writer.start()
 
 
+def order_store(orders: DataFrame, path: str, buckets: int = 64, fan: int = 8) -> KeyedStore:
+    """The orders of the stream that ``fold_stream`` runs at ``path``."""
+    return KeyedStore(orders.sparkSession, f"{path}/orders", orders.schema, "Oid", buckets, fan)
+
+
 def run_available(reduced: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Run a reduced stream over all that its source holds and return the newest row per key."""
     spark = reduced.sparkSession

@@ -1,11 +1,13 @@
 """Streams over files that arrive in several batches give what the batch operators give."""
 
 import random
+import re
 
 import pytest
 from conftest import frame, money, rows
 from pyspark.sql import functions as F
 from test_order_changes import LOG, orders_frame, random_log
+from test_plans import physical
 
 from marketloom.functions.dates import start_of
 from marketloom.operators import order_changes as oc
@@ -13,10 +15,12 @@ from marketloom.operators import shop_changes as sc
 from marketloom.streaming import changes as streams
 from marketloom.streaming.sinks import (
     fold_stream,
+    order_store,
     read_changelog,
     run_available,
     write_changelog,
 )
+from marketloom.streaming.store import KeyedStore
 
 
 def arriving(spark, df, folder, files, order="seq"):
@@ -63,9 +67,62 @@ def test_order_decisions(spark, tmp_path):
     got = spark.read.parquet(f"{out}/decisions")
     assert got.select("batch").distinct().count() == 4
     assert as_set(got.drop("batch")) == as_set(want)
-    state = read_changelog(spark, out, ["Oid"], table.schema)
-    named = want_state.join(log.select("Oid").distinct(), "Oid", "left_semi")
-    assert as_set(state) == as_set(named)
+    store = order_store(table, out)
+    assert as_set(store.newest(store.stored(4))) == as_set(want_state)
+
+
+def test_order_decisions_over_many_batches(spark, tmp_path):
+    """Twenty batches, merged by twos with a new base after every fourth; the rows that a batch reads
+    are bounded by its buckets, not by what came before."""
+    rng = random.Random(3)
+    table = orders_frame(spark, *[("shipped", rng.choice(["cod", None])) for _ in range(40)])
+    log = spark.createDataFrame(random_log(rng, 200, range(1, 43), hot=1), LOG)
+    stream = arriving(spark, log, str(tmp_path / "in"), 20)
+    out = str(tmp_path / "out")
+    fold_stream(stream, table, out, available_now=True, buckets=8, fan=2).awaitTermination()
+    want_state, want = oc.fold_order_log(table, log)
+    assert as_set(spark.read.parquet(f"{out}/decisions").drop("batch")) == as_set(want)
+    store = order_store(table, out, buckets=8, fan=2)
+    assert as_set(store.newest(store.stored(20))) == as_set(want_state)
+    for batch in (3, 7, 11, 15, 19):  # the batches that find most folders: base, 2 batches, 1 batch
+        events = spark.read.parquet(f"{out}/events/batch={batch}")
+        buckets = store.buckets_of(events)
+        held = [v for v, _ in store.folders(batch)]
+        assert held == [batch - 4, batch - 2, batch - 1]
+        counts = dict(store.stored(batch, buckets).groupBy("_version").count().collect())
+        keys = table.where(store.bucket().isin(buckets)).count()
+        assert counts[held[0]] == keys
+        assert sum(counts.values()) <= 3 * keys
+        plan = physical(store.stored(batch, buckets))
+        assert len(re.findall(r"PartitionFilters: \[[^\]]*_bucket", plan)) == len(held)
+
+
+def test_store_folders():
+    """Folders before a batch cover all earlier batches once, in order, and are few."""
+    store = KeyedStore(None, "p", None, "k", fan=3)
+    assert store.folders(0) == [(-1, "p/base/before=0")]
+    assert store.folders(14) == [
+        (8, "p/base/before=9"),
+        (11, "p/log/level=1/upto=11"),
+        (12, "p/log/level=0/upto=12"),
+        (13, "p/log/level=0/upto=13"),
+    ]
+    assert max(len(store.folders(b)) for b in range(100)) == 5
+    assert all(store.folders(b)[-1][0] == b - 1 for b in range(100))
+
+
+def test_store_of_unknown_and_missing_keys(spark, tmp_path):
+    """Batches that name no known order, or none at all, leave the orders as they are."""
+    table = orders_frame(spark, ("shipped", None), ("waiting", "cod"))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([(1, 99, "cancel", None, None)], [(2, None, "cancel", None, None)]):
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(LOG).parquet(folder)
+        fold_stream(stream, table, out, available_now=True).awaitTermination()
+    decisions = rows(spark.read.parquet(f"{out}/decisions"))
+    assert [r["accepted"] for r in decisions] == [False, False]
+    store = order_store(table, out)
+    assert as_set(store.newest(store.stored(2))) == as_set(table)
 
 
 def test_favorites(spark, tmp_path, edge):
