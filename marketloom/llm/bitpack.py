@@ -233,7 +233,7 @@ def write_packed(
     """Encode whole texts and write them in the order of ``order`` (default: ascending id).
 
     Null texts count as empty and keep their end id; rows with a null id come first; repeated ids
-    stay, ordered by text. An empty table writes a table without rows. The order holds over the
+    stay, ordered by a hash of their text. An empty table writes a table without rows. The order holds over the
     shards: shard by shard, chunk by chunk, ``shard_start`` counts the ids of a shard before a
     chunk, ``doc_starts`` those of a chunk before a document.
     """
@@ -280,7 +280,10 @@ def write_packed(
         if n:
             yield row()
 
-    dealt = texts.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "text")
+    # Many rows may share an id or have none; their texts divide them.
+    ranges = list(dict.fromkeys([*keys, "doc_id", "_tie"]))
+    tied = texts.withColumn("_tie", F.xxhash64("text"))
+    dealt = tied.repartitionByRange(*ranges).sortWithinPartitions(*ranges, "text")
     dealt.select("doc_id", "text").mapInArrow(run, _CHUNK).write.parquet(path)
 
 

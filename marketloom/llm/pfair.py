@@ -103,7 +103,8 @@ def mix(
     document counts one byte more for its end. A document that is longer than a block uses up the
     blocks it covers. A null source is a source of its own. Sources that ``weights`` leaves out
     come after all others, evenly; without ``weights`` a source's share grows with a power of its
-    size. Rows with a null id come first in their source, repeated rows stay. Columns of ``docs``
+    size. Rows with a null id come first in their source, rows of one id go by a hash of all their
+    columns, repeated rows stay. Columns of ``docs``
     with the three names are replaced. An empty table gives an empty result.
     """
     name = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source_col))
@@ -114,8 +115,11 @@ def mix(
         F.col(id_col).alias("_id"),
         name.alias("_source"),
         (F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)) + 1).alias("_size"),
+        # Many rows may share an id or have none; their contents put them in order and divide them.
+        F.xxhash64(*[c for c, kind in held.dtypes if "map<" not in kind]).alias("_tie"),
     )
-    dealt = rows.repartitionByRange("_source", "_id").sortWithinPartitions("_source", "_id")
+    order = ["_source", "_id", "_tie"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     schema = T.StructType(
         [*dealt.schema, T.StructField("_part", T.IntegerType()), T.StructField("_in_part", T.LongType())]
     )
@@ -141,8 +145,8 @@ def mix(
     stored = durable(dealt.mapInArrow(run, schema))
     # One row per source and partition that holds it: sources plus partitions at most.
     totals = stored.groupBy("_source", "_part").agg(F.max(F.col("_in_part") + F.col("_size")).alias("_n"))
-    order = Window.partitionBy("_source").orderBy("_part")
-    offsets = totals.withColumn("_offset", F.sum("_n").over(order) - F.col("_n")).drop("_n")
+    running = Window.partitionBy("_source").orderBy("_part")
+    offsets = totals.withColumn("_offset", F.sum("_n").over(running) - F.col("_n")).drop("_n")
     sums = {r["_source"]: r["n"] for r in totals.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
     blocks = {s: (n - 1) // block_bytes + 1 for s, n in sums.items()}
     if weights is None:

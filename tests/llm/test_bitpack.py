@@ -83,3 +83,20 @@ def test_pieces_join_to_the_whole_text(vocabulary):
         assert own.encode(text) == own.whole(text)
 
     check()
+
+
+def test_rows_without_an_id_are_divided(spark, vocabulary):
+    """All rows lack an id: they are written by several tasks and numbered without gaps."""
+    df = docs(spark, [(None, f"word {i}") for i in range(2000)])
+    path = scratch_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        B.write_packed(df, path, vocabulary("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert B.open_packed(spark, path).select("shard").distinct().count() > 2
+    at = 0
+    for r in B.read_ids(spark, path).orderBy("start").collect():
+        assert r.start == at
+        at += r.n_tokens
+    assert at > 2000

@@ -80,3 +80,21 @@ def test_documents_are_placed_by_running_size(spark):
     places = {x: t for t, x in enumerate(plain_order(shares, blocks))}
     assert all(r.mix_slot == places[key(r), r.mix_block] for r in got)
     assert P.mix(df.where("doc_id > 99999"), "n_chars").count() == 0
+
+
+def test_rows_of_one_id_have_an_order_and_are_divided(spark, monkeypatch):
+    """Half the rows have no id: however they arrive they are placed alike, over several tasks."""
+    rows = [(None if i % 2 else i, f"text {i} " + "x" * (i % 17)) for i in range(4000)]
+    df, stored = docs(spark, rows), []
+    monkeypatch.setattr(P, "durable", lambda d, keep=P.durable: stored.append(keep(d)) or stored[-1])
+    placed = []
+    for given in (df.repartition(3), df.orderBy("text")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = P.mix(given, "n_chars", block_bytes=512).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        placed.append(sorted((r.text, r.mix_before, r.mix_slot) for r in got))
+    assert placed[0] == placed[1]
+    counts = [r["count"] for r in stored[0].where("_id is null").groupBy("_part").count().collect()]
+    assert len(counts) > 2 and max(counts) < 1500
