@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -178,12 +180,57 @@ class Model:
             return None
         return counts
 
+    def _by_cluster(self, unit: str) -> list[int] | None:
+        """Counts after each character of a run without white space whose normalised prefixes are
+        not prefixes of the normalised run, as of letters with combining marks.
+
+        A prefix is the normalised clusters before its last one and the normalised start of that.
+        Only pre-tokens near the end can still change, so what ends four characters earlier is added
+        up once, and a long pre-token is seen by its last eight characters.
+        """
+        if any(s in unit or s in unit.lower() for s in self.special):
+            return None
+        normal = self.tokenizer.normalizer.normalize_str
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        text: list[str] = []
+        runs: dict[int, _Run] = {}
+        fixed, first, out = 0, 0, []  # tokens of what ends before ``first``, where a pre-token starts
+        for cluster in _clusters(unit):
+            n = len(text)
+            seen = max(first, n - 8)
+            for k in range(1, len(cluster) + 1):
+                part = normal(cluster[:k])
+                for start, run in runs.items():
+                    run.cut(max(0, n - start))
+                pieces, total = [], fixed
+                for _, (a, b) in split("".join(text[seen:]) + part):
+                    start, end = seen + a if a else first if seen > first else seen, seen + b
+                    run = runs.setdefault(start, _Run(self))
+                    run.cut(end - start)
+                    for x in range(start + run.length(), end):
+                        run.push(text[x] if x < n else part[x - n])
+                    pieces.append((start, end, run.closed()))
+                    total += pieces[-1][2]
+                out.append(total)
+            text += part
+            while pieces and pieces[0][1] <= len(text) - 4:
+                fixed += pieces.pop(0)[2]
+            first = pieces[0][0] if pieces else len(text)
+            runs = {start: run for start, run in runs.items() if start >= first}
+        return out
+
     def _unit(self, unit: str) -> bytes:
         if not unit or unit[0] in " \t\n\r":
             return bytes(len(unit))
         word = _WORD.fullmatch(unit)
         counts = self._word(word[1], word[2]) if word else self._plain(unit)
-        if counts is None or (not _EASY.fullmatch(unit) and counts[-1] != self.count(unit)):
+        if not _EASY.fullmatch(unit):
+            whole = self.count(unit)
+            if counts is None or counts[-1] != whole:
+                counts = self._by_cluster(unit)
+            if counts is not None and counts[-1] != whole:
+                counts = None
+        if counts is None:
             counts = [self.count(unit[:k]) for k in range(1, len(unit) + 1)]
         return array("b", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
@@ -203,6 +250,62 @@ class Model:
         return b"".join(map(self._now.__getitem__, units))
 
 
+class _Run:
+    """A pre-token that grows and shrinks at its end, with the last token and the count of every
+    prefix."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.symbols: list[str] = []
+        self.inner, self.counts, self.ends = [""], [0], [0]
+
+    def length(self) -> int:
+        return len(self.ends) - 1
+
+    def _last(self, end: str) -> str:
+        low = max(0, len(self.symbols) - self.model.longest)
+        tail = "".join(self.symbols[low:])
+        return self.model._last(tail, len(tail), self.inner[low:], end)
+
+    def push(self, char: str) -> None:
+        for b in char.encode():
+            self.symbols.append(_SYMBOL[b])
+            token = self._last("")
+            self.inner.append(token)
+            self.counts.append(self.counts[len(self.symbols) - len(token)] + 1)
+        self.ends.append(len(self.symbols))
+
+    def cut(self, length: int) -> None:
+        if length < self.length():
+            del self.ends[length + 1 :]
+            del self.symbols[self.ends[-1] :], self.inner[self.ends[-1] + 1 :], self.counts[self.ends[-1] + 1 :]
+
+    def closed(self) -> int:
+        end = self.model.end
+        last = self._last(end)
+        return self.counts[len(self.symbols) - len(last) + len(end)] + 1
+
+
+@cache
+def _joining() -> frozenset[str]:
+    """Characters that may compose with one before them, though they can stand alone."""
+    parts = (unicodedata.decomposition(chr(c)) for c in range(sys.maxunicode + 1))
+    second = {chr(int(p.split()[1], 16)) for p in parts if " " in p and p[0] != "<"}
+    # The vowels and final consonants of Hangul, which compose by rule.
+    return frozenset(second) | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+
+
+def _clusters(unit: str) -> Iterator[str]:
+    """Stretches that are normalised (NFC) independently of each other."""
+    start = 0
+    for i in range(1, len(unit)):
+        head = unicodedata.normalize("NFD", unit[i])[0]
+        if not unicodedata.combining(head) and not {unit[i], head} & _joining():
+            yield unit[start:i]
+            start = i
+    yield unit[start:]
+
+
 _MODELS: dict[str, Model] = {}
 
 

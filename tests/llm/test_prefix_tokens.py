@@ -44,6 +44,32 @@ def test_random_words_and_texts(vocabulary):
     check()
 
 
+def test_texts_that_are_not_composed(vocabulary):
+    """Prefixes of decomposed letters, Hangul and mixed runs; a long run takes linear time."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    own = P.Model(vocabulary("word_bpe_49k.json"))
+    marks = ["e\u0301", "\u0301", "\u0323", "o", "'", "ll", "ve", "S", "!", "7", "\u1112\u1161\u11ab", "\u1161",
+             "\u0f73", "\u212b", "\u09c7\u09be", "İ", "Σ", "\xa0", " ", "漢", "<|"]
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(st.sampled_from(marks), max_size=40).map("".join))
+    def check(text):
+        total = 0
+        for k, step in enumerate(memoryview(own.changes(text)).cast("b"), 1):
+            total += step
+            assert total == own.count(text[:k]), text[:k]
+
+    check()
+    calls = []
+    own.count, count = lambda t: calls.append(len(t)) or count(t), own.count
+    for unit in ("e\u0301", "e\u0301'!", "x\u0323\u0301-"):
+        long = unit * 8000
+        assert sum(memoryview(own.changes(long)).cast("b")) == count(long)
+    assert calls == [16000, 32000, 32000]  # the whole run once, to compare
+
+
 def test_operator_and_questions(spark, vocabulary):
     path = vocabulary("word_bpe_49k.json")
     long = " ".join(random.Random(1).choice(["thing", "Überbau", "don't"]) for _ in range(20_000))
