@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketloom.functions.keyed import join_grouped
 from marketloom.llm.common import id_and_text, map_texts
@@ -31,12 +32,14 @@ from marketloom.session import durable
 
 # Counters of the sketch by which tokens are ordered: 8 MB on the driver at any size of the input.
 SKETCH = 1 << 23
+# Bits that tell which documents' sets are made: 8 MB at any size of the input.
+MARKS = 1 << 26
 # Rows of about 50 bytes that are sent to all tasks; more are shuffled.
 SMALL = 1 << 16
 # Tokens of a group's members, and queries of a group that one task takes.
 GROUP_TOKENS = 1 << 18
 QUERIES = 1 << 13
-_STRIPE = 1 << 14
+_STRIPE, _BITS = 1 << 14, 1 << 18
 _MINIMA = 3
 _ODD = 0x9E3779B97F4A7C15
 _M1, _M2, _M3 = (np.uint64(x) for x in (_ODD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -199,9 +202,11 @@ def _entries(own: DataFrame, percent: int) -> DataFrame:
     looked for among size classes of a token, which are few, not among its classes.
     """
     ranked = own.select(F.col("d1").alias("id"), F.col("n").cast("long"), F.posexplode("prefix").alias("rank", "token"))
-    dealt = ranked.select("token", "id", "n", (F.col("n") - F.col("rank")).alias("room")).repartition("token")
-    several = dealt.groupBy("token").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b")
-    held = durable(dealt.join(several.select("token"), "token").distinct())
+    dealt = ranked.select("token", "id", "n", (F.col("n") - F.col("rank")).alias("room"))
+    # A join with the grouped tokens would move the entries a second time, with other columns.
+    alike = Window.partitionBy("token")
+    several = dealt.withColumn("_a", F.min("id").over(alike)).withColumn("_b", F.max("id").over(alike))
+    held = durable(several.where("_a < _b").drop("_a", "_b").distinct())
     near = (
         held.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(1.02)))
         .groupBy("token", "size")
@@ -380,28 +385,69 @@ def _asked(side: DataFrame, hubs_only: bool, percent: int) -> DataFrame:
     return durable(queries).unionByName(join_grouped(members, opened, "grp", "left_semi").select("grp", "id", "member", "comp", "hub"))
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bits over hashed places, set where one of ``ids`` (a ``doc_id`` each) falls."""
+
+    def fill(table: pa.Table) -> pa.Table:
+        bits = np.zeros(_BITS, np.uint8)
+        bits[table.column("at").to_numpy() % _BITS] = 1
+        packed = zlib.compress(np.packbits(bits).tobytes(), 1)
+        return pa.table({"stripe": table.column("stripe")[:1], "bits": pa.array([packed], pa.binary())})
+
+    places = ids.select(_place().alias("at")).distinct().withColumn("stripe", F.floor(F.col("at") / _BITS))
+    marks = np.zeros((MARKS // _BITS, _BITS // 8), np.uint8)
+    for stripe, bits in places.groupBy("stripe").applyInArrow(fill, "stripe long, bits binary").collect():
+        marks[stripe] = np.frombuffer(zlib.decompress(bits), np.uint8)
+    return marks.ravel()
+
+
+def _place():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+
+
 def _sets_of(slim: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``id, tokens`` of the wanted classes, made anew from the text of their first document."""
-    named = classes.join(wanted, "id").select("id", "d1", "d2", "doc_id")
-    firsts = join_grouped(slim, named.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    """``id, tokens`` of the wanted classes, made anew from the text of their first document.
+
+    Bits tell which documents may be wanted, so the others leave before anything is moved, and what
+    is moved are the sets, once. A document that only falls on a bit of another is dropped by the
+    join, as are other texts under the same id.
+    """
+    named = durable(classes.join(wanted, "id").select("d1", "d2", "doc_id"))
+    marks = slim.sparkSession.sparkContext.broadcast(_marks(named))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = marks.value, set()
         for batch in batches:
-            raw = [t.astype("<u8").tobytes() for t in token_sets(batch.column("text"), shingle)]
-            names = [xxhash.xxh128_digest(t) for t in raw]
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+            if not batch.num_rows:
+                continue
+            rows = []
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), shingle)):
+                raw = tokens.astype("<u8").tobytes()
+                name = xxhash.xxh128_digest(raw)
+                # Repeated rows have the same set.
+                if (doc_id, name) not in seen:
+                    seen.add((doc_id, name))
+                    rows.append((name, doc_id, raw))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([int.from_bytes(n[:8], "big", signed=True) for n in names], pa.int64()),
-                    pa.array([int.from_bytes(n[8:], "big", signed=True) for n in names], pa.int64()),
-                    batch.column("doc_id"),
-                    pa.array(raw, pa.binary()),
+                    pa.array([int.from_bytes(n[:8], "big", signed=True) for n, _, _ in rows], pa.int64()),
+                    pa.array([int.from_bytes(n[8:], "big", signed=True) for n, _, _ in rows], pa.int64()),
+                    pa.array([d for _, d, _ in rows], pa.int64()),
+                    pa.array([r for _, _, r in rows], pa.binary()),
                 ],
                 ["d1", "d2", "doc_id", "tokens"],
             )
 
-    made = map_texts(firsts, run, "d1 long, d2 long, doc_id long, tokens binary")
-    # Repeated rows of the first document have the same set.
-    return made.join(named, ["d1", "d2", "doc_id"]).groupBy("id").agg(F.any_value("tokens").alias("tokens"))
+    made = map_texts(
+        slim.where("doc_id is not null").select("doc_id", "text", _place().alias("at")),
+        run,
+        "d1 long, d2 long, doc_id long, tokens binary",
+    )
+    key = ["d1", "d2", "doc_id"]
+    # Grouped by the key of the join, so the sets stay where the join has them.
+    return made.join(named, key).groupBy(*key).agg(F.any_value("tokens").alias("tokens")).select(F.col("d1").alias("id"), "tokens")
 
 
 def _answer(own: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -120,3 +120,35 @@ def test_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in found.collect()]
     got = queries.queries()["op11_group_jaccard"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_documents_on_one_bit_are_told_apart(spark, monkeypatch):
+    """All ids fall on few bits, and ids repeat with other texts: the join sorts them out."""
+    monkeypatch.setattr(gj, "MARKS", 16)
+    monkeypatch.setattr(gj, "_BITS", 8)
+    rows = corpus(11, 12)
+    rows += [(i, t) for i, (_, t) in zip(range(0, len(rows), 3), reversed(rows))] + rows[:5]
+    assert answer(docs(spark, rows), shingle=4, percent=85) == brute(rows)
+
+
+def moved(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_sets_move_once_and_texts_stay(spark, monkeypatch):
+    monkeypatch.setitem(gj.__dict__, "_kept", [])
+    durable = gj.durable
+    monkeypatch.setattr(gj, "durable", lambda df: gj._kept.append(df) or durable(df))
+    monkeypatch.setattr(gj, "_sets_of", lambda *a, f=gj._sets_of: gj._kept.append(f(*a)) or gj._kept[-1])
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        gj.similar_documents(docs(spark, corpus(5, 10)), 4, 85).collect()
+        held = next(df for df in gj._kept if df.columns == ["token", "id", "n", "room"])
+        assert len(moved(held)) == 1
+        sets = next(df for df in gj._kept if df.columns == ["id", "tokens"])
+        # The sets and the names of the wanted classes, both once.
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInArrow") > plan.index("Exchange") and len(moved(sets)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
