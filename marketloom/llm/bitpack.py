@@ -237,7 +237,6 @@ def write_packed(
     shards: shard by shard, chunk by chunk, ``shard_start`` counts the ids of a shard before a
     chunk, ``doc_starts`` those of a chunk before a document.
     """
-    width = max(encoder(tokenizer).width, int(end_id).bit_length())
     texts = docs.select(
         *[c.alias(f"_o{i}") for i, c in enumerate(order or [])],
         docs[id_col].cast("long").alias("doc_id"),
@@ -249,6 +248,7 @@ def write_packed(
         from pyspark import TaskContext
 
         own, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        width = max(own.width, int(end_id).bit_length())
         shard, chunk, before = TaskContext.get().partitionId(), 0, 0
         parts, doc_ids, starts, n = [], [], [], 0
 

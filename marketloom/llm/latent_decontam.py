@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import id_and_text, slices
+from marketloom.session import durable
 
 BLOCK = 256
 RANK = 256
@@ -308,9 +309,18 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: in
     """
     texts = id_and_text(docs)
     items = id_and_text(benchmark, item_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = items.orderBy("doc_id").toLocalIterator()  # a few passages at a time reach the driver
+    items = durable(items)
     held: list = []
 
+    def pages():
+        """The items by id, a block of them at a time: one small job each, however many partitions."""
+        last = None
+        while page := (items if last is None else items.where(F.col("doc_id") > last)).orderBy("doc_id").limit(block).collect():
+            yield from page
+            last = page[-1]["doc_id"]
+            if len(page) < block:
+                return
+
     def ready(passages) -> Searcher:
         vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in passages for w in words}))}
 
@@ -337,7 +347,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: in
         basis = randomised_svd(frame, len(vocabulary), rank)
         return Searcher(passages, vocabulary, idf, rare, basis)
 
-    for row in rows:
+    for row in pages():
         held += passages_of(row["doc_id"], row["text"])
         while len(held) >= block:
             yield ready(held[:block])

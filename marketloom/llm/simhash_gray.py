@@ -28,6 +28,9 @@ from marketloom.session import durable
 
 FANOUT = 8
 CHUNK = 1 << 15
+# Links of 16 bytes that go through a few tasks; more are dealt to all.
+FEW = 1 << 16
+TASKS = 6
 _PAIRS = 1 << 18
 _SIGN = np.uint64(1 << 63)
 
@@ -343,11 +346,17 @@ def components(pairs: DataFrame) -> DataFrame:
     """``id``, ``component``: the least id reachable, for every id that has a link.
 
     Alternates large-star and small-star contraction until nothing changes; every round is a
-    written table. Rounds grow with the logarithm of the longest chain.
+    written table. Rounds grow with the logarithm of the longest chain. Up to ``FEW`` links go
+    through ``TASKS`` tasks a stage and a broadcast instead of all shuffle partitions: the driver
+    keeps a record of every task, and the rounds of few links would make most of them.
     """
 
-    def once(edges: DataFrame) -> DataFrame:
-        return durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def once(edges: DataFrame, few: bool = False) -> DataFrame:
+        links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return durable(links.coalesce(TASKS) if few else links)
+
+    def beside(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+        return edges.join(F.broadcast(least.coalesce(TASKS)), "a") if few else join_grouped(edges, least, "a", "inner")
 
     def state(edges: DataFrame):
         return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -355,15 +364,16 @@ def components(pairs: DataFrame) -> DataFrame:
     edges = once(pairs)
     seen = state(edges)
     while seen[0]:
+        few = seen[0] <= FEW
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = join_grouped(both.where("b > a"), least, "a", "inner").select(
-            F.col("b").alias("a"), F.col("m").alias("b")
-        )
-        edges = once(large)
+        large = beside(both.where("b > a"), least, few).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = once(large, few)
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = join_grouped(edges, least, "a", "inner")
-        edges = once(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
+        small = beside(edges, least, few)
+        edges = once(
+            small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))), few
+        )
         now = state(edges)
         if now == seen:
             break

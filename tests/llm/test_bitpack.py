@@ -100,3 +100,10 @@ def test_rows_without_an_id_are_divided(spark, vocabulary):
         assert r.start == at
         at += r.n_tokens
     assert at > 2000
+
+
+def test_the_driver_loads_no_tokenizer(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(B, "_ENCODERS", {})
+    path = scratch_path(spark, "t")
+    B.write_packed(docs(spark, [(1, "a b"), (2, "c")]), path, vocabulary("byte_bpe_50k.json"))
+    assert B.read_ids(spark, path).count() == 2 and not B._ENCODERS

@@ -65,3 +65,25 @@ def test_no_stretch_with_enough_of_a_passage_is_lost():
                         shown = [j for j in range(a, a + len(stretch)) if words[j] in passage]
                         assert any(x[1] <= shown[0] and shown[-1] < x[2] for x in hits)
     assert n > 100
+
+
+def test_benchmark_is_read_by_blocks_of_items_not_by_partitions(spark):
+    items = [(k, " ".join(f"item{k}word{j}" for j in range(9))) for k in range(7)]
+    bench = spark.createDataFrame([*items, items[2], (None, "no id here at all"), (9, None)], "item_id long, text string")
+    df = docs(spark, [(i, f"before {text} after") for i, text in items] + [(50, "clean text of some words")])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("blocks of the benchmark", "")
+        found = list(L.searchers(df, bench))
+        jobs = len(sc.statusTracker().getJobIdsForGroup("blocks of the benchmark"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert [i for s in found for i, _, _ in s.passages] == list(range(7)) and jobs < 40
+    small = [i for s in L.searchers(df, bench, block=2) for i, _, _ in s.passages]
+    assert small == list(range(7))
+    assert {r.doc_id for r in L.without_leaks(df, bench, block=3).collect()} == {50}

@@ -96,3 +96,29 @@ def test_search_over_cut_runs_finds_every_component(spark, chunk):
 def test_gray_rank_is_the_inverse_of_the_gray_code():
     x = np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2)
     assert (S.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
+
+
+def test_few_links_go_through_few_tasks(spark, monkeypatch):
+    written, durable = [], S.durable
+
+    def counted(df):
+        written.append(durable(df))
+        return written[-1]
+
+    links = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(300)] + [(7, 7)]
+    monkeypatch.setattr(S, "durable", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame(links, "a long, b long")
+        found = {few: sorted(map(tuple, S.components(frame).collect())) for few in (S.FEW, 0) if not monkeypatch.setattr(S, "FEW", few)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    least = [(i, 0) for i in range(1, 301)] + [(i, 1000) for i in range(1001, 1300)]
+    assert found[0] == least and all(f == least for f in found.values())
+    # The rounds of the first run come before those that go through all partitions.
+    assert len(written) % 2 == 0
+    first = written[1 : len(written) // 2]
+    assert first and max(len(df.inputFiles()) for df in first) <= S.TASKS
